@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules
+from . import bpe, quality_rules, secret_scan
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The tokenizer file of the contract; the operator takes any path."""
     import public_tokenizers
@@ -28,6 +32,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op10_bpe": op10_bpe,
 }
 
