@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secret_scan
+from . import bpe, hash_ring, order_minhash, quality_rules, secret_scan, simhash
 from .common import table
 
 
@@ -19,6 +19,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op6_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_ring.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The tokenizer file of the contract; the operator takes any path."""
     import public_tokenizers
@@ -32,7 +44,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_order_minhash": op3_order_minhash,
     "op4_secret_scan": op4_secret_scan,
+    "op6_hash_ring": op6_hash_ring,
+    "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
