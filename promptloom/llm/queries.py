@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, hash_ring, order_minhash, quality_rules, secret_scan, simhash
+from . import bpe, hash_ring, html_layout, neighbour_quality, order_minhash, quality_rules, secret_scan, simhash, source_mixing, warc_fixity
 from .common import table
 
 
@@ -19,14 +20,44 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+#: Token shares that the mixing query and the pipeline aim at, by language.
+TARGETS = {"de": 0.17, "en": 0.52, "es": 0.14, "fr": 0.17}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing query: labelled documents, their language as the domain."""
+    own = labels.select("doc_id").where("doc_id is not null").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(own, "doc_id")
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = source_mixing.fit_domains(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), sorted(TARGETS))
+    return source_mixing.rates(docs, source_mixing.fit_mix(docs, model, TARGETS))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
+
+
 def op6_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_ring.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neighbour_quality.score(docs, neighbour_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,12 +75,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
     "op3_order_minhash": op3_order_minhash,
     "op4_secret_scan": op4_secret_scan,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_hash_ring": op6_hash_ring,
+    "op7_neighbour_quality": op7_neighbour_quality,
+    "op8_html_layout": op8_html_layout,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
 #: Results that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_fixity": warc_fixity.AUDIT_SQL,
+}
