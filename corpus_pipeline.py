@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from promptloom.llm import bpe, quality_rules, secret_scan, simhash, source_mixing
-from promptloom.llm.common import shared_storage, table
+from promptloom.llm.common import cut, shared_storage, table
 from promptloom.llm.queries import TARGETS, labelled_domains, vocabulary
 
 
@@ -34,7 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that expected token totals meet the target shares; leaves none out."""
     model = source_mixing.fit_domains(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), sorted(TARGETS))
-    return source_mixing.mixed(docs, source_mixing.fit_mix(docs, model, TARGETS, floor=1.0))
+    mix = source_mixing.fit_mix(cut(source_mixing.profile(docs, model)), model, TARGETS, floor=1.0)
+    return source_mixing.mixed(docs, mix)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, hash_ring, html_layout, neighbour_quality, order_minhash, quality_rules, secret_scan, simhash, source_mixing, warc_fixity
-from .common import table
+from .common import cut, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = source_mixing.fit_domains(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), sorted(TARGETS))
-    return source_mixing.rates(docs, source_mixing.fit_mix(docs, model, TARGETS))
+    profiles = cut(source_mixing.profile(docs, model))
+    return source_mixing.rates(profiles, source_mixing.fit_mix(profiles, model, TARGETS))
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

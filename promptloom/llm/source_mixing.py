@@ -26,10 +26,10 @@ from .common import cut, free_name
 #: Most labelled documents that a fit reads.
 MAX_LABELLED = 4096
 #: Characters that the model counts; all others are one more.
-ALPHABET = 32
+ALPHABET = 12
 #: A text longer than this weighs as much as one of this length: neighbouring characters do not vote
 #: independently, and unbounded they would leave no soft membership.
-EFFECTIVE_CHARS = 150
+EFFECTIVE_BYTES = 150
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,33 +41,34 @@ class DomainModel:
     weights: tuple[tuple[float, ...], ...]
     priors: tuple[float, ...]
 
-    def posterior(self, text: Column) -> Column:
-        """An array of the domains' posteriors."""
+    def counts(self, text: Column) -> Column:
+        """How many bytes of each character a text has, and of all together."""
+        whole = F.coalesce(text, F.lit(""))
+        size = F.octet_length(whole)
+        return F.array(*((size - F.octet_length(F.replace(whole, F.lit(c), F.lit("")))).cast("double") for c in self.characters), size.cast("double"))
+
+    def posterior(self, counts: Column) -> Column:
+        """An array of the domains' posteriors, from a column that holds ``counts``."""
         known = [k for k, p in enumerate(self.priors) if p > 0]
         if not known:
             return F.array(*(F.lit(0.0) for _ in self.domains))
-        low = F.lower(F.coalesce(text, F.lit("")))
-        size = F.length(low)
-        counts = F.array(*((size - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in self.characters), size.cast("double"))
-        return F.transform(F.array(counts), lambda n: self._softmax(n, known))[0]
-
-    def _softmax(self, counts: Column, known: list[int]) -> Column:
         size = F.element_at(counts, len(self.characters) + 1)
-        # the last entry holds all characters: "other" is what is left of them
-        def score(k: int) -> Column:
+
+        def score(k: int) -> Column:  # "other" is what the counted characters leave of all
             other = self.weights[-1][k]
             terms = [F.element_at(counts, i + 1) * (self.weights[i][k] - other) for i in range(len(self.characters))]
             total = reduce(lambda a, b: a + b, terms, size * other)
-            return F.lit(math.log(self.priors[k])) + total * F.least(F.lit(1.0), EFFECTIVE_CHARS / F.greatest(size, F.lit(1.0)))
-
-        scores = F.array(*(score(k) for k in known))
-        shares = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))[0]
-        total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        normal = F.transform(F.array(shares), lambda e: F.transform(e, lambda x: x / total(e)))[0]
-        if len(known) == len(self.domains):
-            return normal
+            return F.lit(math.log(self.priors[k])) + total * F.least(F.lit(1.0), EFFECTIVE_BYTES / F.greatest(size, F.lit(1.0)))
+
+        # an array of one array, so that what is used again and again is made once
+        scores = F.array(F.array(*(score(k) for k in known)))
+        shares = F.transform(scores, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+        sums = F.transform(shares, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("sum")))
+        normal = F.transform(sums, lambda s: F.transform(s["e"], lambda x: x / s["sum"]))
         place = {k: i for i, k in enumerate(known)}
-        return F.transform(F.array(normal), lambda e: F.array(*(F.element_at(e, place[k] + 1) if k in place else F.lit(0.0) for k in range(len(self.domains)))))[0]
+        if len(known) < len(self.domains):
+            normal = F.transform(normal, lambda e: F.array(*(F.element_at(e, place[k] + 1) if k in place else F.lit(0.0) for k in range(len(self.domains)))))
+        return normal[0]
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DomainModel:
@@ -80,7 +81,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], key: s
     )
     texts = docs.select(docs[key].alias("d"), docs[text].alias("t"))
     joined = texts.join(F.broadcast(chosen), F.col("d") == F.col("k"))
-    letters = joined.select("domain", F.explode(F.split(F.lower(F.coalesce("t", F.lit(""))), "")).alias("c")).where("c <> ''").groupBy("domain", "c").count()
+    letters = joined.select("domain", F.explode(F.split(F.coalesce("t", F.lit("")), "")).alias("c")).where("c <> ''").groupBy("domain", "c").agg(F.sum(F.octet_length("c")).alias("count"))
     # an alphabet is bounded by its script; rare letters beyond the first thousands carry no weight
     rows = letters.orderBy(F.desc("count"), "domain", "c").limit(2048 * len(domains)).collect()
     held = {r["domain"]: r["n"] for r in joined.groupBy("domain").agg(F.count_distinct("d").alias("n")).collect()}
@@ -136,16 +137,19 @@ class Mix:
         return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(float(self.floor)), r - dot(g)))
 
 
-def fit_mix(
-    docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, floor: float = 0.0,
-    rounds: int = 60, tolerance: float = 1e-4, text: str = "text",
-) -> Mix:
-    """Fit the rates. ``targets`` are weights of the domains, ``budget`` the tokens they share out.
+def profile(docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n, p`` of every whole text: tokens and posteriors. The texts are read here, and only here."""
+    rows = docs.select(docs[key].alias("doc_id"), tokens(docs[text]).alias("n"), model.counts(docs[text]).alias("c"))
+    return rows.select("doc_id", "n", model.posterior(F.col("c")).alias("p"))
+
+
+def fit_mix(profiles: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, floor: float = 0.0, rounds: int = 60, tolerance: float = 1e-3) -> Mix:
+    """Fit the rates to ``profile()`` rows, best a cut table. ``targets`` are weights of the domains, ``budget`` the tokens they share out.
 
     Without a budget it is the tokens there are; with ``floor`` 1 (no document is left out) it is the
     least total that has room for all of them.
     """
-    rows = cut(docs.select(tokens(docs[text]).alias("n"), model.posterior(docs[text]).alias("p")).where("n > 0"))
+    rows = profiles.where("n > 0")
     sums = lambda df, r: [x or 0.0 for x in df.agg(*(F.sum(r * F.col("n") * F.element_at("p", k + 1)) for k in range(len(model.domains)))).first()]
     available = sums(rows, F.lit(1.0))
     total = sum(targets.values())
@@ -157,10 +161,13 @@ def fit_mix(
     wanted = [s * budget for s in shares]
     gradients: list[tuple[float, ...]] = []
     pending: list[list[float]] = []
+    far: list[float] = []
     state, reached = rows.withColumn("r", F.lit(1.0)), available
     for _ in range(rounds):
         error = [(s - t) / a if a > 0 else 0.0 for s, t, a in zip(reached, wanted, available)]
-        if not budget or max(abs(e) * a for e, a in zip(error, available)) <= tolerance * budget:
+        far.append(max(abs(e) * a for e, a in zip(error, available)))
+        # near enough, or held by the floor: no nearer than three rounds ago
+        if not budget or far[-1] <= tolerance * budget or (len(far) > 3 and far[-1] > 0.98 * far[-4]):
             break
         gradients.append(tuple(error))
         pending.append(error)
@@ -176,16 +183,19 @@ def draw(rate: Column, *key: Column) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def rates(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
+def rates(profiles: DataFrame, mix: Mix) -> DataFrame:
     """One row a document: tokens, posterior of each domain, rate, and the copies that it stands for."""
-    rows = docs.select(docs[key].alias("doc_id"), tokens(docs[text]).alias("n_tokens"), mix.model.posterior(docs[text]).alias("p"))
-    made = rows.withColumn("rate", mix.rate(F.col("p")))
-    return made.select("doc_id", "n_tokens", *(F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(mix.model.domains)), "rate", draw(F.col("rate"), F.col("doc_id")).alias("copies"))
+    made = profiles.withColumn("rate", mix.rate(F.col("p")))
+    return made.select("doc_id", F.col("n").alias("n_tokens"), *(F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(mix.model.domains)), "rate", draw(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` as mixed: every row as often as its rate says, columns as they were."""
-    p, n = free_name(docs.columns, "posterior"), free_name(docs.columns, "copies")
-    made = docs.withColumn(p, mix.model.posterior(docs[text]))
-    made = made.withColumn(n, draw(mix.rate(F.col(p)), F.col(f"`{key}`")))
-    return made.where(F.col(n) > 0).withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` as mixed: every row as often as its rate says, columns as they were.
+
+    Posteriors are made again from the text, which is cheaper than moving the texts to join them.
+    """
+    c, n = free_name(docs.columns, "counts"), free_name(docs.columns, "copies")
+    made = docs.withColumn(c, mix.model.counts(docs[text]))
+    made = made.withColumn(c, mix.model.posterior(F.col(f"`{c}`")))
+    made = made.withColumn(n, draw(mix.rate(F.col(f"`{c}`")), F.col(f"`{key}`")))
+    return made.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(f"`{n}`")))).select(*(F.col(f"`{x}`") for x in docs.columns))
