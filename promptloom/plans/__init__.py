@@ -1,0 +1 @@
+"""The catalogue of queries."""
