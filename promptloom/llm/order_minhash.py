@@ -1,6 +1,6 @@
 """Order MinHash: fingerprints that follow edit distance, in DataFrame functions only.
 
-A text is a sequence of tokens: words, cut into pieces of at most six characters so that a text without
+A text is a sequence of tokens: words, cut into pieces of at most eight characters so that a text without
 spaces has a sequence too. Each k-mer of tokens gets its occurrence number (the third time the same
 k-mer is found is another element than the first), so repeats count. Of the numbered k-mers the
 ``pool`` smallest by one hash are a sample that two like texts share; for each of ``slots`` further
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 K = 2
 TUPLE = 2
 SLOTS = 32
-POOL = 64
+POOL = 48
 #: Places in a text fit in so many bits; the rest of a long holds the hash.
 _PLACE_BITS = 24
 _PLACE = (1 << _PLACE_BITS) - 1
@@ -48,29 +48,32 @@ def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots:
     """
     w = lambda n: f"_{into}_{n}"
     col = lambda n: F.col(w(n))
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,6}"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0))
     out = df.withColumn(w("t"), F.transform(tokens, lambda t: F.xxhash64(t)))
     n = F.size(col("t"))
     # k-mers, as hash and place, in order of the hash
     mer = lambda x, i: F.xxhash64(x, *(F.get(col("t"), i + j) for j in range(1, k)))
     kmers = F.transform(F.slice(col("t"), 1, F.greatest(n - (k - 1), F.least(n, F.lit(1)))), lambda x, i: _packed(mer(x, i), i))
     out = out.withColumn(w("s"), F.sort_array(kmers))
-    # where a run of equal k-mers begins
-    same = lambda i: F.shiftright(F.get(col("s"), i), _PLACE_BITS) == F.shiftright(F.get(col("s"), i - 1), _PLACE_BITS)
-    out = out.withColumn(w("b"), F.filter(F.transform(col("s"), lambda x, i: F.when((i == 0) | ~same(i), i)), lambda i: i.isNotNull()))
-    last = lambda j: F.coalesce(F.get(col("b"), j + 1), F.size(col("s")))
+    # the first of each run of equal k-mers keeps its hash, and so its place in the order; the others are numbered
+    again = lambda e, i: (i > 0) & (F.shiftright(F.get(e, i - 1), _PLACE_BITS) == F.shiftright(F.get(e, i), _PLACE_BITS))
+    out = out.withColumn(w("r"), F.filter(col("s"), lambda x, i: again(col("s"), i)))
+    out = out.withColumn(w("b"), F.filter(F.transform(col("r"), lambda x, i: F.when(~again(col("r"), i), i)), lambda i: i.isNotNull()))
+    last = lambda j: F.coalesce(F.get(col("b"), j + 1), F.size(col("r")))
     number = lambda x, o: _packed(F.xxhash64(F.shiftright(x, _PLACE_BITS), o), x.bitwiseAND(F.lit(_PLACE)))
-    numbered = F.flatten(F.transform(col("b"), lambda b, j: F.transform(F.slice(col("s"), b + 1, last(j) - b), number)))
-    out = out.withColumn(w("p"), F.slice(F.sort_array(numbered), 1, pool))
+    numbered = F.flatten(F.transform(col("b"), lambda b, j: F.transform(F.slice(col("r"), b + 1, last(j) - b), number)))
+    first = F.slice(F.filter(col("s"), lambda x, i: ~again(col("s"), i)), 1, pool)
+    out = out.withColumn(w("p"), F.slice(F.sort_array(F.concat(first, numbered)), 1, pool))
 
     def slot(j: Column) -> Column:
-        ranked = F.array_sort(F.transform(col("p"), lambda x: F.struct(F.xxhash64(F.shiftright(x, _PLACE_BITS), j).alias("h"), x.bitwiseAND(F.lit(_PLACE)).alias("at"))))
-        chosen = F.array_sort(F.transform(F.slice(ranked, 1, tuple_size), lambda s: F.struct(s["at"], s["h"])))
-        hashed = F.xxhash64(F.transform(chosen, lambda s: s["h"]))
+        ranked = F.sort_array(F.transform(col("p"), lambda x: _packed(F.xxhash64(F.shiftright(x, _PLACE_BITS), j), x.bitwiseAND(F.lit(_PLACE)))))
+        # back in text order: the place in the upper bits, 39 bits of the hash below
+        turned = F.transform(F.slice(ranked, 1, tuple_size), lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 39).bitwiseOR(F.shiftrightunsigned(x, 64 - 39)))
+        hashed = F.xxhash64(F.transform(F.sort_array(turned), lambda x: x.bitwiseAND(F.lit((1 << 39) - 1))))
         return F.lpad(F.lower(F.hex(hashed.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
     text_of = F.when(F.size(col("p")) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(slots)), slot), ""))
-    return out.withColumn(into, text_of).drop(*(w(x) for x in "tsbp"))
+    return out.withColumn(into, text_of).drop(*(w(x) for x in "tsrbp"))
 
 
 def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
