@@ -154,7 +154,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT
     # the key of a level starts with the key of the one before, so that levels cannot meet in a shard
     keyed = [p.select(F.lit(i).alias("level"), "shard", "fp") for i, p in enumerate(parts)]
     shards = keyed[0].unionByName(keyed[1]).unionByName(keyed[2])
-    # a shard of one has no link: counting first keeps it out of the exchange below where it can
     dealt = shards.repartition("level", "shard").sortWithinPartitions("level", "shard", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,5 +225,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     names = [free_name([*docs.columns, mark], n) for n in ("kept_key", "kept_hash", "copy")]
     kept = kept.toDF(*names[:2])
     joined = marked.join(kept, marked[key].eqNullSafe(kept[names[0]]) & (marked[mark] == kept[names[1]]), "left_semi")
-    order = W.partitionBy(key, mark).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c not in (key, text) and not isinstance(docs.schema[c].dataType, T.MapType)) or [F.lit(1)])
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text) and not isinstance(docs.schema[c].dataType, T.MapType)]
+    order = W.partitionBy(key, mark).orderBy(*others, mark)
     return joined.withColumn(names[2], F.row_number().over(order)).where(F.col(f"`{names[2]}`") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
