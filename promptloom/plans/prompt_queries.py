@@ -221,7 +221,7 @@ def _(s, d):
     return prompts(s, d).select("record_id", "operator", X.validity(made).alias("label"))
 
 
-ORACLES["validity_report"] = f"with c as ({ORACLES['validity_classes']}) select operator, label, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (partition by operator), 6) as share from c group by operator, label having count(*) >= 5"
+ORACLES["validity_report"] = f"with c as ({ORACLES['validity_classes']}) select * from (select operator, label, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (partition by operator), 6) as share from c group by operator, label) where n >= 5"
 
 
 @query("validity_report")
