@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis as A
 from ..operators.rank import average_rank, first_of, front, staircase
 from ..sources.fixtures import runs, table, with_runs
+from ..sources.storage import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,11 @@ def query(name: str, sql: str | None = None, over_runs: bool = True):
     return keep
 
 
+def runs_once(s, d):
+    """The runs, made once for plans that read them in several branches."""
+    return cut(runs(s, d))
+
+
 def rounded(df, *columns: str, places: int = 6):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -47,7 +53,7 @@ select model, method, round(mean, 6) as mean, round(std, 6) as std, n_seeds, rou
     cast(row_number() over (partition by model order by mean desc, method) as integer) as place
 from met m""")
 def _(s, d):
-    return rounded(A.method_report(runs(s, d)), "mean", "std", "avg_rank", "tokens")
+    return rounded(A.method_report(runs_once(s, d)), "mean", "std", "avg_rank", "tokens")
 
 
 @query("macro_by_model_method", """
@@ -72,7 +78,7 @@ _SOME = "select * from runs where calls >= 40 or seed <= 2"
 
 
 def _some(s, d):
-    return runs(s, d).where("calls >= 40 or seed <= 2")
+    return runs_once(s, d).where("calls >= 40 or seed <= 2")
 
 
 @query("coverage_complete_cells", f"with sm as ({_SOME}), c as (select model, task, count(distinct seed) as n_units from sm group by all) select * from c where n_units = (select max(n_units) from c)")
@@ -92,7 +98,7 @@ def _(s, d):
 with g as (select * from (select distinct model from runs), (select distinct method from runs), (select distinct task from runs), (select unnest(range(1, 8)) as seed))
 select g.* from g anti join (select * from runs where calls >= 60) r using (model, method, task, seed)""")
 def _(s, d):
-    r = runs(s, d)
+    r = runs_once(s, d)
     done = r.where("calls >= 60").select("model", "method", "task", "seed")
     grid = r.select("model").distinct().crossJoin(r.select("method").distinct()).crossJoin(r.select("task").distinct()).crossJoin(s.range(1, 8).toDF("seed"))
     return grid.join(done, ["model", "method", "task", "seed"], "left_anti")
@@ -248,7 +254,7 @@ r as (select method,
     cast(rank() over (order by speed) + (count(*) over (partition by speed) - 1) / 2.0 as double) as rank_speed from x)
 select *, round(rank_accuracy * 0.40::double + rank_stability * 0.20::double + rank_generalization * 0.15::double + rank_token_cost * 0.15::double + rank_speed * 0.10::double, 6) as composite from r""")
 def _(s, d):
-    return rounded(A.composite_rank(runs(s, d)), "composite")
+    return rounded(A.composite_rank(runs_once(s, d)), "composite")
 
 
 @query("anova_shares", """
@@ -258,7 +264,7 @@ r as (select model, avg(m) as rm from cells group by all), c as (select method,
 x as (select sum((rm - g) * (rm - g)) as a, sum((cm - g) * (cm - g)) as b, sum(n * (m - rm - cm + g) * (m - rm - cm + g)) as i, sum(n * v) as w from cells join r using (model) join c using (method), g)
 select round(100 * a / (a + b + i + w), 4) as row_share, round(100 * b / (a + b + i + w), 4) as column_share, round(100 * i / (a + b + i + w), 4) as interaction_share, round(100 * w / (a + b + i + w), 4) as within_share from x""")
 def _(s, d):
-    macro = runs(s, d).groupBy("model", "method", "seed").agg(F.avg("test_score").alias("macro"))
+    macro = runs_once(s, d).groupBy("model", "method", "seed").agg(F.avg("test_score").alias("macro"))
     return rounded(A.anova_shares(macro), "row_share", "column_share", "interaction_share", "within_share", places=4)
 
 
@@ -281,13 +287,13 @@ def _(s, d):
 t as (select sum(t * t * t - t)::double as ties from (select count(*) as t from ranks group by model, task, r))
 select k, n, round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))), 6) as statistic from z, t""")
 def _(s, d):
-    f = A.friedman(runs(s, d), ["model", "task"], "method")
+    f = A.friedman(runs_once(s, d), ["model", "task"], "method")
     return rounded(f.select(F.col("k").cast("double"), F.col("n").cast("double"), "statistic"), "statistic")
 
 
 @query("nemenyi_cd", "select count(distinct method) as k, count(distinct (model, task)) as n, round(2.728 * sqrt(5 * 6 / (6.0 * count(distinct (model, task)))), 6) as cd from runs")
 def _(s, d):
-    return rounded(A.nemenyi(runs(s, d), ["model", "task"], "method"), "cd")
+    return rounded(A.nemenyi(runs_once(s, d), ["model", "task"], "method"), "cd")
 
 
 @query("cd_groups", _RANKS + """, a as (select method, round(avg(r), 9) as ar from ranks group by all), i as (select *, row_number() over (order by ar, method) as i from a),
@@ -296,7 +302,7 @@ reach as (select x.i, max(y.i) as last_i, any_value(x.method) as first_item, arg
 k as (select *, max(last_i) over (order by i rows between unbounded preceding and 1 preceding) as b from reach)
 select first_item, last_item, last_i - i + 1 as size from k where last_i > i and (b is null or last_i > b)""")
 def _(s, d):
-    return A.cd_groups(runs(s, d), ["model", "task"], "method")
+    return A.cd_groups(runs_once(s, d), ["model", "task"], "method")
 
 
 @query("holm_adjust", """with p as (select model, method, round(least(1.0, 0.001 * (1 + (sum(calls) % 97))), 9) as p from runs group by all),
@@ -311,7 +317,7 @@ def _(s, d):
 from runs a, runs b where a.method <> b.method group by all)
 select a, b, round(delta, 9) as delta, case when abs(round(delta, 12)) < 0.147 then 'negligible' when abs(delta) < 0.33 then 'small' when abs(delta) < 0.474 then 'medium' else 'large' end as magnitude from d""")
 def _(s, d):
-    return A.cliffs_delta(runs(s, d), "method", "test_score")
+    return A.cliffs_delta(runs_once(s, d), "method", "test_score")
 
 
 @query("expected_max", """with v as (select method, test_score as x, row_number() over (partition by method order by test_score) as i, count(*) over (partition by method) as n from runs), k as (select unnest([1, 2, 5, 10]) as n_draws)
@@ -393,7 +399,7 @@ def _(s, d):
 @query("macro_by_family", """with m as (select model, method, round(avg(test_score), 9) as macro from runs group by all), f as (select distinct model, substr(model, 1, 1) as family from runs)
 select family, method, round(avg(macro), 6) as macro, count(*) as n from m join f using (model) group by all""")
 def _(s, d):
-    r = runs(s, d)
+    r = runs_once(s, d)
     m = r.groupBy("model", "method").agg(A.mean("test_score").alias("macro"))
     families = r.select("model", F.substring("model", 1, 1).alias("family")).dropDuplicates()
     return m.join(families, "model").groupBy("family", "method").agg(F.round(F.avg("macro"), 6).alias("macro"), F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from ..operators import lineage as L
 from ..operators import select as S
 from ..operators.rank import rank_order, top_k
 from ..sources.fixtures import PROMPTS_SQL, named, prompts, table
+from ..sources.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -197,17 +198,17 @@ def _(s, d):
 @query("words_chars", r"select record_id, cast(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as bigint) as words, length(text) as chars, sha256(text) as text_hash from prompts")
 def _(s, d):
     t = F.col("text")
-    return prompts(s, d).select("record_id", X.word_count(t).alias("words"), F.length(t).cast("bigint").alias("chars"), X.text_hash(t).alias("text_hash"))
+    return spread(prompts(s, d)).select("record_id", X.word_count(t).alias("words"), F.length(t).cast("bigint").alias("chars"), X.text_hash(t).alias("text_hash"))
 
 
 @query("sentence_count", r"select record_id, cast(len(list_filter(string_split(regexp_replace(" + _STRIP.format("text") + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: " + _STRIP.format("x") + r" <> '')) as integer) as sentences from prompts")
 def _(s, d):
-    return prompts(s, d).select("record_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+    return spread(prompts(s, d)).select("record_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
 
 @query("span_count", r"select record_id, cast(len(list_filter(string_split_regex(regexp_replace(text, '([.!?:])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: " + _STRIP.format("x") + r" <> '')) as integer) as spans from prompts")
 def _(s, d):
-    return prompts(s, d).select("record_id", F.size(X.spans(F.col("text"))).alias("spans"))
+    return spread(prompts(s, d)).select("record_id", F.size(X.spans(F.col("text"))).alias("spans"))
 
 
 @query("validity_classes", r"""with b as (select record_id, operator, """ + _STRIP.format("case record_id % 7 when 0 then 'Sure, here it is: ' || text when 1 then 'I cannot do that. ' || text when 2 then 'New instruction: ' || text when 3 then '' when 4 then text || ' and then' else text || '.' end") + r""" as t from prompts)
@@ -218,7 +219,7 @@ when not regexp_matches(t, '[.!?:)\]}"''`]$') and len(list_filter(string_split_r
 def _(s, d):
     k, t = F.col("record_id") % 7, F.col("text")
     made = F.when(k == 0, F.concat(F.lit("Sure, here it is: "), t)).when(k == 1, F.concat(F.lit("I cannot do that. "), t)).when(k == 2, F.concat(F.lit("New instruction: "), t)).when(k == 3, "").when(k == 4, F.concat(t, F.lit(" and then"))).otherwise(F.concat(t, F.lit(".")))
-    return prompts(s, d).select("record_id", "operator", X.validity(made).alias("label"))
+    return spread(prompts(s, d)).select("record_id", "operator", X.validity(made).alias("label"))
 
 
 ORACLES["validity_report"] = f"with c as ({ORACLES['validity_classes']}) select * from (select operator, label, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (partition by operator), 6) as share from c group by operator, label) where n >= 5"
@@ -235,14 +236,14 @@ _LETTERS = "regexp_extract_all(text, '[A-Za-z'']+')"
 
 @query("type_token_ratio", f"select record_id, round(case when len({_LETTERS}) > 0 then len(list_distinct(list_transform({_LETTERS}, lambda x: lower(x)))) / len({_LETTERS}) end, 6) as ttr from prompts")
 def _(s, d):
-    return rounded(prompts(s, d).select("record_id", X.type_token_ratio(F.col("text")).alias("ttr")), "ttr")
+    return rounded(spread(prompts(s, d)).select("record_id", X.type_token_ratio(F.col("text")).alias("ttr")), "ttr")
 
 
 @query("flesch", f"""with w as (select record_id, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) as sents, list_transform({_LETTERS}, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) as ws from prompts),
 y as (select record_id, sents, len(ws) as n, list_sum(list_transform(ws, lambda x: case when x = '' then 0 else greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - case when ends_with(x, 'e') and len(regexp_extract_all(x, '[aeiouy]+')) > 1 then 1 else 0 end) end)) as syl from w)
 select record_id, round(case when n > 0 then 206.835::double - 1.015::double * n / sents - 84.6::double * syl / n end, 6) as flesch from y""")
 def _(s, d):
-    return rounded(prompts(s, d).select("record_id", X.flesch(F.col("text")).alias("flesch")), "flesch")
+    return rounded(spread(prompts(s, d)).select("record_id", X.flesch(F.col("text")).alias("flesch")), "flesch")
 
 
 _NOTE = "chr(10) || '[… ' || (length(text) - 300) || ' characters omitted …]' || chr(10)"
@@ -277,7 +278,7 @@ def _(s, d):
 
 @query("grips_delete", "with s as (select record_id, " + _SENTS.format("text") + " as sa from prompts) select record_id, case when len(sa) >= 2 then sha256(array_to_string(list_concat(list_slice(sa, 1, record_id % len(sa)), list_slice(sa, record_id % len(sa) + 2, len(sa))), ' ')) end as kept_hash from s")
 def _(s, d):
-    return prompts(s, d).select("record_id", F.sha2(X.without_sentence(F.col("text"), F.col("record_id")), 256).alias("kept_hash"))
+    return spread(prompts(s, d)).select("record_id", F.sha2(X.without_sentence(F.col("text"), F.col("record_id")), 256).alias("kept_hash"))
 
 
 @query("format_constraint", r"""select record_id, sha256(regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || 'Answer with ONLY the final answer, exactly in the same format as these examples: ''' || operator || ''', ''' || method || '''. No explanation.') as prompt_hash from prompts""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as C
 from ..sources.fixtures import table
+from ..sources.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,7 @@ _BASE = """select l_orderkey as id, l_linenumber as line, cast(l_orderkey % 60 a
 
 
 def _base(s, d):
-    i = table(s, d, "lineitem")
+    i = spread(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     key = F.col("l_orderkey")
     return i.select(
         key.alias("id"), F.col("l_linenumber").alias("line"), (key % 60).cast("string").alias("n"), ((key + F.when(F.col("l_partkey") % 2 == 0, 0).otherwise(F.col("l_suppkey"))) % 60).cast("string").alias("m"),
