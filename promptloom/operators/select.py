@@ -61,6 +61,12 @@ def warm_started(pulls: DataFrame, history: DataFrame, arm: str, reward: str, pr
     return pulls.select(arm, reward).unionByName(pseudo)
 
 
+def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int) -> DataFrame:
+    """``n`` rows without replacement, by weight: the smallest exponential keys, drawn from a hash of the row's key."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) + 1) / F.lit(float((1 << 53) + 1))
+    return df.where(F.col(weight) > 0).orderBy(-F.ln(u) / F.col(weight), key).limit(n)
+
+
 def rewards(pulls: DataFrame, records: DataFrame, elite: Column, slack: float) -> DataFrame:
     """One reward a pull: mean gain over the elite, ``-slack`` for a rejected record, 0 for an empty pull."""
     met = pulls.join(records, "pull_id", "left")
@@ -107,7 +113,7 @@ def holdout_size(total: int) -> int:
 def fixed_split(df: DataFrame, key: str, sizes: DataFrame, by: Sequence[str], test_seed: int = 42, seed: int = 0) -> DataFrame:
     """Test rows by a fixed seed, the rest dealt to train and dev by the run's seed; ``sizes`` has n_train, n_test for each group."""
     test_order = W.partitionBy(*by).orderBy(shuffled(df, key, test_seed), key)
-    met = df.join(F.broadcast(sizes), list(by)).withColumn("_t", F.row_number().over(test_order))
+    met = df.join(sizes, list(by)).withColumn("_t", F.row_number().over(test_order))
     is_test = F.col("_t") <= F.col("n_test")
     rest_order = W.partitionBy(*by, is_test).orderBy(shuffled(df, key, seed), key)
     met = met.withColumn("_r", F.row_number().over(rest_order))
@@ -124,5 +130,5 @@ def export_flags(df: DataFrame, top: int, score: str = "score", seq: str = "reco
     best = df.orderBy(*order).limit(top).select(F.col(seq).alias("_b"), F.lit(True).alias("_top"))
     first = df.orderBy(*order).limit(1).select(F.col(seq).alias("_f"), F.lit(True).alias("_first"))
     ops = df.groupBy(operator).agg(F.max(F.struct(F.col(score), -F.col(seq))).alias("m")).select((-F.col("m")["col2"]).alias("_o"), F.lit(True).alias("_op"))
-    met = df.join(F.broadcast(best), F.col(seq) == F.col("_b"), "left").join(F.broadcast(first), F.col(seq) == F.col("_f"), "left").join(F.broadcast(ops), F.col(seq) == F.col("_o"), "left")
+    met = df.join(F.broadcast(best), F.col(seq) == F.col("_b"), "left").join(F.broadcast(first), F.col(seq) == F.col("_f"), "left").join(ops, F.col(seq) == F.col("_o"), "left")
     return met.withColumn("keep_text", F.coalesce("_top", "_op", F.lit(False))).withColumn("keep_details", F.coalesce("_first", F.lit(False))).select(*df.columns, "keep_text", "keep_details")
