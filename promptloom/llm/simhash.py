@@ -221,10 +221,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     rows = marked.select(marked[key].alias("doc_id"), marked[text].alias("text"), marked[mark].alias("h"))
     fps = cut(fingerprints(rows, keep=["doc_id", "h"]))
     keyed = fps.select("fp", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), "h").alias("rep"))
-    kept = _components(keyed, radius, shard_limit).select(F.col("rep.k").alias("_k"), F.col("rep.h").alias("_h")).distinct()
-    names = [free_name([*docs.columns, mark], n) for n in ("kept_key", "kept_hash", "copy")]
-    kept = kept.toDF(*names[:2])
-    joined = marked.join(kept, marked[key].eqNullSafe(kept[names[0]]) & (marked[mark] == kept[names[1]]), "left_semi")
+    kept = _components(keyed, radius, shard_limit).select(F.xxhash64("rep.k"), F.col("rep.h"), F.col("rep.k")).distinct()
+    names = [free_name([*docs.columns, mark], n) for n in ("kept_hash", "kept_text", "kept_key", "key_hash", "copy")]
+    kept = kept.toDF(*names[:3])
+    hashed = marked.withColumn(names[3], F.xxhash64(marked[key]))
+    # joined and numbered by the same two hashes, so that the texts move once; the keys themselves decide
+    # (spelled out: a null-safe equality would join the hash keys, and the window would need another exchange)
+    equal_keys = F.coalesce(hashed[key] == kept[names[2]], hashed[key].isNull() & kept[names[2]].isNull())
+    same = (hashed[names[3]] == kept[names[0]]) & (hashed[mark] == kept[names[1]]) & equal_keys
+    joined = hashed.join(kept, same, "left_semi")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text) and not isinstance(docs.schema[c].dataType, T.MapType)]
-    order = W.partitionBy(key, mark).orderBy(*others, mark)
-    return joined.withColumn(names[2], F.row_number().over(order)).where(F.col(f"`{names[2]}`") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = W.partitionBy(names[3], mark, F.col(f"`{key}`")).orderBy(*others, mark)
+    return joined.withColumn(names[4], F.row_number().over(order)).where(F.col(f"`{names[4]}`") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
