@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import ship
+
 BATCH = 16
 
 
@@ -45,6 +47,7 @@ def generate(df: DataFrame, make: Callable[[], Client], prompt: str = "prompt",
     What a call uses is returned as columns, not counted in accumulators, which retried tasks would
     count twice.
     """
+    ship(df.sparkSession)
     columns = df.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` string", "calls int", "input_words long", "output_words long"])
 

@@ -1,8 +1,11 @@
-"""Lineage cutting: reliable checkpoints in the folder that the cluster shares."""
+"""What a cluster needs of the driver: a shared folder for checkpoints, and this package on its executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once a context, for the functions that run in their Python workers."""
+    context = spark.sparkContext
+    if getattr(context, "_promptloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="promptloom-package-")), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._promptloom_shipped = True
