@@ -30,7 +30,7 @@ POOL = 48
 _PLACE_BITS = 24
 _PLACE = (1 << _PLACE_BITS) - 1
 #: Rows of a stretch of neighbouring keys, and the most stretches; a stretch's bound is found by comparing twice the root.
-STRETCH_ROWS = 2048
+STRETCH_ROWS = 512
 MAX_STRETCHES = 65536
 #: Where a null key stands.
 LOWEST = -(1 << 63) + 1
