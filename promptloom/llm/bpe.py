@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import pre_tokenizers
 
-from .common import BATCH_ROWS
+from .common import BATCH_ROWS, ship
 
 # The white space and the word pattern of byte-level BPE.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -276,6 +276,7 @@ def map_ids(df: DataFrame, vocabulary: str, adds: T.StructType, row: Callable[[s
     1.5 MB) is broadcast, so that executors need no such path.
     """
     spark = df.sparkSession
+    ship(spark)
     shipped = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     schema = T.StructType([*(df.schema[c] for c in keep), *adds.fields])
@@ -314,6 +315,7 @@ def encode_ids(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 def decode_ids(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Texts of id lists: ``doc_id, text``; null lists give empty texts."""
     spark = df.sparkSession
+    ship(spark)
     shipped = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
     rows = df.select(df[key].alias("doc_id"), df[ids].alias("ids"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType())])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.storage import cut, shared_storage, ship  # noqa: F401  shared with the library
+
 #: Rows of one Arrow batch. Texts can be long, so a batch stays small: 512 texts of
 #: 120 kB are 60 MB in a Python worker.
 BATCH_ROWS = 512
@@ -20,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_storage(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder, or one of our own where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="promptloom-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
-    shared_storage(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def free_name(taken: Iterable[str], wish: str) -> str:
     """``wish``, or ``wish`` with underscores added until no column of any letter case has it."""
     used = {c.lower() for c in taken}
@@ -43,11 +29,6 @@ def free_name(taken: Iterable[str], wish: str) -> str:
     return wish
 
 
-def keyed_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the key and the text, so that no other column can clash with an operator's own."""
-    return df.select(df[key].alias("doc_id"), df[text].alias("text"))
-
-
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list], dict[str, list]]],
@@ -60,6 +41,7 @@ def map_rows(
     The rows of ``df`` stay as they are (all columns, or those in ``keep``), in place and number; the
     columns of ``adds`` follow. ``None`` reaches the function as ``None``.
     """
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in kept), *adds.fields])

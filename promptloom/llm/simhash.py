@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, map_rows
+from .common import cut, free_name, map_rows, ship
 from .components import stars
 
 BITS = 64
@@ -144,6 +144,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT
     """
     if radius > 3:
         raise ValueError("four blocks are exact up to three differing bits")
+    ship(nodes.sparkSession)
     rows = _spread(nodes.select(F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"), "fp"), BITS)
     parts = []
     for bits in (48, 36):

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, ship
 
 SLOTS = 4096
 FANOUT = 8
@@ -60,6 +60,8 @@ def write_archives(rows: DataFrame, folder: str) -> None:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """``archive, slot, page_id, record`` from WARC files; a record whose length or head is broken keeps its bytes, and has the key it names."""
 
+    ship(spark)
+
     def parse(batches):
         import pandas as pd
 
