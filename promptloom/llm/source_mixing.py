@@ -26,7 +26,7 @@ from .common import cut, free_name
 #: Most labelled documents that a fit reads.
 MAX_LABELLED = 4096
 #: Characters that the model counts; all others are one more.
-ALPHABET = 12
+ALPHABET = 32
 #: A text longer than this weighs as much as one of this length: neighbouring characters do not vote
 #: independently, and unbounded they would leave no soft membership.
 EFFECTIVE_BYTES = 150
@@ -42,8 +42,8 @@ class DomainModel:
     priors: tuple[float, ...]
 
     def counts(self, text: Column) -> Column:
-        """How many bytes of each character a text has, and of all together."""
-        whole = F.coalesce(text, F.lit(""))
+        """How many bytes of each character a text has in lower case, and of all together."""
+        whole = F.lower(F.coalesce(text, F.lit("")))
         size = F.octet_length(whole)
         return F.array(*((size - F.octet_length(F.replace(whole, F.lit(c), F.lit("")))).cast("double") for c in self.characters), size.cast("double"))
 
@@ -81,7 +81,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], key: s
     )
     texts = docs.select(docs[key].alias("d"), docs[text].alias("t"))
     joined = texts.join(F.broadcast(chosen), F.col("d") == F.col("k"))
-    letters = joined.select("domain", F.explode(F.split(F.coalesce("t", F.lit("")), "")).alias("c")).where("c <> ''").groupBy("domain", "c").agg(F.sum(F.octet_length("c")).alias("count"))
+    letters = joined.select("domain", F.explode(F.split(F.lower(F.coalesce("t", F.lit(""))), "")).alias("c")).where("c <> ''").groupBy("domain", "c").agg(F.sum(F.octet_length("c")).alias("count"))
     # an alphabet is bounded by its script; rare letters beyond the first thousands carry no weight
     rows = letters.orderBy(F.desc("count"), "domain", "c").limit(2048 * len(domains)).collect()
     held = {r["domain"]: r["n"] for r in joined.groupBy("domain").agg(F.count_distinct("d").alias("n")).collect()}
@@ -143,14 +143,15 @@ def profile(docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str
     return rows.select("doc_id", "n", model.posterior(F.col("c")).alias("p"))
 
 
-def fit_mix(profiles: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, floor: float = 0.0, rounds: int = 60, tolerance: float = 1e-3) -> Mix:
+def fit_mix(profiles: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, floor: float = 0.0, rounds: int = 60, tolerance: float = 1e-4) -> Mix:
     """Fit the rates to ``profile()`` rows, best a cut table. ``targets`` are weights of the domains, ``budget`` the tokens they share out.
 
     Without a budget it is the tokens there are; with ``floor`` 1 (no document is left out) it is the
-    least total that has room for all of them.
+    least total that has room for all of them. The descent ends when every domain that has tokens is
+    within ``tolerance`` of its own target, or when no rate moves any more because the floor holds all.
     """
     rows = profiles.where("n > 0")
-    sums = lambda df, r: [x or 0.0 for x in df.agg(*(F.sum(r * F.col("n") * F.element_at("p", k + 1)) for k in range(len(model.domains)))).first()]
+    sums = lambda df, r, *more: [x or 0.0 for x in df.agg(*(F.sum(r * F.col("n") * F.element_at("p", k + 1)) for k in range(len(model.domains))), *more).first()]
     available = sums(rows, F.lit(1.0))
     total = sum(targets.values())
     shares = [targets[d] / total for d in model.domains]
@@ -161,19 +162,19 @@ def fit_mix(profiles: DataFrame, model: DomainModel, targets: dict[str, float],
     wanted = [s * budget for s in shares]
     gradients: list[tuple[float, ...]] = []
     pending: list[list[float]] = []
-    far: list[float] = []
     state, reached = rows.withColumn("r", F.lit(1.0)), available
     for _ in range(rounds):
         error = [(s - t) / a if a > 0 else 0.0 for s, t, a in zip(reached, wanted, available)]
-        far.append(max(abs(e) * a for e, a in zip(error, available)))
-        # near enough, or held by the floor: no nearer than three rounds ago
-        if not budget or far[-1] <= tolerance * budget or (len(far) > 3 and far[-1] > 0.98 * far[-4]):
+        if not budget or all(abs(e) * a <= tolerance * (t or budget) for e, a, t in zip(error, available, wanted)):
             break
         gradients.append(tuple(error))
         pending.append(error)
         if len(pending) == 6:  # a long expression is cut
-            state, pending = cut(state.withColumn("r", _stepped(F.col("r"), F.col("p"), pending, floor))), []
-        reached = sums(state, _stepped(F.col("r"), F.col("p"), pending, floor))
+            state, pending = cut(state.withColumn("r", _stepped(F.col("r"), F.col("p"), pending[:-1], floor))), pending[-1:]
+        before, after = (_stepped(F.col("r"), F.col("p"), g, floor) for g in (pending[:-1], pending))
+        *reached, moved = sums(state, after, F.sum(F.col("n") * F.abs(after - before)))
+        if moved <= 1e-12 * budget:
+            break
     return Mix(model, tuple(gradients), floor, tuple(available), tuple(wanted), tuple(reached))
 
 

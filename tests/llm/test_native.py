@@ -191,3 +191,22 @@ def test_mixing_odd_rows(spark):
     assert M.rates(M.profile(empty, model), M.fit_mix(M.profile(empty, model), model, {"de": 1, "en": 1, "es": 1})).count() == 0
     untaught = M.fit_domains(docs, docs.select("doc_id", F.col("lang").alias("domain")).limit(0), ["de", "en"])
     assert M.rates(M.profile(docs, untaught), M.fit_mix(M.profile(docs, untaught), untaught, {"de": 1, "en": 1})).count() == len(TEXTS)
+
+
+def test_small_targets_are_met_and_case_does_not_tell(spark):
+    docs = corpus(spark)
+    model = M.fit_domains(docs, docs.select("doc_id", F.col("lang").alias("domain")), ["de", "en", "es"])
+    mix = M.fit_mix(M.profile(docs, model).cache(), model, {"de": 0.003, "en": 0.797, "es": 0.2})
+    assert all(got == pytest.approx(want, rel=1.1e-4) for got, want in zip(mix.reached, mix.targets))
+    cases = lambda up: M.profile(docs.withColumn("text", F.initcap("text") if up else F.col("text")), model)
+    assert {r["doc_id"]: r["p"] for r in cases(True).collect()} == {r["doc_id"]: r["p"] for r in cases(False).collect()}
+
+
+def test_languages_of_the_given_texts(spark):
+    from promptloom.llm.queries import TARGETS, labelled_domains
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = M.fit_domains(docs, labelled_domains(docs, labels), sorted(TARGETS))
+    rows = M.profile(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    right = sum(sorted(TARGETS)[max(range(4), key=lambda k: r["p"][k])] == r["lang"] for r in rows) / len(rows)
+    assert right >= 0.963
