@@ -1,15 +1,15 @@
 """Order MinHash: fingerprints that follow edit distance, in DataFrame functions only.
 
-A text is a sequence of tokens: words, cut into pieces of at most eight characters so that a text without
-spaces has a sequence too. Each k-mer of tokens gets its occurrence number (the third time the same
-k-mer is found is another element than the first), so repeats count. Of the numbered k-mers the
-``pool`` smallest by one hash are a sample that two like texts share; for each of ``slots`` further
-hashes the ``tuple_size`` smallest of the pool are taken, put back in text order, and hashed together.
+A text is a sequence of tokens: words, cut into pieces of at most six characters. A run without a space
+of more than 24 characters gives all its pieces of six, one from each character on, so that an inserted
+character changes the pieces around it only. Each k-mer of tokens gets its occurrence number (the third
+time the same k-mer is found is another element than the first), so repeats count. For each of ``slots``
+hashes the ``tuple_size`` smallest of all numbered k-mers are taken, put back in text order, and hashed together.
 The likeness of two fingerprints is the share of slots that agree: it falls both when content changes
 and when content moves.
 
 All of it works on arrays within a row: a sort by hash brings equal k-mers together, where their place
-in the run is the occurrence number. Cost is n log n in a text's tokens and no row is exploded.
+in the run is the occurrence number. Cost is n log n in a text's tokens, n for each slot, and no row is exploded.
 
 Defined results: a null text is an empty one. A text of fewer tokens than k is one k-mer; without
 tokens the fingerprint is the empty string. Two empty fingerprints are alike (1), an empty one and
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 K = 2
 TUPLE = 2
 SLOTS = 32
-POOL = 48
+#: Characters of a token, and the length up to which a run without spaces is cut at a fixed stride.
+PIECE = 6
+LONGEST_WORD = 24
 #: Places in a text fit in so many bits; the rest of a long holds the hash.
 _PLACE_BITS = 24
 _PLACE = (1 << _PLACE_BITS) - 1
@@ -41,15 +43,24 @@ def _packed(value: Column, place: Column) -> Column:
     return value.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(place.cast("long"))
 
 
-def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots: int = SLOTS, pool: int = POOL, tuple_size: int = TUPLE) -> DataFrame:
+def tokens(text: Column) -> Column:
+    """The tokens of a text in order: pieces of words, and overlapping pieces of long runs."""
+    run = r"[^\x20\x09-\x0D]"
+    pieces = F.regexp_extract_all(text, F.lit(f"{run}{{1,{PIECE}}}"), F.lit(0))
+    overlapping = lambda w: F.regexp_extract_all(w, F.lit(f"(?s)(?=(.{{{PIECE}}}))."), F.lit(1))
+    cut_up = lambda w: F.when(F.length(w) > LONGEST_WORD, overlapping(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    either = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"{run}+"), F.lit(0)), cut_up))
+    return F.when(text.rlike(f"{run}{{{LONGEST_WORD + 1}}}"), either).otherwise(pieces)
+
+
+def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots: int = SLOTS, tuple_size: int = TUPLE) -> DataFrame:
     """``df`` with the fingerprint of ``text`` in column ``into``: ``slots`` times eight hex digits.
 
     Each step is a column of its own, so that no array is made twice.
     """
     w = lambda n: f"_{into}_{n}"
     col = lambda n: F.col(w(n))
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0))
-    out = df.withColumn(w("t"), F.transform(tokens, lambda t: F.xxhash64(t)))
+    out = df.withColumn(w("t"), F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
     n = F.size(col("t"))
     # k-mers, as hash and place, in order of the hash
     mer = lambda x, i: F.xxhash64(x, *(F.get(col("t"), i + j) for j in range(1, k)))
@@ -62,17 +73,25 @@ def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots:
     last = lambda j: F.coalesce(F.get(col("b"), j + 1), F.size(col("r")))
     number = lambda x, o: _packed(F.xxhash64(F.shiftright(x, _PLACE_BITS), o), x.bitwiseAND(F.lit(_PLACE)))
     numbered = F.flatten(F.transform(col("b"), lambda b, j: F.transform(F.slice(col("r"), b + 1, last(j) - b), number)))
-    first = F.slice(F.filter(col("s"), lambda x, i: ~again(col("s"), i)), 1, pool)
-    out = out.withColumn(w("p"), F.slice(F.sort_array(F.concat(first, numbered)), 1, pool))
+    out = out.withColumn(w("p"), F.concat(F.filter(col("s"), lambda x, i: ~again(col("s"), i)), numbered))
+
+    # about 16 hashes of a slot are under this bound; where fewer than wanted are, all are ranked
+    size, least, most = F.size(col("p")), -(1 << 63), (1 << 63) - 1
+    share = F.floor(F.lit(most) / F.greatest(size, F.lit(1))).cast("long")
+    bound = F.when(size < 64, F.lit(most)).otherwise(F.lit(least) + share * 32)
 
-    def slot(j: Column) -> Column:
-        ranked = F.sort_array(F.transform(col("p"), lambda x: _packed(F.xxhash64(F.shiftright(x, _PLACE_BITS), j), x.bitwiseAND(F.lit(_PLACE)))))
+    def slot(j: Column, low_end: Column) -> Column:
+        ranks = lambda x: F.xxhash64(F.shiftright(x, _PLACE_BITS), j)
+        low = F.transform(F.array(F.filter(col("p"), lambda x: ranks(x) <= low_end)), lambda f: F.when(F.size(f) >= tuple_size, f).otherwise(col("p")))[0]
+        ranked = F.sort_array(F.transform(low, lambda x: _packed(ranks(x), x.bitwiseAND(F.lit(_PLACE)))))
         # back in text order: the place in the upper bits, 39 bits of the hash below
         turned = F.transform(F.slice(ranked, 1, tuple_size), lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 39).bitwiseOR(F.shiftrightunsigned(x, 64 - 39)))
         hashed = F.xxhash64(F.transform(F.sort_array(turned), lambda x: x.bitwiseAND(F.lit((1 << 39) - 1))))
         return F.lpad(F.lower(F.hex(hashed.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
-    text_of = F.when(F.size(col("p")) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(slots)), slot), ""))
+    # the bound is given a name in the expression: as a column it would be put into the lambdas and made for every k-mer
+    joined = F.transform(F.array(bound), lambda e: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda j: slot(j, e)), ""))[0]
+    text_of = F.when(F.size(col("p")) == 0, "").otherwise(joined)
     return out.withColumn(into, text_of).drop(*(w(x) for x in "tsrbp"))
 
 

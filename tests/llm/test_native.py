@@ -210,3 +210,41 @@ def test_languages_of_the_given_texts(spark):
     rows = M.profile(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     right = sum(sorted(TARGETS)[max(range(4), key=lambda k: r["p"][k])] == r["lang"] for r in rows) / len(rows)
     assert right >= 0.963
+
+
+# --- order min-hash over whole texts
+
+
+def brute_order_minhash(spark, text):
+    """The fingerprint, slot by slot over all numbered k-mers, with Spark's hash only."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    pieces = [p for w in words for p in ([w[i : i + 6] for i in range(0, len(w), 6)] if len(w) <= 24 else [w[i : i + 6] for i in range(len(w) - 5)])]
+    hashed = lambda rows, kinds: [r[0] for r in spark.createDataFrame(list(enumerate(rows)), f"i int, r struct<{kinds}>").select("i", F.xxhash64("r")).orderBy("i").select(F.col("xxhash64(r)")).collect()]
+    t = hashed([(p,) for p in pieces], "a string")
+    mers = [m >> 24 for m in hashed([(t[i], t[i + 1]) for i in range(len(t) - 1)], "a long, b long")]
+    seen, elements = {}, []
+    for at, m in enumerate(mers):
+        seen[m] = seen.get(m, 0) + 1
+        elements.append((m, seen[m] - 1, at))
+    assert len(seen) == len(mers)  # texts without repeats: the number changes nothing
+    ranks = hashed([(m, j) for j in range(1, 33) for m, _, _ in elements], "a long, j int")
+    out = []
+    for j in range(32):
+        own = sorted(((h >> 24, at) for h, (_, _, at) in zip(ranks[j * len(elements) : (j + 1) * len(elements)], elements)))[:2]
+        out.append([h >> 1 & ((1 << 39) - 1) for h, _ in sorted(own, key=lambda x: x[1])])
+    arrays = spark.createDataFrame(list(enumerate(out)), "i int, a array<long>").select(F.xxhash64("a").alias("h"), "i").orderBy("i").collect()
+    return "".join(f"{r['h'] & 0xFFFFFFFF:08x}" for r in arrays)
+
+
+def test_every_slot_ranks_all_kmers(spark):
+    for text in (" ".join(f"word{i * 7919 % 100003}" for i in range(600)), " ".join(f"tok{i}" for i in range(40)) + " " + "".join(chr(0x4E00 + i * 37 % 20000) for i in range(300))):
+        got = O.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["fingerprint"]
+        assert got == brute_order_minhash(spark, text)
+
+
+def test_a_character_inserted_into_unspaced_text(spark):
+    long = "".join(chr(0x4E00 + i * i * 37 % 20000) for i in range(1500))
+    texts = [long, "x" + long, long[:700] + "x" + long[700:], "😀" + long]
+    f = [r["fingerprint"] for r in O.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for other in f[1:]:
+        assert sum(f[0][i : i + 8] == other[i : i + 8] for i in range(0, 256, 8)) / 32 > 0.8
