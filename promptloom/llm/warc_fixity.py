@@ -7,7 +7,10 @@ compared at their roots; only under roots that differ are the next nodes compare
 the records that were altered, lost or added, with the bytes of the archive where they belong.
 
 A slot is a matter of the key, not of what comes before it, so that one lost record does not shift the
-others into differing.
+others into differing. Records read from files also have their place there: the root of an archive covers
+the order of its slots by place, and an audit ranks the slots that both replicas have by place, so that
+a record that is whole but stands elsewhere among the others is found (``moved``). Records of a table
+stand in slot order. Records that share a key have the place of their first, their order is not compared.
 
 Defined results: null addresses and bodies are empty ones. A null key is laid into archive -1, slot 0.
 Records that share a key share a slot, whose digest is of all of them together; it is made by sums,
@@ -58,7 +61,10 @@ def write_archives(rows: DataFrame, folder: str) -> None:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """``archive, slot, page_id, record`` from WARC files; a record whose length or head is broken keeps its bytes, and has the key it names."""
+    """``archive, slot, page_id, record, file, start`` from WARC files: the record's own bytes and its place.
+
+    A record whose length or head is broken keeps its bytes, and has the key it names.
+    """
 
     ship(spark)
 
@@ -67,17 +73,19 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for archive, content in zip(batch["archive"], batch["content"]):
+            for archive, file, content in zip(batch["archive"], batch["file"], batch["content"]):
+                start = 0
                 for body in split_records(bytes(content)):
                     name = body.partition(b"<urn:page:")[2].partition(b">")[0]
                     page = int(name) if name.lstrip(b"-").isdigit() else None
                     at = -SLOTS if page is None else page
-                    rows.append((archive, at % SLOTS, page, body.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["archive", "slot", "page_id", "record"]).astype({"page_id": "Int64"})
+                    rows.append((archive, at % SLOTS, page, body, file, start))
+                    start += len(body) + 4
+            yield pd.DataFrame(rows, columns=["archive", "slot", "page_id", "record", "file", "start"]).astype({"page_id": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(folder)
-    named = files.select(F.regexp_extract("path", r"archive=(-?\d+)", 1).cast("long").alias("archive"), "content")
-    schema = T.StructType([T.StructField("archive", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("page_id", T.LongType()), T.StructField("record", T.StringType())])
+    named = files.select(F.regexp_extract("path", r"archive=(-?\d+)", 1).cast("long").alias("archive"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "content")
+    schema = T.StructType([T.StructField("archive", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("page_id", T.LongType()), T.StructField("record", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("start", T.LongType())])
     return named.mapInPandas(parse, schema)
 
 
@@ -97,14 +105,18 @@ def split_records(data: bytes) -> list[bytes]:
 
 
 def leaves(rows: DataFrame) -> DataFrame:
-    """One row a slot: digest, records, bytes, key and offset range."""
-    hashed = rows.select("archive", "slot", "page_id", F.sha2("record", 256).alias("sha"), (F.octet_length("record") + 4).cast("long").alias("size"))
+    """One row a slot: digest, records, bytes, key and offset range, and its place where the rows have one."""
+    placed = [c for c in ("file", "start") if c in rows.columns]
+    hashed = rows.select("archive", "slot", "page_id", F.sha2("record", 256).alias("sha"), (F.octet_length("record") + 4).cast("long").alias("size"), *placed)
     half = lambda i: F.conv(F.substring("sha", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
     slots = hashed.groupBy("archive", "slot").agg(
         F.count("*").alias("records"), F.sum("size").alias("size"), F.min("page_id").alias("page_id"), F.min("sha").alias("sha"),
         *(F.sum(half(i)).alias(f"s{i}") for i in range(4)),
+        *([F.min(F.struct("file", "start")).alias("place"), F.max(F.struct("file", F.col("start") + F.col("size"))).alias("until")] if placed else []),
     )
     digest = F.when(F.col("records") == 1, F.col("sha")).otherwise(F.sha2(F.concat_ws(":", "records", *(f"s{i}" for i in range(4))), 256))
+    if placed:
+        return slots.select("archive", "slot", "page_id", "records", digest.alias("digest"), F.col("place.start").alias("start_offset"), F.col("until.col2").alias("end_offset"), "place")
     end = F.sum("size").over(W.partitionBy("archive").orderBy("slot"))
     return slots.select("archive", "slot", "page_id", "records", digest.alias("digest"), (end - F.col("size")).alias("start_offset"), end.alias("end_offset"))
 
@@ -121,16 +133,29 @@ def level(leaf: DataFrame, up: int) -> DataFrame:
     return rows
 
 
+def _place(leaf: DataFrame) -> Column:
+    """What puts the slots of an archive in order."""
+    return F.col("place") if "place" in leaf.columns else F.struct(F.lit("").alias("file"), F.col("slot").cast("long").alias("start"))
+
+
+def moved(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """``archive, slot`` of leaves that stand elsewhere among those that both sides have; an archive has ``SLOTS`` at most."""
+    one, other = (x.select("archive", "slot", _place(x).alias(n)) for n, x in (("p_place", primary), ("r_place", replica)))
+    rank = lambda c: F.row_number().over(W.partitionBy("archive").orderBy(c, "slot"))
+    return one.join(other, ["archive", "slot"]).withColumn("p", rank("p_place")).withColumn("r", rank("r_place")).where("p <> r").select("archive", "slot")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Compare two sets of ``records()``: one row for each slot that differs.
 
-    Columns: archive, slot, page_id, verdict (altered, lost, added), the offset range in the archive
+    Columns: archive, slot, page_id, verdict (altered, lost, added, moved), the offset range in the archive
     that holds it (the primary's, or the replica's for what was added), and both digests.
     """
     sides = [cut(leaves(x)) for x in (primary, replica)]
+    trees = [s.drop("place") for s in sides]
     differing = None
     for up in range(LEVELS, -1, -1):
-        one, other = (level(s, up) if up else s.withColumnRenamed("slot", "node") for s in sides)
+        one, other = (level(s, up) if up else s.withColumnRenamed("slot", "node") for s in trees)
         if differing is not None:  # descend below nodes that differ only
             parent = [F.col("archive").eqNullSafe(F.col("a")), F.shiftright("node", FANOUT.bit_length() - 1) == F.col("n")]
             one, other = (x.join(differing, parent, "left_semi") for x in (one, other))
@@ -141,15 +166,23 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             differing = met.select(F.col("archive").alias("a"), F.col("node").alias("n"))
     either = lambda c: F.coalesce(F.col(f"p.{c}"), F.col(f"r.{c}")).alias(c)
     verdict = F.when(F.col("r.digest").isNull(), "lost").when(F.col("p.digest").isNull(), "added").otherwise("altered")
-    return met.select(
+    found = met.select(
         "archive", F.col("node").alias("slot"), either("page_id"), verdict.alias("verdict"), either("start_offset"), either("end_offset"),
         F.col("p.digest").alias("primary_sha256"), F.col("r.digest").alias("replica_sha256"),
     )
+    if not any("place" in s.columns for s in sides):  # both in slot order
+        return found
+    same = sides[0].join(moved(*sides), ["archive", "slot"], "left_semi").join(sides[1].select("archive", "slot", F.col("digest").alias("other")), ["archive", "slot"])
+    whole = same.where("digest = other").select("archive", "slot", "page_id", F.lit("moved").alias("verdict"), "start_offset", "end_offset", F.col("digest").alias("primary_sha256"), F.col("other").alias("replica_sha256"))
+    return found.unionByName(whole)
 
 
 def roots(rows: DataFrame) -> DataFrame:
-    """``archive, digest`` and the bytes of each archive."""
-    return level(leaves(rows), LEVELS).select("archive", "digest", F.col("end_offset").alias("bytes"))
+    """``archive, digest`` and the bytes of each archive; the digest covers the tree and the order of the slots."""
+    leaf = leaves(rows)
+    order = F.transform(F.sort_array(F.collect_list(F.struct(_place(leaf).alias("place"), "slot"))), lambda x: x["slot"])  # SLOTS entries at most
+    orders = leaf.groupBy("archive").agg(F.array_join(order, ",").alias("order"))
+    return level(leaf, LEVELS).join(orders, "archive").select("archive", F.sha2(F.concat_ws(";", "digest", "order"), 256).alias("digest"), F.col("end_offset").alias("bytes"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:

@@ -121,3 +121,40 @@ def test_audit_query_equals_sql(spark):
     want = db.sql(X.AUDIT_SQL)
     got = op5_warc_fixity(spark, folder)
     assert counted(got.select(*want.columns).collect()) == counted(want.fetchall())
+
+
+def rewritten(folder, archive, change):
+    part = next((folder / f"archive={archive}").glob("part-*"))
+    part.write_bytes(change(part.read_bytes()))
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+
+
+def test_records_that_changed_places_are_found(spark, tmp_path):
+    made = X.records(spark.createDataFrame([(i, f"u{i}", "b" * (i - 90)) for i in range(100, 120)], "page_id long, url string, html string"))
+    X.write_archives(made, str(tmp_path / "w"))
+    back = lambda: X.read_archives(spark, str(tmp_path / "w"))
+    roots = lambda rows: [tuple(r) for r in X.roots(rows).collect()]
+    whole = roots(back())
+    assert whole == roots(made)
+
+    def swap(data):
+        parts = data.split(b"\r\n\r\nWARC/1.1")
+        parts[5], parts[9] = parts[9], parts[5]
+        return b"\r\n\r\nWARC/1.1".join(parts)
+
+    rewritten(tmp_path / "w", 0, swap)
+    found = X.audit(made, back()).collect()
+    assert counted((r["page_id"], r["verdict"]) for r in found) == counted([(105, "moved"), (109, "moved")])
+    assert roots(back())[0][0] == 0 and roots(back())[0][1] != whole[0][1]
+    # a lost record alone moves nothing
+    rewritten(tmp_path / "w", 0, lambda d: swap(d).replace(record(103, "u103", "b" * 13).encode() + b"\r\n\r\n", b""))
+    assert [(r["page_id"], r["verdict"]) for r in X.audit(made, back()).collect()] == [(103, "lost")]
+
+
+def test_damage_in_bytes_that_are_not_text_is_found(spark, tmp_path):
+    made = X.records(spark.createDataFrame([(i, "u", "picture: ??") for i in range(5)], "page_id long, url string, html string"))
+    for name, end in (("a", b"\xff\xfe"), ("b", b"\xff\xfd")):
+        X.write_archives(made, str(tmp_path / name))
+        rewritten(tmp_path / name, 0, lambda d, end=end: d.replace(b"??", b"\xff\xfe", 4).replace(b"??", end))
+    one, other = (X.read_archives(spark, str(tmp_path / n)) for n in "ab")
+    assert [(r["page_id"], r["verdict"]) for r in X.audit(one, other).collect()] == [(4, "altered")]
