@@ -3,11 +3,16 @@
 Three base kinds are taken by pattern alone (``assign``, ``access``, ``hex``). Further kinds are
 reported only where the decoded bytes hold together:
 
-* ``der``  base64 (bare or in a PEM block) or hex that decodes to an ASN.1 sequence whose nested
+* ``der``  base64 or base64url (bare or in a PEM block) or hex that decodes to an ASN.1 sequence whose nested
   lengths fill it exactly and whose shape is that of a private key (PKCS#1, PKCS#8, EC);
-* ``ssh``  base64 that decodes to an OpenSSH private key with its length-prefixed fields;
+* ``ssh``  base64, base64url or hex that decodes to an OpenSSH private key with its length-prefixed fields;
 * ``jwt``  three base64url parts, the first two JSON objects, the first naming an algorithm.
 
+Bare keys may be wrapped: lines, literals in quotes and ``\\n`` are joined, as are hex bytes set apart by colons,
+blanks, commas, ``0x`` or ``\\x``. A key's own lengths say where it ends; there the run must end, or be parted.
+A PEM block whose headers say that it is encrypted (``Proc-Type``, ``DEK-Info``) holds ciphertext without a
+structure: it is confirmed by headers and base64 and is of the kind ``der``.
+
 Spans are in code points, end exclusive. Defined results: a null text has no spans, as has an empty
 one; whole texts are searched, however long; repeated rows are scanned alike; an empty table gives
 no rows.
@@ -36,9 +41,15 @@ _ASSIGN = re.compile(r"((?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD]))|[sS][e
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of fewer than 16 fails, and runs are maximal
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,})-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/]{31,}|b3BlbnNzaC1r[A-Za-z0-9+/]{20,})={0,2}(?![A-Za-z0-9+/_=-])")
-_HEX_DER = re.compile(r"(?<![0-9A-Za-z])30(?:[0-9a-f]{2}){23,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])30(?:[0-9A-F]{2}){23,}(?![0-9A-Za-z])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----((?:(?:\s|\\[nr])*[A-Z][A-Za-z0-9-]*:[^\n\\]*(?:\n|\\n))*)([A-Za-z0-9+/=\s\\]{16,})-----END \1-----")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED.*DEK-Info:\s*[A-Za-z0-9-]+,[0-9A-Fa-f]+", re.S)
+#: What may part a wrapped key: a line's end or closed and opened quotes, with what stands around them.
+_STEP = rf"(?:\\[rn])?(?:[\"'](?:\s|[,+.\\()])*[\"']|\\[rn]|\s*[\r\n]\s*)"
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M|b3Bl)[A-Za-z0-9+/_-]{16}")
+_LETTER = re.compile(rf"(?:{_STEP})?([A-Za-z0-9+/_-])")
+_HEX_STEP = r"(?:[\"'](?:\s|[,+.\\()])*[\"']|[:,\s-]|\\[rn]){0,80}(?:0[xX]|\\x)?"
+_HEX_KEY = re.compile(rf"(?:(?<![0-9A-Za-z])|(?<=0[xX])|(?<=\\x))(?:30|6[fF](?={_HEX_STEP}70{_HEX_STEP}65))(?={_HEX_STEP}[0-9A-Fa-f]{{2}})")
+_BYTE = re.compile(rf"{_HEX_STEP}([0-9A-Fa-f]{{2}})")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -91,8 +102,13 @@ def is_private_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """Whether ``data`` is an OpenSSH private key: magic, three strings, a count and as many keys."""
+    return _ssh_end(data) == len(data)
+
+
+def _ssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key at the beginning of ``data`` ends, or None."""
     if not data.startswith(_SSH_MAGIC):
-        return False
+        return None
     at = len(_SSH_MAGIC)
 
     def field() -> bytes | None:
@@ -106,10 +122,21 @@ def is_ssh_key(data: bytes) -> bool:
 
     cipher, kdf, options = field(), field(), field()
     if None in (cipher, kdf, options) or not cipher or not kdf:
-        return False
+        return None
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= count <= 16 and all(field() is not None for _ in range(count + 1)) and at == len(data)
+    return at if 1 <= count <= 16 and all(field() is not None for _ in range(count + 1)) else None
+
+
+def _key_end(data: bytes) -> int | None:
+    """Where the key at the beginning of ``data`` ends by its own lengths, or None."""
+    if data[:1] != b"\x30":
+        return _ssh_end(data)
+    size, at = (data[1] if len(data) > 1 else 0), 2
+    if size >= 0x80:
+        at = 2 + (size & 0x7F)
+        size = int.from_bytes(data[2:at], "big") if 2 < at <= 6 else 0
+    return at + size if size and at + size <= len(data) else None
 
 
 def _decoded(text: str, urlsafe: bool = False) -> bytes | None:
@@ -145,6 +172,62 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_private_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def _needed(head: bytes) -> int:
+    """How many bytes to read of what begins so: none where no key does, all for an OpenSSH key."""
+    if head[:1] != b"\x30":
+        return 1 << 40 if _SSH_MAGIC.startswith(head[: len(_SSH_MAGIC)]) else 0
+    at = 2 + (head[1] & 0x7F if head[1] >= 0x80 else 0)
+    size = head[1] if at == 2 else int.from_bytes(head[2:at], "big")
+    if at > 6:
+        return 0
+    # a version, or the algorithm's sequence with its object identifier, as is_private_key asks for
+    name = at + 2 + (head[at + 1] & 0x7F if head[at + 1] >= 0x80 else 0)
+    version = head[at : at + 3] in (b"\x02\x01\x00", b"\x02\x01\x01")
+    return at + size if version or (head[at] == 0x30 and head[name : name + 1] in (b"\x06", b"")) else 0
+
+
+def _units(text: str, at: int, unit: re.Pattern, head: int, needed) -> tuple[list[str], list[int]]:
+    """Letters or bytes from ``at`` on and where each ends; after ``head`` of them, as many as ``needed`` says."""
+    got, ends, most = [], [], head
+    while len(got) < most and (m := unit.match(text, at)):
+        at = m.end()
+        got.append(m[1])
+        ends.append(at)
+        if len(got) == head:
+            most = needed("".join(got))
+    return got, ends
+
+
+def _base64_span(text: str, begin: int) -> tuple[int, str, int] | None:
+    """The key whose base64 begins here, wrapped or not."""
+    got, ends = _units(text, begin, _LETTER, 16, lambda h: -(-_needed(_decoded(h, True)) * 4 // 3))
+    letters = "".join(got)
+    data = _decoded(letters[: len(letters) - (len(letters) % 4 == 1)], True) or b""
+    size = _key_end(data)
+    kind = _key_kind(data[:size]) if size else None
+    if not kind:
+        return None
+    n = -(-size * 4 // 3)
+    end, padding = ends[n - 1], -n % 4
+    if end < len(text) and re.match(r"[A-Za-z0-9+/_-]", text[end]):  # goes on: not this key
+        return None
+    return begin, kind, end + padding if padding and text[end : end + padding] == "=" * padding else end
+
+
+def _hex_span(text: str, begin: int) -> tuple[int, str, int] | None:
+    """The key whose hex begins here, parted or not."""
+    got, ends = _units(text, begin, _BYTE, 15, lambda h: _needed(bytes.fromhex(h)))
+    data = bytes.fromhex("".join(got))
+    size = _key_end(data)
+    kind = _key_kind(data[:size]) if size else None
+    if not kind:
+        return None
+    end = ends[size - 1]
+    if end < len(text) and text[end].isascii() and text[end].isalnum():
+        return None
+    return begin - 2 if text[max(0, begin - 2) : begin].lower() in ("0x", "\\x") else begin, kind, end
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     out = [(m.start(), "assign", m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12] if "=" in text or ":" in text else []
     if "AKIA" in text:
@@ -157,16 +240,20 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     blocks: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = re.sub(r"\\[nr]|\s", "", m[2])
-            if kind := _key_kind(_decoded(body)):
+            body = re.sub(r"\\[nr]|\s", "", m[3])
+            sealed = _ENCRYPTED.search(m[2]) and _decoded(body)
+            if kind := "der" if sealed else _key_kind(_decoded(body)):
                 out.append((m.start(), kind, m.end()))
                 blocks.append(m.span())
-    for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in blocks) and (kind := _key_kind(_decoded(m[0]))):
-            out.append((m.start(), kind, m.end()))
-    for m in _HEX_DER.finditer(text):
-        if kind := _key_kind(bytes.fromhex(m[0])):
-            out.append((m.start(), kind, m.end()))
+    for pattern, span in ((_BASE64, _base64_span), (_HEX_KEY, _hex_span)):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.start() + 1
+            if any(a <= m.start() < b for a, b in blocks):
+                continue
+            if got := span(text, m.start()):
+                out.append(got)
+                at = got[2]
     if ".ey" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_token(m[0])]
     return out

@@ -139,3 +139,25 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert "abcdef0123456789" not in five["text"] and "AKIA" not in five["text"] and five["text"].count("[secret]") == 2 and five["n_chars"] == len(five["text"])
     assert counted((r["doc_id"], r["text"]) for r in clean.where("doc_id is null or doc_id <> 5").collect()) == counted((k, t) for k, t in TEXTS if k != 5)
     assert S.redact(no_documents(spark)).count() == 0
+
+
+def lines(text, n=64, by="\n"):
+    return by.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+def test_keys_in_other_clothes():
+    for data, kind in ((RSA, "der"), (PKCS8, "der"), (EC, "der"), (SSH, "ssh")):
+        h = data.hex()
+        mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(h))
+        forms = [
+            lines(b64(data), 40), lines(b64(data), 40, "\r\n  "), lines(b64(data), 40, "\\n"), lines(b64(data), 40, '" +\n    "'), b64(data, True),
+            h, h.upper(), mixed, "0x" + h, ":".join(h[i : i + 2] for i in range(0, len(h), 2)), ", ".join("0x" + h[i : i + 2] for i in range(0, len(h), 2)),
+            lines(h, 32), "".join("\\x" + h[i : i + 2] for i in range(0, len(h), 2)),
+        ]
+        for form in forms:
+            text = f"é = '{form}' and more"
+            assert S.confirmed_spans(text) == [(5, kind, 5 + len(form))], form
+            assert S.confirmed_spans(f"é = '{form[:-12]}' and more") == []
+    sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF\n\n" + lines(b64(bytes(range(7, 207)))) + "\n-----END RSA PRIVATE KEY-----"
+    assert S.confirmed_spans(f"a {sealed} b") == [(2, "der", 2 + len(sealed))]
+    assert S.confirmed_spans(sealed.replace("DEK-Info", "Other")) == []
