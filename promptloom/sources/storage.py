@@ -4,19 +4,37 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_storage(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder, or one of our own where none is set."""
+def shared_storage(spark: SparkSession) -> str:
+    """Make ``checkpoint()`` usable and return its folder: the cluster's shared one.
+
+    Where none is set, a local run makes one of its own; on a cluster that is an error, since a folder of
+    one machine is not seen by the others.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="promptloom-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="promptloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that is written and read again."""
+    return f"{shared_storage(spark)}/{name}-{uuid.uuid4()}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark keeps it; nothing happens where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
