@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.storage import cut, shared_storage, ship  # noqa: F401  shared with the library
+from ..sources.storage import cut, remove_folder, shared_folder, shared_storage, ship  # noqa: F401  shared with the library
 
-#: Rows of one Arrow batch. Texts can be long, so a batch stays small: 512 texts of
-#: 120 kB are 60 MB in a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: texts can be long, and a batch ends with the row that reaches either.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +28,12 @@ def free_name(taken: Iterable[str], wish: str) -> str:
     return wish
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches small. The setting is read when a plan runs, so it stays on the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list], dict[str, list]]],
@@ -42,7 +47,7 @@ def map_rows(
     columns of ``adds`` follow. ``None`` reaches the function as ``None``.
     """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
     kept = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in kept), *adds.fields])
     arrow = to_arrow_schema(schema)

@@ -4,7 +4,7 @@ A fingerprint has 64 bits; with four blocks of 16, two fingerprints that differ
 fewer agree on a block. So (block, value) makes the shards, and every link lies in one. Each shard's
 distinct fingerprints go into a BK-tree, whose children are keyed by their Hamming distance to the
 parent; a search follows the edges within the radius only. A shard with more members than
-``shard_limit`` is split again on the bits that are left (12 and then 9 at a time), by the same
+``shard_limit`` is split again on a quarter of the bits that are left, as often as need be, by the same
 argument without loss. Trees reach the tasks by their shard's key, not by a broadcast from the
 driver: the fingerprints of a whole corpus have no size bound that the driver could hold.
 
@@ -18,6 +18,7 @@ the smallest key that is not null, and is null where a component has none. An em
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ SEED = 42
 RADIUS = 3
 #: Members of a shard beyond which it is split on further bits.
 SHARD_LIMIT = 1024
+#: Bits of a fingerprint below which a shard is not split: it has a few hundred distinct members at most.
+LEAST_BITS = 9
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -50,7 +53,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = [0, *(ends[: -width] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], np.uint64)
+    return majority_bits(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero where there is none."""
     set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes(), "little")
 
@@ -123,16 +130,18 @@ def forest(members: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def _spread(rows: DataFrame, bits: int) -> DataFrame:
-    """Each of ``shard, rest, fp`` under its four sub-shards of a quarter of ``rest``'s ``bits``."""
+    """Each of ``shard, rest, fp`` under its four sub-shards of a quarter of ``rest``'s ``bits``.
+
+    Sub-shards are named by a hash: should two have one name, they are searched as one and no link is lost.
+    """
     part = bits // 4
     ones = (1 << part) - 1
 
     def option(i: int):
         low = F.col("rest").bitwiseAND(F.lit((1 << i * part) - 1)) if i else F.lit(0).cast("long")
-        high = F.shiftleft(F.shiftrightunsigned("rest", (i + 1) * part), i * part) if i < 3 else F.lit(0).cast("long")
+        high = F.shiftleft(F.shiftrightunsigned("rest", (i + 1) * part), i * part) if (i + 1) * part < bits else F.lit(0).cast("long")
         value = F.shiftrightunsigned("rest", i * part).bitwiseAND(F.lit(ones))
-        key = F.shiftleft("shard", part + 2).bitwiseOR(F.lit(i << part).cast("long")).bitwiseOR(value)
-        return F.struct(key.alias("shard"), low.bitwiseOR(high).alias("rest"))
+        return F.struct(F.xxhash64("shard", F.lit(i), value).alias("shard"), low.bitwiseOR(high).alias("rest"))
 
     return rows.select("fp", F.explode(F.array(*(option(i) for i in range(4)))).alias("o")).select("o.shard", "o.rest", "fp")
 
@@ -140,21 +149,24 @@ def _spread(rows: DataFrame, bits: int) -> DataFrame:
 def links(nodes: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """``u, v``: links between distinct fingerprints (column ``fp``), enough to join every component.
 
-    Exact for ``radius`` up to 3, the number of blocks less one.
+    Exact for ``radius`` up to 3, the number of blocks less one. A shard is split as long as it is over
+    the limit and more than ``LEAST_BITS`` bits are left to its members, which are that few values then.
     """
     if radius > 3:
         raise ValueError("four blocks are exact up to three differing bits")
     ship(nodes.sparkSession)
     rows = _spread(nodes.select(F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"), "fp"), BITS)
-    parts = []
-    for bits in (48, 36):
-        hot = rows.groupBy("shard").count().where(F.col("count") > shard_limit).select(F.col("shard").alias("hot"))
+    parts, bits = [], BITS - BITS // 4
+    while bits > LEAST_BITS:
+        hot = cut(rows.groupBy("shard").count().where(F.col("count") > shard_limit).select(F.col("shard").alias("hot")))
+        if hot.isEmpty():
+            break
         parts.append(rows.join(hot, F.col("shard") == F.col("hot"), "left_anti"))
         rows = _spread(rows.join(hot, F.col("shard") == F.col("hot"), "left_semi"), bits)
+        bits -= bits // 4
     parts.append(rows)
-    # the key of a level starts with the key of the one before, so that levels cannot meet in a shard
     keyed = [p.select(F.lit(i).alias("level"), "shard", "fp") for i, p in enumerate(parts)]
-    shards = keyed[0].unionByName(keyed[1]).unionByName(keyed[2])
+    shards = functools.reduce(DataFrame.unionByName, keyed)
     dealt = shards.repartition("level", "shard").sortWithinPartitions("level", "shard", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,26 +223,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """The rows of ``docs`` without their near-duplicates: the smallest key of each component stays.
+def one_row_each(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by ``kept_key, kept_hash``, one row for each.
 
     Rows that are equal in key and text count as one; which of them stays is the same at every run as
     far as they are equal in all columns.
     """
-    mark = free_name(docs.columns, "text_key")
-    marked = docs.withColumn(mark, F.xxhash64(docs[text]))
-    rows = marked.select(marked[key].alias("doc_id"), marked[text].alias("text"), marked[mark].alias("h"))
-    fps = cut(fingerprints(rows, keep=["doc_id", "h"]))
-    keyed = fps.select("fp", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), "h").alias("rep"))
-    kept = _components(keyed, radius, shard_limit).select(F.xxhash64("rep.k"), F.col("rep.h"), F.col("rep.k")).distinct()
-    names = [free_name([*docs.columns, mark], n) for n in ("kept_hash", "kept_text", "kept_key", "key_hash", "copy")]
-    kept = kept.toDF(*names[:3])
-    hashed = marked.withColumn(names[3], F.xxhash64(marked[key]))
+    names = [free_name(docs.columns, n) for n in ("kept_key", "kept_hash", "kept_key_hash", "key_hash", "text_key", "copy")]
+    kept = kept.select(F.col("kept_key").alias(names[0]), F.col("kept_hash").alias(names[1]), F.xxhash64("kept_key").alias(names[2]))
+    hashed = docs.withColumns({names[3]: F.xxhash64(docs[key]), names[4]: F.xxhash64(docs[text])})
     # joined and numbered by the same two hashes, so that the texts move once; the keys themselves decide
     # (spelled out: a null-safe equality would join the hash keys, and the window would need another exchange)
-    equal_keys = F.coalesce(hashed[key] == kept[names[2]], hashed[key].isNull() & kept[names[2]].isNull())
-    same = (hashed[names[3]] == kept[names[0]]) & (hashed[mark] == kept[names[1]]) & equal_keys
+    equal_keys = F.coalesce(hashed[key] == kept[names[0]], hashed[key].isNull() & kept[names[0]].isNull())
+    same = (hashed[names[3]] == kept[names[2]]) & (hashed[names[4]] == kept[names[1]]) & equal_keys
     joined = hashed.join(kept, same, "left_semi")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text) and not isinstance(docs.schema[c].dataType, T.MapType)]
-    order = W.partitionBy(names[3], mark, F.col(f"`{key}`")).orderBy(*others, mark)
-    return joined.withColumn(names[4], F.row_number().over(order)).where(F.col(f"`{names[4]}`") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = W.partitionBy(names[3], names[4], F.col(f"`{key}`")).orderBy(*others, names[4])
+    return joined.withColumn(names[5], F.row_number().over(order)).where(F.col(f"`{names[5]}`") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """The rows of ``docs`` without their near-duplicates: the smallest key of each component stays."""
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"))
+    fps = cut(fingerprints(rows, keep=["doc_id", "h"]))
+    keyed = fps.select("fp", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), "h").alias("rep"))
+    kept = _components(keyed, radius, shard_limit).select(F.col("rep.k").alias("kept_key"), F.col("rep.h").alias("kept_hash")).distinct()
+    return one_row_each(docs, key, text, kept)
