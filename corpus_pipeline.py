@@ -2,17 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. Between stages
 ``run`` writes Parquet into the shared folder and reads it again, so that a lost executor costs one
-stage's part at most.
+stage's part at most; a stage's folder goes when the next one is written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import bpe, quality_rules, secret_scan, simhash, source_mixing
-from promptloom.llm.common import cut, shared_storage, table
+from promptloom.llm import bpe, near_texts, quality_rules, secret_scan, source_mixing
+from promptloom.llm.common import cut, remove_folder, shared_folder, table
 from promptloom.llm.queries import TARGETS, labelled_domains, vocabulary
 
 
@@ -22,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group whose texts share 0.8 of their five-word shingles, that of the smallest doc_id."""
+    return near_texts.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; the result of the last."""
-    shared_storage(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
