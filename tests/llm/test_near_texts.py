@@ -70,16 +70,44 @@ def test_texts_above_the_likeness_share_a_shard():
                     assert keys[i] & keys[j]
 
 
-def test_trees_give_all_within_the_radius():
+def test_part_counts_bound_the_likeness():
+    rng = random.Random(11)
+    for _ in range(200):
+        base = [rng.choice("abcdefgh") for _ in range(rng.randrange(5, 300))]
+        a, b = (np.unique(N.shingles(" ".join(c if rng.random() > 0.02 else "x" for c in base))) for _ in range(2))
+        most = int(np.minimum(*(np.frombuffer(N.part_counts(x), np.uint16) for x in (a, b))).sum())
+        assert most / (len(a) + len(b) - most) >= N.likeness(a, b) - 1e-12
+        m = {"node": [0, 1], "fp": [0, 0], "n": [len(a), len(b)], "root": [0, 1], "shared": [len(a), len(b)], "keys": [[3], [3]], "shard": [3, 3], "counts": [N.part_counts(a), N.part_counts(b)]}
+        assert N.crossing_links(m, 24, 0.8) or N.likeness(a, b) < 0.8
+
+
+def test_trees_against_all_pairs():
     rng = random.Random(5)
-    fps = [rng.getrandbits(12) for _ in range(300)]
-    nodes, sizes, roots = list(range(300)), [rng.randrange(1, 12) for _ in range(300)], [rng.randrange(4) for _ in range(300)]
-    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
-    got = {tuple(sorted(p)) for p in N.crossing_links(nodes, fps, sizes, roots, 3, 0.8)}
-    assert got == {(i, j) for j in range(300) for i in range(j) if roots[i] != roots[j] and near(i, j)}
-    first = N.first_links(nodes, fps, sizes, 3, 0.8)
-    assert {b for _, b in first} == {j for j in range(300) if any(near(i, j) for i in range(j))}
-    assert all(a < b and near(a, b) for a, b in first)
+    n = 300
+    fps = [rng.getrandbits(12) for _ in range(n)]
+    m = {"node": list(range(n)), "fp": fps, "n": [rng.randrange(1, 12) for _ in range(n)], "root": [rng.randrange(4) for _ in range(n)], "late": [1] * n}
+    m["shared"] = [rng.randrange(k + 1) for k in m["n"]]
+    m["keys"] = [[1, *rng.sample(range(50), 3)] if rng.random() < 0.7 else [0, 1] for _ in range(n)]
+    m["shard"], m["counts"] = [1] * n, [None] * n
+    distance = lambda i, j: (fps[i] ^ fps[j]).bit_count()
+    fits = lambda i, j: min(m["n"][i], m["n"][j]) >= 0.8 * max(m["n"][i], m["n"][j])
+
+    def possible(i, j):  # were all shared shingles common to both
+        both = min(m["shared"][i], m["shared"][j])
+        return both / (m["n"][i] + m["n"][j] - both) >= 0.8 if m["n"][i] + m["n"][j] > both else True
+
+    got = [tuple(sorted(p)) for p in N.crossing_links(m, 3, 0.8)]
+    assert len(got) == len(set(got))
+    first = lambda i, j: min(set(m["keys"][i]) & set(m["keys"][j])) == 1
+    assert set(got) == {(i, j) for j in range(n) for i in range(j) if m["root"][i] != m["root"][j] and distance(i, j) <= 3 and possible(i, j) and first(i, j)}
+    links = N.first_links(m, 3, 0.8)
+    lead = N.pivot(fps)
+    assert all(distance(a, b) <= 3 and fits(a, b) for a, b in links)
+    order = [lead, *(i for i in range(n) if i != lead)]
+    for at, i in enumerate(order):
+        before = [distance(i, j) for j in order[:at] if fits(i, j) and distance(i, j) <= 3]
+        mine = [distance(a, b) for a, b in links if b == i]
+        assert bool(before) == bool(mine) and (not before or min(mine) == min(before))
 
 
 @pytest.mark.parametrize("limit", [2048, 3])
