@@ -3,28 +3,36 @@
 A text is a sequence of tokens: words, cut into pieces of at most six characters. A run without a space
 of more than 24 characters gives all its pieces of six, one from each character on, so that an inserted
 character changes the pieces around it only. Each k-mer of tokens gets its occurrence number (the third
-time the same k-mer is found is another element than the first), so repeats count. For each of ``slots``
-hashes the ``tuple_size`` smallest of all numbered k-mers are taken, put back in text order, and hashed together.
+time the same k-mer is found is another element than the first), so repeats count. Each of 32 slots has an
+order of its own over all numbered k-mers of the text; its ``TUPLE`` smallest are taken, put back in text order,
+and hashed together. The orders come of ``HASHES`` independent hashes, each read round its values from
+``STARTS`` places at equal distances on: one sort serves the slots of a hash, and the 32 agree between two
+texts as often, and with as little spread, as 32 independent hashes do (measured; see the README).
 The likeness of two fingerprints is the share of slots that agree: it falls both when content changes
 and when content moves.
 
 All of it works on arrays within a row: a sort by hash brings equal k-mers together, where their place
-in the run is the occurrence number. Cost is n log n in a text's tokens, n for each slot, and no row is exploded.
+in the run is the occurrence number. Cost is n log n in a text's tokens, and no row is exploded.
 
 Defined results: a null text is an empty one. A text of fewer tokens than k is one k-mer; without
 tokens the fingerprint is the empty string. Two empty fingerprints are alike (1), an empty one and
-another are not (0). Repeated rows have equal fingerprints.
+another are not (0). Repeated rows have equal fingerprints. In a text of more than 16.7 million tokens the places
+are counted in equal steps instead of single tokens; what stands in one step is put in order of its hash. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K = 2
 TUPLE = 2
-SLOTS = 32
+HASHES, STARTS = 2, 16
+SLOTS = HASHES * STARTS
 #: Characters of a token, and the length up to which a run without spaces is cut at a fixed stride.
 PIECE = 6
 LONGEST_WORD = 24
@@ -32,7 +40,7 @@ LONGEST_WORD = 24
 _PLACE_BITS = 24
 _PLACE = (1 << _PLACE_BITS) - 1
 #: Rows of a stretch of neighbouring keys, and the most stretches; a stretch's bound is found by comparing twice the root.
-STRETCH_ROWS = 512
+STRETCH_ROWS = 128
 MAX_STRETCHES = 65536
 #: Where a null key stands.
 LOWEST = -(1 << 63) + 1
@@ -53,8 +61,8 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(f"{run}{{{LONGEST_WORD + 1}}}"), either).otherwise(pieces)
 
 
-def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots: int = SLOTS, tuple_size: int = TUPLE) -> DataFrame:
-    """``df`` with the fingerprint of ``text`` in column ``into``: ``slots`` times eight hex digits.
+def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, hashes: int = HASHES, starts: int = STARTS, tuple_size: int = TUPLE) -> DataFrame:
+    """``df`` with the fingerprint of ``text`` in column ``into``: eight hex digits for each of ``hashes * starts`` slots.
 
     Each step is a column of its own, so that no array is made twice.
     """
@@ -64,7 +72,9 @@ def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots:
     n = F.size(col("t"))
     # k-mers, as hash and place, in order of the hash
     mer = lambda x, i: F.xxhash64(x, *(F.get(col("t"), i + j) for j in range(1, k)))
-    kmers = F.transform(F.slice(col("t"), 1, F.greatest(n - (k - 1), F.least(n, F.lit(1)))), lambda x, i: _packed(mer(x, i), i))
+    begun = F.slice(col("t"), 1, F.greatest(n - (k - 1), F.least(n, F.lit(1))))
+    step = F.ceil(n / F.lit(_PLACE + 1)).cast("int")
+    kmers = F.when(n <= _PLACE + 1, F.transform(begun, lambda x, i: _packed(mer(x, i), i))).otherwise(F.transform(begun, lambda x, i: _packed(mer(x, i), F.floor(i / step))))
     out = out.withColumn(w("s"), F.sort_array(kmers))
     # the first of each run of equal k-mers keeps its hash, and so its place in the order; the others are numbered
     again = lambda e, i: (i > 0) & (F.shiftright(F.get(e, i - 1), _PLACE_BITS) == F.shiftright(F.get(e, i), _PLACE_BITS))
@@ -75,24 +85,30 @@ def with_fingerprint(df: DataFrame, text: Column, into: str, k: int = K, slots:
     numbered = F.flatten(F.transform(col("b"), lambda b, j: F.transform(F.slice(col("r"), b + 1, last(j) - b), number)))
     out = out.withColumn(w("p"), F.concat(F.filter(col("s"), lambda x, i: ~again(col("s"), i)), numbered))
 
-    # about 16 hashes of a slot are under this bound; where fewer than wanted are, all are ranked
-    size, least, most = F.size(col("p")), -(1 << 63), (1 << 63) - 1
-    share = F.floor(F.lit(most) / F.greatest(size, F.lit(1))).cast("long")
-    bound = F.when(size < 64, F.lit(most)).otherwise(F.lit(least) + share * 32)
-
-    def slot(j: Column, low_end: Column) -> Column:
-        ranks = lambda x: F.xxhash64(F.shiftright(x, _PLACE_BITS), j)
-        low = F.transform(F.array(F.filter(col("p"), lambda x: ranks(x) <= low_end)), lambda f: F.when(F.size(f) >= tuple_size, f).otherwise(col("p")))[0]
-        ranked = F.sort_array(F.transform(low, lambda x: _packed(ranks(x), x.bitwiseAND(F.lit(_PLACE)))))
+    # all k-mers in the order of each hash, with a mark at each start: only marks have no bits below those that count the starts
+    marks = [-(1 << 63) + b * ((1 << 64) // starts) for b in range(starts)]
+    is_mark = lambda x: x.bitwiseAND(F.lit((1 << 64) // starts - 1)) == 0
+    for h in range(hashes):
+        ranked = F.transform(col("p"), lambda x: _packed(F.xxhash64(F.shiftright(x, _PLACE_BITS), F.lit(h)), x.bitwiseAND(F.lit(_PLACE)))) if h else col("p")  # noqa: B023
+        out = out.withColumn(w(f"h{h}"), F.sort_array(F.concat(ranked, F.array(*(F.lit(m) for m in marks)))))
+    for h in range(hashes):
+        out = out.withColumn(w(f"m{h}"), F.array(*(F.array_position(col(f"h{h}"), F.lit(m)).cast("int") for m in marks)))
+
+    def slot(order: Column, mark: Column) -> Column:
+        # the elements that follow the mark; further ones, round the end and over other marks, where a mark is among them
+        size = F.size(order)
+        next_ = [F.get(order, mark + i) for i in range(tuple_size)]
+        after = [F.when(size > i + 1, F.get(order, (mark + i) % size)) for i in range(tuple_size + starts - 1)]
+        further = F.slice(F.filter(F.array(*after), lambda x: x.isNotNull() & ~is_mark(x)), 1, tuple_size)
+        least = F.when(functools.reduce(Column.__and__, (x.isNotNull() & ~is_mark(x) for x in next_)), F.array(*next_)).otherwise(further)
         # back in text order: the place in the upper bits, 39 bits of the hash below
-        turned = F.transform(F.slice(ranked, 1, tuple_size), lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 39).bitwiseOR(F.shiftrightunsigned(x, 64 - 39)))
+        turned = F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 39).bitwiseOR(F.shiftrightunsigned(x, 64 - 39)))
         hashed = F.xxhash64(F.transform(F.sort_array(turned), lambda x: x.bitwiseAND(F.lit((1 << 39) - 1))))
         return F.lpad(F.lower(F.hex(hashed.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
-    # the bound is given a name in the expression: as a column it would be put into the lambdas and made for every k-mer
-    joined = F.transform(F.array(bound), lambda e: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda j: slot(j, e)), ""))[0]
-    text_of = F.when(F.size(col("p")) == 0, "").otherwise(joined)
-    return out.withColumn(into, text_of).drop(*(w(x) for x in "tsrbp"))
+    slots = [F.array_join(F.transform(col(f"m{h}"), lambda m: slot(col(f"h{h}"), m)), "") for h in range(hashes)]  # noqa: B023
+    text_of = F.when(F.size(col("p")) == 0, "").otherwise(F.concat(*slots))
+    return out.withColumn(into, text_of).drop(*map(w, "tsrbp"), *(w(f"{x}{h}") for x in "hm" for h in range(hashes)))
 
 
 def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 import statistics
 import zlib
 
 import pytest
+import xxhash
 from odd import TEXTS, counted, no_documents, odd_documents
 from pyspark.sql import functions as F
 
@@ -215,31 +217,42 @@ def test_languages_of_the_given_texts(spark):
 # --- order min-hash over whole texts
 
 
-def brute_order_minhash(spark, text):
-    """The fingerprint, slot by slot over all numbered k-mers, with Spark's hash only."""
+def xx(*values):
+    """Spark's 64-bit hash of values one after the other: strings, longs (int), and 32-bit integers (in a tuple)."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else (v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True))
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_order_minhash(text):
+    """The fingerprint, slot by slot, each with its own order over all numbered k-mers."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    pieces = [p for w in words for p in ([w[i : i + 6] for i in range(0, len(w), 6)] if len(w) <= 24 else [w[i : i + 6] for i in range(len(w) - 5)])]
-    hashed = lambda rows, kinds: [r[0] for r in spark.createDataFrame(list(enumerate(rows)), f"i int, r struct<{kinds}>").select("i", F.xxhash64("r")).orderBy("i").select(F.col("xxhash64(r)")).collect()]
-    t = hashed([(p,) for p in pieces], "a string")
-    mers = [m >> 24 for m in hashed([(t[i], t[i + 1]) for i in range(len(t) - 1)], "a long, b long")]
+    t = [xx(p) for w in words for p in ([w[i : i + 6] for i in range(0, len(w), 6)] if len(w) <= 24 else [w[i : i + 6] for i in range(len(w) - 5)])]
+    mers = [xx(*t[i : i + 2]) >> 24 for i in range(max(len(t) - 1, min(len(t), 1)))]
     seen, elements = {}, []
     for at, m in enumerate(mers):
-        seen[m] = seen.get(m, 0) + 1
-        elements.append((m, seen[m] - 1, at))
-    assert len(seen) == len(mers)  # texts without repeats: the number changes nothing
-    ranks = hashed([(m, j) for j in range(1, 33) for m, _, _ in elements], "a long, j int")
+        n = seen[m] = seen.get(m, -1) + 1
+        elements.append((xx(m, (n - 1,)) >> 24 if n else m, at))
     out = []
-    for j in range(32):
-        own = sorted(((h >> 24, at) for h, (_, _, at) in zip(ranks[j * len(elements) : (j + 1) * len(elements)], elements)))[:2]
-        out.append([h >> 1 & ((1 << 39) - 1) for h, _ in sorted(own, key=lambda x: x[1])])
-    arrays = spark.createDataFrame(list(enumerate(out)), "i int, a array<long>").select(F.xxhash64("a").alias("h"), "i").orderBy("i").collect()
-    return "".join(f"{r['h'] & 0xFFFFFFFF:08x}" for r in arrays)
+    for h in range(O.HASHES):
+        ranks = [((xx(m, (h,)) >> 24 if h else m) << 24 | at, at) for m, at in elements]
+        for b in range(O.STARTS):
+            start = -(1 << 63) + b * ((1 << 64) // O.STARTS)
+            least = sorted(ranks, key=lambda r: (r[0] - start) % (1 << 64))[: O.TUPLE]
+            in_order = [(r >> 25) & ((1 << 39) - 1) for r, _ in sorted(least, key=lambda r: r[1])]
+            out.append(f"{xx(*in_order) & 0xFFFFFFFF:08x}")
+    return "".join(out) if elements else ""
 
 
 def test_every_slot_ranks_all_kmers(spark):
-    for text in (" ".join(f"word{i * 7919 % 100003}" for i in range(600)), " ".join(f"tok{i}" for i in range(40)) + " " + "".join(chr(0x4E00 + i * 37 % 20000) for i in range(300))):
-        got = O.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["fingerprint"]
-        assert got == brute_order_minhash(spark, text)
+    rng = random.Random(8)
+    texts = [t or "" for _, t in TEXTS if len(t or "") < 10000] + ["a b", "a b c", "a b a b a b a b c a b", " ".join(f"word{i * 7919 % 100003}" for i in range(600))]
+    texts += [" ".join(rng.choice("ab cd ef gh ijklmnopq".split()) for _ in range(n)) for n in (3, 5, 8, 20, 50, 200)]
+    texts.append(" ".join(f"tok{i}" for i in range(40)) + " " + "".join(chr(0x4E00 + i * 37 % 20000) for i in range(300)))
+    rows = O.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in rows} == {i: brute_order_minhash(t) for i, t in enumerate(texts)}
 
 
 def test_a_character_inserted_into_unspaced_text(spark):
