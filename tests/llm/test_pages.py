@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import duckdb
 import pytest
@@ -22,7 +23,16 @@ CASES = [
     ("<pre> a\n\n  b\tc\n</pre>d", " a\n\n  b     c\n\nd"),
     ("a <b> b </b> c", "a b c"), ("a<!-- <p>x</p> -->b", "ab"), ("1 < 2 and 3>2", "1 < 2 and 3>2"), ("<p>a</b></i>b</p></div>c", "ab\n\nc"),
     ("<dl><dt>T<dd>D<dd>E</dl>", "T\n  D\n  E"), ("<blockquote><p>q</p></blockquote>r", "  q\n\nr"), ("<img alt='pic' src=x> y<input type=hidden value=v><input type=submit value=Go>", "pic yGo"),
-    ("<select><option>a<option>b</select>z", "z"), ("a<hr>b", "a\n\nb"), ("", ""), ("   ", ""), ("<", "<"), ("<a href='x>y'>t</a>", "t"),
+    # the chosen option of a control is on the page
+    ("<select><option>a<option>b</select>z", "az"), ("<select><option>a<option selected>b</select>z", "bz"), ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ("x <textarea>\na  <b>\n c</textarea>", "x a  <b>\n c"), ("a <math><mi>x</mi><annotation>no</annotation></math> b", "a x b"),
+    ("<svg><title>no</title><defs><text>no</text></defs><text>yes</text></svg>", "yes"), ("<map><p>in</p><area></map>out", "in\n\nout"),
+    ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b></p>", "yes"),
+    ("<style>/* .x{} */ .gone, p#off { display : none } @media print { b { display: none } } @media screen { i { visibility: hidden } }</style><b>b</b><i>no</i><p id=off>no</p><div class='a gone'>no</div><u class=gone style='display:inline'>u</u>", "bu"),
+    ("<style>.x{display:none} .x.y{display:block}</style><div class='x'>no</div><div class='y x'>yes</div>", "yes"),
+    ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"), ("<table><tr>loose<td>A</td></tr><tbody><div>div</div><tr><td>B</table>", "loose\ndiv\n\nA\nB"),
+    ("<table><tr><table><tr><td>in</table><td>out</table>", "in\n\nout"), ("<table><tr><td colspan=100>a<td>b<tr><td>c<td>d</table>", "a     b\nc  d"),
+    ("<table><tr><td rowspan=3 colspan=2>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"), ("a<b c='x", "a"), ("<a b=\"1\"c='2'd=3 / e>t</a>", "t"), ("a<hr>b", "a\n\nb"), ("", ""), ("   ", ""), ("<", "<"), ("<a href='x>y'>t</a>", "t"),
 ]
 
 
@@ -49,6 +59,63 @@ def test_no_visible_word_is_lost():
         assert sorted(L.render(page)[1].replace("- ", " ").split()) == sorted(words)
 
 
+def tree(rng, depth, out, seen):
+    """A page part with optional tags left out at will; visible words are added to ``out`` in the order of the text."""
+
+    def word():
+        w = f"w{rng.randrange(10**9)}"
+        if seen == "seen":
+            out.append(w)
+        return f" {w} "
+
+    def inner(n=3, s=None):
+        return "".join(tree(rng, depth - 1, out, seen if s is None else s) for _ in range(rng.randrange(1, n)))
+
+    maybe = lambda tag: rng.choice(["", tag])
+    kind = rng.choice("word word inline block list table hidden unseen seen raw control loose".split()) if depth > 0 else "word"
+    if kind == "word":
+        return word()
+    if kind == "inline":
+        return f"<b>{inner()}</b>"
+    if kind == "block":
+        tag = rng.choice(["div", "section", "blockquote", "article"])
+        return f"<{tag}>{inner()}</{tag}>"
+    if kind == "list":
+        return "<ul>" + "".join(f"<li>{inner()}{maybe('</li>')}" for _ in range(rng.randrange(1, 4))) + "</ul>"
+    if kind in ("table", "loose"):
+        between = lambda: f"<i>{word()}</i>" if kind == "loose" and rng.random() < 0.4 else ""
+        rows = "".join(f"<tr>{between()}" + "".join(f"<td>{inner(2)}{maybe('</td>')}" for _ in range(rng.randrange(1, 4))) + maybe("</tr>") for _ in range(rng.randrange(1, 4)))
+        return f"<table>{maybe('<tbody>')}{rows}</table>"
+    if kind == "hidden":
+        return f"<div {rng.choice(['hidden', 'style=display:none', 'class=gone'])}>{inner(s='gone')}<b style='visibility:visible'>no</b></div>"
+    if kind == "unseen":
+        return f"<div style='visibility:hidden'>{inner(s='gone' if seen == 'gone' else 'unseen')}</div>"
+    if kind == "seen":
+        return f"<div style='visibility:visible'>{inner(s='gone' if seen == 'gone' else 'seen')}</div>"
+    if kind == "raw":
+        return rng.choice(["<script>if (a<b) x('</div>')</script>", "<!-- <p>no</p> -->", "<template><td>no</template>", "<style>.other{}</style>"])
+    return f"<select><option>{word()}<option>no</select><textarea>{word()}</textarea>"
+
+
+def test_generated_trees_against_the_words_they_show():
+    rng = random.Random(12)
+    for _ in range(400):
+        out = []
+        page = "<style>.gone{display:none}</style>" + "".join(tree(rng, 4, out, "seen") for _ in range(4))
+        got = L.render(page)[1]
+        words = [w for line in got.split("\n") for w in line.split() if w != "-"]
+        assert sorted(words) == sorted(out), page
+        if "<table" not in page:  # cells stand side by side
+            assert words == out
+
+
+@pytest.mark.parametrize("bit", ["<a '", "<b ", "<td>", "<td>x", "<style></style ", "<!--", "</", "<a b=\"", "<tr><td rowspan=9>x", "<td colspan=1000>x", "<table><tr><td>x", "<i>x", "<li>x", "<p style='color:red'>x", "&amp", "<select><option>x", "<table>x", "<![CDATA["])
+def test_long_hostile_pages(bit):
+    began = time.process_time()
+    L.render(bit * (1_000_000 // len(bit)))
+    assert time.process_time() - began < 8
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, record string, slot int, text string, title string")
 
