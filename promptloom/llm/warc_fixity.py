@@ -1,10 +1,11 @@
 """WARC fixity audit by Merkle trees.
 
 Records are laid into archives in key order; each is hashed where it lies. Over the slots of an archive
-stands a tree: a leaf is the digest of a record's bytes, a node that of the ordered digests and slots
-below it, and its offset range reaches from its first record to the end of its last. Two replicas are
+stands a tree: a leaf is the digest of a record's bytes; a node hashes, in order, the slots, lengths and digests below
+it, so that the offset range of each part within the node is part of its digest. Two replicas are
 compared at their roots; only under roots that differ are the next nodes compared, and so on down to
-the records that were altered, lost or added, with the bytes of the archive where they belong.
+the records that were altered, lost or added, with the bytes of the archive where they belong. Each level is made
+once from the one below and kept; what differs at a level is a small table of its own.
 
 A slot is a matter of the key, not of what comes before it, so that one lost record does not shift the
 others into differing. Records read from files also have their place there: the root of an archive covers
@@ -121,16 +122,20 @@ def leaves(rows: DataFrame) -> DataFrame:
     return slots.select("archive", "slot", "page_id", "records", digest.alias("digest"), (end - F.col("size")).alias("start_offset"), end.alias("end_offset"))
 
 
-def level(leaf: DataFrame, up: int) -> DataFrame:
-    """The nodes ``up`` levels above the leaves: ``archive, node, digest`` and their offset range."""
-    rows = leaf.select("archive", F.col("slot").alias("node"), "digest", "start_offset", "end_offset")
-    for _ in range(up):
+def levels(leaf: DataFrame) -> list[DataFrame]:
+    """The tree from the leaves up: ``archive, node, digest, size`` and the offset range of each level's nodes."""
+    rows = leaf.select("archive", F.col("slot").alias("node"), "page_id", "digest", (F.col("end_offset") - F.col("start_offset")).alias("size"), "start_offset", "end_offset")
+    out = [rows]
+    for _ in range(LEVELS):
         parent = F.shiftright("node", FANOUT.bit_length() - 1)
-        below = F.array_sort(F.collect_list(F.struct("node", "digest")))  # FANOUT entries at most
-        joined = F.array_join(F.transform(below, lambda x: F.concat_ws(":", x["node"], x["digest"])), ",")
-        rows = rows.groupBy("archive", parent.alias("parent")).agg(F.sha2(joined, 256).alias("digest"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"))
-        rows = rows.withColumnRenamed("parent", "node")
-    return rows
+        below = F.array_sort(F.collect_list(F.struct("node", "size", "digest")))  # FANOUT entries at most
+        joined = F.array_join(F.transform(below, lambda x: F.concat_ws(":", x["node"], x["size"], x["digest"])), ",")
+        made = rows.groupBy("archive", parent.alias("parent")).agg(
+            F.sha2(joined, 256).alias("digest"), F.sum("size").alias("size"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"),
+        )
+        rows = cut(made.withColumnRenamed("parent", "node"))
+        out.append(rows)
+    return out
 
 
 def _place(leaf: DataFrame) -> Column:
@@ -152,18 +157,18 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     that holds it (the primary's, or the replica's for what was added), and both digests.
     """
     sides = [cut(leaves(x)) for x in (primary, replica)]
-    trees = [s.drop("place") for s in sides]
+    trees = [levels(s) for s in sides]
     differing = None
     for up in range(LEVELS, -1, -1):
-        one, other = (level(s, up) if up else s.withColumnRenamed("slot", "node") for s in trees)
+        one, other = (t[up].drop("size") for t in trees)
         if differing is not None:  # descend below nodes that differ only
-            parent = [F.col("archive").eqNullSafe(F.col("a")), F.shiftright("node", FANOUT.bit_length() - 1) == F.col("n")]
+            parent = (F.col("archive") == F.col("a")) & (F.shiftright("node", FANOUT.bit_length() - 1) == F.col("n"))
             one, other = (x.join(differing, parent, "left_semi") for x in (one, other))
         p, r = (x.select(F.col("archive").alias(f"{n}_archive"), F.col("node").alias(f"{n}_node"), F.struct(*(c for c in x.columns if c not in ("archive", "node"))).alias(n)) for n, x in (("p", one), ("r", other)))
         met = p.join(r, (F.col("p_archive") == F.col("r_archive")) & (F.col("p_node") == F.col("r_node")), "full_outer")
         met = met.where(~F.col("p.digest").eqNullSafe(F.col("r.digest"))).withColumn("archive", F.coalesce("p_archive", "r_archive")).withColumn("node", F.coalesce("p_node", "r_node"))
         if up:
-            differing = met.select(F.col("archive").alias("a"), F.col("node").alias("n"))
+            differing = cut(met.select(F.col("archive").alias("a"), F.col("node").alias("n")))
     either = lambda c: F.coalesce(F.col(f"p.{c}"), F.col(f"r.{c}")).alias(c)
     verdict = F.when(F.col("r.digest").isNull(), "lost").when(F.col("p.digest").isNull(), "added").otherwise("altered")
     found = met.select(
@@ -182,7 +187,7 @@ def roots(rows: DataFrame) -> DataFrame:
     leaf = leaves(rows)
     order = F.transform(F.sort_array(F.collect_list(F.struct(_place(leaf).alias("place"), "slot"))), lambda x: x["slot"])  # SLOTS entries at most
     orders = leaf.groupBy("archive").agg(F.array_join(order, ",").alias("order"))
-    return level(leaf, LEVELS).join(orders, "archive").select("archive", F.sha2(F.concat_ws(";", "digest", "order"), 256).alias("digest"), F.col("end_offset").alias("bytes"))
+    return levels(leaf)[LEVELS].join(orders, "archive").select("archive", F.sha2(F.concat_ws(";", "digest", "order"), 256).alias("digest"), F.col("end_offset").alias("bytes"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
