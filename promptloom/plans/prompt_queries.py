@@ -323,6 +323,39 @@ def _(s, d):
     return w.groupBy("method").agg(F.round(F.avg("n"), 6).alias("mean_words"), F.round(F.avg("n") + F.max("n"), 6).alias("deploy_cost"), F.sum("n").alias("words"), F.round(F.sum("n") / F.greatest(F.lit(1), F.count("*")), 6).alias("words_per_slot"))
 
 
+_REPLIES = """{"edits": [{"span_id": 0, "replace": "Read the task with care."}]}|```json
+{"analysis": "a", "edits": [{"span_id": 1, "replace": "Answer at once."}]}
+```|{"edits": []}|no json here|{"edits": [{}, {}, {}]}|Well: {"edits": [{"span_id": 0, "replace": ""}]}|{"edits": [{"span_id": "0", "replace": "x"}]}|{"edits": [{"span_id": 0, "replace": 5}]}"""
+_OUTCOMES = r"""with spans as (
+    select record_id, text, record_id % 8 as k, list_filter(list_transform(string_split_regex(regexp_replace(editable, '([.!?:])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: """ + _STRIP.format("x") + r"""), lambda x: x <> '') as s,
+        substr(text, length(editable) + 1) as kept
+    from (select record_id, text, case when contains(text, 'Examples:') then split_part(text, 'Examples:', 1) when contains(text, chr(10) || 'Input:') then split_part(text, chr(10) || 'Input:', 1) else text end as editable from prompts)
+), made as (
+    select *, array_to_string(case k when 0 then list_concat(['Read the task with care.'], s[2:]) when 1 then list_concat([s[1], 'Answer at once.'], s[3:]) else s[2:] end, ' ') as body from spans
+), built as (select *, case when kept = '' then body when body = '' then kept else body || chr(10) || chr(10) || kept end as raw from made),
+judged as (select record_id, raw, case when k = 2 then 'no_edits' when k = 3 then 'unparseable' when k = 4 then 'too_many_edits' when len(s) = 0 then 'no_spans' when k = 6 then 'bad_span_id' when k = 7 then 'bad_replace'
+    when k = 1 and len(s) < 2 then 'span_out_of_range' when """ + _STRIP.format("raw") + " = '' then 'empty_result' when " + _STRIP.format("raw") + " = " + _STRIP.format("text") + r""" then 'no_op' when length(raw) > greatest(80, 2 * length(text)) then 'excessive_growth' end as violation from built)"""
+
+
+def _contracts(s, d):
+    from ..functions.contract import apply_contract
+
+    reply = F.array(*(F.lit(r) for r in _REPLIES.split("|")))[(F.col("record_id") % 8).cast("int")]
+    return prompts(s, d).select("record_id", "method", apply_contract(F.col("text"), reply).alias("r")).select("record_id", "method", "r.*")
+
+
+@query("contract_outcome", _OUTCOMES + " select record_id, violation is null as ok, violation, cast(case when violation is null then 1 else 0 end as integer) as edits_applied, case when violation is null then " + _STRIP.format("raw") + " end as text from judged")
+def _(s, d):
+    return _contracts(s, d).select("record_id", "ok", "violation", "edits_applied", "text")
+
+
+@query("contract_compliance", _OUTCOMES + " select coalesce(violation, 'ok') as outcome, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from judged group by 1")
+def _(s, d):
+    from ..functions.contract import compliance
+
+    return rounded(compliance(_contracts(s, d)), "share")
+
+
 @query("candidates_and_population", "select record_id, 'candidate' as kind from prompts where generation = 8 union all select record_id, 'population' from prompts where generation < 4")
 def _(s, d):
     p = prompts(s, d).select("record_id", "generation")
