@@ -7,6 +7,8 @@ that each generation adds to and that is cut once a generation, so that plans do
 from __future__ import annotations
 
 import dataclasses
+import functools
+import math
 import random
 from collections.abc import Callable, Sequence
 
@@ -37,10 +39,10 @@ class Result:
 
 
 class Search:
-    def __init__(self, spark: SparkSession, samples: DataFrame, make: Callable[[], Client], method: Method, task_type: str = "auto", seed: int = 42, population: int = 5, budget: Budget | None = None, slack: float = 0.1, minibatch: int = 8, patience: int = 5):
+    def __init__(self, spark: SparkSession, samples: DataFrame, make: Callable[[], Client], method: Method, task_type: str = "auto", seed: int = 42, population: int = 5, budget: Budget | None = None, slack: float = 0.1, minibatch: int = 8, patience: int = 5, alpha: float = 0.05):
         self.spark, self.make, self.method, self.task_type = spark, make, method, task_type
         self.random, self.size, self.budget = random.Random(seed), population, budget or Budget()
-        self.slack, self.minibatch, self.patience = slack, minibatch, patience
+        self.slack, self.minibatch, self.patience, self.alpha = slack, minibatch, patience, alpha
         dev = samples.where("split = 'dev'")
         place = F.sha2(F.concat(F.col("sample_id").cast("string"), F.lit("|holdout")), 256)
         if method.holdout:  # some three rows of ten are kept for the last choice
@@ -51,6 +53,9 @@ class Search:
         self.scores: dict[int, float] = {}
         self.pulls: list[tuple[str, float]] = []
         self.outcomes: DataFrame | None = None
+        #: Rounds of a raced evaluation: parts of dev of about a minibatch each, by a hash of the sample.
+        self.rounds = max(1, min(8, self.samples.where("split = 'dev'").count() // minibatch)) if method.racing else 1
+        self.evaluated, self.raced_out, self.not_admitted = 0, set(), set()
 
     def evaluate(self, records: Sequence[dict], split: str, only: DataFrame | None = None) -> DataFrame:
         """``record_id, sample_id, reply, correct``: each record on each sample of a split. The prompts are the small side."""
@@ -85,10 +90,49 @@ class Search:
             passed = [r for r in fresh if gate.get(r["record_id"], 0.0) + self.slack >= baseline]
         if not passed:
             return
-        full = self.evaluate(passed, "dev")
-        self._spend(full)
+        full = self._raced(passed, baseline) if self.method.racing else self.evaluate(passed, "dev")
+        if not self.method.racing:
+            self._spend(full)
         self.outcomes = full if self.outcomes is None else cut(self.outcomes.unionByName(full))
-        self.scores |= {r["record_id"]: r["score"] for r in E.accuracy(full, ["record_id"]).collect()}
+        found = {r["record_id"]: r for r in E.accuracy(full, ["record_id"]).collect()}
+        self.evaluated += sum(r["num_total"] for r in found.values())
+        self.scores |= {i: r["score"] for i, r in found.items()}
+        if self.method.retention:
+            self._admit([r for r in passed if r["parent_ids"] and r["record_id"] in found])
+
+    def _raced(self, records: Sequence[dict], baseline: float) -> DataFrame:
+        """Outcomes of the records on dev, part by part; who is beaten for sure after a part is asked no more."""
+        part = F.pmod(F.xxhash64(F.col("sample_id"), F.lit("race")), F.lit(self.rounds))
+        dev = self.samples.where("split = 'dev'").select("sample_id", part.alias("part"))
+        alive, seen, made = list(records), {}, []
+        for i in range(self.rounds):
+            made.append(self.evaluate(alive, "dev", dev.where(F.col("part") == i).select("sample_id")))
+            self._spend(made[-1])
+            for r in E.accuracy(made[-1], ["record_id"]).collect():
+                c, n = seen.get(r["record_id"], (0, 0))
+                seen[r["record_id"]] = c + r["num_correct"], n + r["num_total"]
+            if i == self.rounds - 1:
+                break
+            beaten = {k for k, (c, n) in seen.items() if n and c / n + math.sqrt(math.log(2 / self.alpha) / (2 * n)) < baseline}
+            self.raced_out |= beaten
+            alive = [r for r in alive if r["record_id"] not in beaten]
+            if not alive:
+                break
+        return cut(functools.reduce(DataFrame.unionByName, made))
+
+    def _admit(self, children: Sequence[dict]) -> None:
+        """Leave out children that gain nothing and lose what their parents solved; the best of them stays if none else does."""
+        if not children or self.outcomes is None:
+            return
+        edges = self.spark.createDataFrame([(r["record_id"], p) for r in children for p in r["parent_ids"]], "child_id long, parent_id long")
+        known = self.spark.createDataFrame(sorted(self.scores.items()), "record_id long, score double")
+        judged = {r["child_id"]: r["admitted"] for r in E.guarded_acceptance(E.retention(self.outcomes, edges), known).collect()}
+        rejected = [r["record_id"] for r in children if not judged.get(r["record_id"], True)]
+        if len(rejected) == len(children):
+            rejected.remove(max(rejected, key=lambda i: (self.scores[i], -i)))
+        self.not_admitted |= set(rejected)
+        for i in rejected:
+            del self.scores[i]
 
     def _elite(self) -> list[dict]:
         return [self.records[i] for i in sorted(self.scores, key=lambda i: (-self.scores[i], i))]
@@ -161,10 +205,11 @@ class Search:
             base = sum(self.scores[r["record_id"]] for r in pool) / max(1, len(pool))
             self._measure([r for _, rs in made for r in rs], best)
             for o, rs in made:
+                # what was raced out or not admitted is a loss, like what the gate rejects
                 gains = [self.scores[r["record_id"]] - base if r["record_id"] in self.scores else -self.slack for r in rs]
                 self.pulls.append((o, sum(gains) / len(gains) if gains else 0.0))
             now = max(self.scores.values(), default=0.0)
-            stale = 0 if now > best + 1e-12 else stale + 1
+            stale = 0 if now > best + max(1e-12, self.method.least_gain) else stale + 1
             best = max(best, now)
         ranked = self._elite() or self.records
         winner = ranked[0]

@@ -27,7 +27,9 @@ FAILURES = frozenset({"failure_guided", "structured_failure_guided", "reflective
 
 @dataclasses.dataclass(frozen=True)
 class Method:
-    """``choose``: elite, tournament, bandit (ucb1), tuned or pareto. ``gate``: a minibatch first. ``holdout``: the winner by rows kept apart."""
+    """``choose``: elite, tournament, bandit (ucb1), tuned or pareto. ``gate``: a minibatch first. ``racing``: dev in parts, without
+    who is beaten for sure. ``retention``: children that lose what their parents solved are not admitted. ``holdout``: the
+    winner by rows kept apart. ``least_gain``: a generation that gains no more counts as stale."""
 
     operators: tuple[str, ...]
     choose: str = "elite"
@@ -35,6 +37,7 @@ class Method:
     racing: bool = False
     holdout: bool = False
     retention: bool = False
+    least_gain: float = 0.0
     generations: int = 10
 
 
@@ -44,7 +47,7 @@ _WIDE = (*_FUNNEL, "etgpo_taxonomy", "facet_edit", "autohint", "grips_delete")
 
 METHODS: dict[str, Method] = {
     "baseline_seed": Method((), generations=0),
-    "see": Method(("semantic_var", "lamarckian", "crossover", "eda", "failure_guided"), gate=False),
+    "see": Method(("semantic_var", "lamarckian", "crossover", "eda", "failure_guided"), gate=False, least_gain=0.02),
     "swift": Method(("failure_guided", "crossover", "semantic_var", "few_shot"), "tournament"),
     "swift_v2": Method(("failure_guided", "crossover", "semantic_var", "few_shot"), "tournament", holdout=True),
     "apex": Method(_APEX, "bandit", holdout=True), "apex_holdout": Method(_APEX, "bandit", holdout=True),

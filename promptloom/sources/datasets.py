@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import task_type
@@ -37,8 +38,10 @@ def _either(df: DataFrame, *names: str) -> Column:
 def _samples(df: DataFrame, dataset: str, sample: Column, target: Column, split: Column | None = None) -> DataFrame:
     rows = df.select(F.lit(dataset).alias("dataset"), (split if split is not None else F.lit(None).cast("string")).alias("split"), sample.alias("input"), target.alias("target"))
     rows = rows.where("length(input) > 0 and length(target) > 0")
-    # the id is a matter of the content, so that it does not depend on partitions
-    return rows.withColumn("sample_id", F.xxhash64("input", "target"))
+    # the id is a matter of the content, so that it does not depend on partitions; samples that occur again are numbered
+    again = F.row_number().over(W.partitionBy("split", "input", "target").orderBy("dataset")) - 1
+    numbered = rows.withColumn("_again", again)
+    return numbered.withColumn("sample_id", F.when(F.col("_again") == 0, F.xxhash64("input", "target")).otherwise(F.xxhash64("input", "target", "_again"))).drop("_again")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

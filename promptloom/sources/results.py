@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESULT = (
     "method_name string, dataset_name string, best_prompt string, best_score double, test_score double, "
@@ -22,7 +23,8 @@ def _files(spark: SparkSession, root: str, pattern: str, schema: str, modified_a
     reader = reader.option("modifiedAfter", modified_after) if modified_after else reader
     df = reader.json(root)
     below = F.element_at(F.split("_metadata.file_path", F.regexp_replace(F.lit(root.rstrip("/").split(":")[-1]), r"([^\w/])", r"\\$1")), -1)
-    return df.withColumn("path", F.filter(F.split(below, "/"), lambda p: p != ""))
+    # folders of a partitioned writer are named column=value
+    return df.withColumn("path", F.transform(F.filter(F.split(below, "/"), lambda p: p != ""), lambda p: F.regexp_replace(p, r"^(?:model|method|task|seed)=", "")))
 
 
 def read_results(spark: SparkSession, root: str, methods: list[str] | None = None, modified_after: str | None = None, default_model: str = "default") -> DataFrame:
@@ -30,7 +32,7 @@ def read_results(spark: SparkSession, root: str, methods: list[str] | None = Non
 
     ``load_error`` tells files that are not JSON; those of methods that are not asked for are left out.
     """
-    df = _files(spark, root, "result_*.json", RESULT, modified_after)
+    df = _files(spark, root, "{result_*,part-*}.json", RESULT, modified_after)
     five = F.size("path") >= 5
     part = lambda i: F.get(F.col("path"), F.when(five, i).otherwise(i - 1))
     usage = lambda n: F.coalesce(F.col(f"llm_usage.{n}"), F.lit(0))
@@ -50,10 +52,10 @@ def trajectories(results: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, root: str, task: str | None = None) -> DataFrame:
     """One row for each prompt record of each audit file; missing keys have their defaults."""
-    df = _files(spark, root, "audit_*.json", AUDIT)
+    df = _files(spark, root, "{audit_*,part-*}.json", AUDIT)
     df = df.where(F.contains(F.array_join("path", "/"), F.lit(task))) if task else df
     r = df.select("history.run_id", F.explode(F.map_values("history.records")).alias("r")).select("run_id", "r.*")
-    return r.withColumns({"score": F.nullif("score", F.lit(0.0)), "parent_ids": F.coalesce("parent_ids", F.array().cast("array<string>")), "operator": F.coalesce("operator", F.lit("seed")), "is_complete": F.coalesce("is_complete", F.lit(True)), "dev": F.col("scores")["dev"]})
+    return r.withColumns({"parent_ids": F.coalesce("parent_ids", F.array().cast("array<string>")), "operator": F.coalesce("operator", F.lit("seed")), "is_complete": F.coalesce("is_complete", F.lit(True)), "dev": F.col("scores")["dev"]})
 
 
 def broken_results(results: DataFrame, least_best: float = 0.0) -> DataFrame:
@@ -81,12 +83,22 @@ def write_generations(snapshots: DataFrame, path: str, final: DataFrame | None =
 
 
 def write_audit(records: DataFrame, path: str) -> None:
-    """Records as JSON lines, partitioned by run: readable by ``spark.read.json`` without a driver's help."""
-    records.write.mode("overwrite").partitionBy("run_id").json(path)
+    """Records as audit documents, one file a run, in a folder of its own; ``read_records`` reads them again.
+
+    A run has some thousands of records at most, which its document holds together.
+    """
+    wanted = [f.name for f in T.StructType.fromDDL(f"r {RECORD}")["r"].dataType.fields]
+    record = F.struct(*(F.col(c) for c in wanted if c in records.columns))
+    runs = records.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("id", record))).alias("records"))
+    runs.select(F.struct("run_id", "records").alias("history")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").partitionBy("model", "method").json(path)
+    """One result file a run, under folders of model, method, task and seed; ``read_results`` reads them again."""
+    usage = F.struct(F.col("calls").alias("total_calls"), F.col("tokens").alias("total_tokens"))
+    more = [c for c in ("best_prompt", "best_score", "test_score", "total_time", "num_iterations", "optimization_history") if c in results.columns]
+    rows = results.select("model", "method", "task", "seed", *more, usage.alias("llm_usage"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("model", "method", "task", "seed").json(path)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -175,6 +175,65 @@ def test_search_methods(spark, name):
         assert (again.best_prompt, again.best_score) == (r.best_prompt, r.best_score) and again.records.select("text").collect() == r.records.select("text").collect()
 
 
+def searched(spark, **settings):
+    import dataclasses
+
+    rows = [(i, "train" if i < 4 else "dev" if i < 68 else "test", f"question {i}", "right") for i in range(70)]
+    data = spark.createDataFrame(rows, "sample_id long, split string, input string, target string")
+    wrong = lambda: StubClient(("wrong",))
+    return Search(spark, data, wrong, dataclasses.replace(method("swift"), operators=("semantic_var",), generations=1, gate=False, **settings), "text", population=3)
+
+
+def test_racing_asks_less_of_who_is_beaten(spark):
+    counts = {}
+    for racing in (False, True):
+        s = searched(spark, racing=racing)
+        s._add("One.", "seed", [], 0)
+        s._add("Two.", "seed", [], 0)
+        s._measure(list(s.records), 0.9)
+        counts[racing] = s.evaluated
+        assert s.raced_out == ({0, 1} if racing else set()) and set(s.scores.values()) == {0.0}
+    assert counts[False] == 2 * 64 and 0 < counts[True] < counts[False]
+    s = searched(spark, racing=True)
+    s._add("One.", "seed", [], 0)
+    s._measure(list(s.records), 0.0)  # nobody is beaten: all of dev
+    assert s.evaluated == 64 and not s.raced_out
+
+
+def test_retention_decides_who_is_admitted(spark):
+    for retention in (False, True):
+        s = searched(spark, retention=retention)
+        for text, parents in (("Parent.", []), ("Keeps.", [0]), ("Loses.", [0])):
+            s._add(text, "x", parents, len(parents))
+        right = {0: {1, 2}, 1: {1, 2}, 2: {3, 4}}
+        s.outcomes = spark.createDataFrame([(r, i, int(i in right[r])) for r in right for i in range(6)], "record_id long, sample_id long, correct int")
+        s.scores = {0: 2 / 6, 1: 2 / 6, 2: 2 / 6}
+        if retention:
+            s._admit(s.records[1:])
+        assert s.not_admitted == ({2} if retention else set()) and set(s.scores) == ({0, 1} if retention else {0, 1, 2})
+    s.scores = {0: 2 / 6, 2: 2 / 6}
+    s._admit(s.records[2:])  # none else is left
+    assert 2 in s.scores
+
+
+def test_written_trees_are_read_again(spark, tmp_path):
+    rows = [("m", "apex", "bbh_navigate", 7, 0.0, 0.5, "p", 3, 9), ("m", "swift", "gsm8k", 1, 0.25, None, "q é", 4, 8)]
+    results = spark.createDataFrame(rows, "model string, method string, task string, seed long, best_score double, test_score double, best_prompt string, calls long, tokens long")
+    R.write_results(results, str(tmp_path / "results"))
+    read = R.read_results(spark, str(tmp_path / "results"))
+    assert sorted(tuple(r) for r in read.select(*results.columns).collect()) == sorted(rows) and all(r["load_error"] is None for r in read.collect())
+    records = spark.createDataFrame([("r1", "a", "t", 0.0, [], "x"), ("r1", "b", "u", None, ["a"], None), ("r2", "a", "v", 0.5, [], "y")], "run_id string, id string, text string, score double, parent_ids array<string>, operator string")
+    R.write_audit(records, str(tmp_path / "audit"))
+    got = R.read_records(spark, str(tmp_path / "audit")).select("run_id", "id", "text", "score", "parent_ids", "operator")
+    assert sorted(map(str, got.collect())) == sorted(map(str, records.fillna("seed", ["operator"]).collect()))
+
+
+def test_samples_that_occur_again_have_ids_of_their_own(spark, tmp_path):
+    (tmp_path / "again.json").write_text('[{"input": "q", "target": "a"}, {"input": "q", "target": "a"}, {"input": "r", "target": "a"}]')
+    rows = D.read_json(spark, str(tmp_path / "again.json")).collect()
+    assert len(rows) == 3 == len({r["sample_id"] for r in rows})
+
+
 def test_registry():
     assert len(METHODS) == 29 and method("APEX").choose == "bandit" and not math.isnan(1)
     with pytest.raises(ValueError):
