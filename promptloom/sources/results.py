@@ -23,8 +23,11 @@ def _files(spark: SparkSession, root: str, pattern: str, schema: str, modified_a
     reader = reader.option("modifiedAfter", modified_after) if modified_after else reader
     df = reader.json(root)
     below = F.element_at(F.split("_metadata.file_path", F.regexp_replace(F.lit(root.rstrip("/").split(":")[-1]), r"([^\w/])", r"\\$1")), -1)
-    # folders of a partitioned writer are named column=value
-    return df.withColumn("path", F.transform(F.filter(F.split(below, "/"), lambda p: p != ""), lambda p: F.regexp_replace(p, r"^(?:model|method|task|seed)=", "")))
+    # paths come as URIs; folders of a partitioned writer are named column=value, with a value that is encoded once more
+    decoded = lambda p: F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
+    column = r"^(?:model|method|task|seed)="
+    named = lambda p: F.when(F.regexp_like(p, F.lit(column)), decoded(F.regexp_replace(p, column, ""))).otherwise(p)
+    return df.withColumn("path", F.transform(F.filter(F.split(below, "/"), lambda p: p != ""), lambda p: named(F.coalesce(decoded(p), p))))
 
 
 def read_results(spark: SparkSession, root: str, methods: list[str] | None = None, modified_after: str | None = None, default_model: str = "default") -> DataFrame:
