@@ -45,12 +45,23 @@ def discrimination(df: DataFrame, sample: str = "sample_id", correct: str = "cor
 
 def calibrated_pool(df: DataFrame, floor: int, sample: str = "sample_id", correct: str = "correct") -> DataFrame:
     """Samples that discriminate, topped up in order to ``floor``."""
-    d = discrimination(df, sample, correct)
-    useless = F.col("discrimination") <= 0
-    place = F.row_number().over(W.partitionBy(useless).orderBy(sample))
-    kept = d.withColumn("_u", useless).withColumn("_place", place)
-    useful = d.agg(F.count_if(F.col("discrimination") > 0).alias("_useful"))
-    return kept.crossJoin(F.broadcast(useful)).where(~F.col("_u") | (F.col("_place") <= floor - F.col("_useful"))).select(sample, "discrimination")
+    d = discrimination(df, sample, correct).select(sample, "discrimination")
+    useful = d.where("discrimination > 0")
+    # the top-up is no larger than the floor, so it is a bounded top-k
+    more = d.where("discrimination <= 0").orderBy(sample).limit(floor).withColumn("_place", F.row_number().over(W.orderBy(sample)))
+    room = useful.limit(floor).agg(F.count("*").alias("_useful"))
+    topped = more.crossJoin(F.broadcast(room)).where(F.col("_place") <= floor - F.col("_useful"))
+    return useful.unionByName(topped.select(sample, "discrimination"))
+
+
+def family_switch(df: DataFrame, family: Sequence[str], baseline: str, needed: int, operator: str = "operator", score: str = "score", n: str = "n") -> DataFrame:
+    """One row: the best of a family of operators against the baseline, both over ``needed`` samples at least.
+
+    ``disabled`` is true where the family gains nothing; null where one of the two has not been evaluated so far.
+    """
+    known = df.where(F.col(n) >= needed)
+    best = known.agg(F.max(F.when(F.col(operator).isin(*family), F.col(score))).alias("family_best"), F.max(F.when(F.col(operator) == baseline, F.col(score))).alias("baseline_score"))
+    return best.withColumn("disabled", F.col("family_best") <= F.col("baseline_score"))
 
 
 def retention(children: DataFrame, edges: DataFrame, record: str = "record_id", sample: str = "sample_id", correct: str = "correct") -> DataFrame:

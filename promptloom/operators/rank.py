@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+
 
 def average_rank(value: Column, partition: Sequence[str], descending: bool = True) -> Column:
     """Ranks within a block where ties share their mean rank."""
@@ -15,6 +17,20 @@ def average_rank(value: Column, partition: Sequence[str], descending: bool = Tru
     return (F.rank().over(order) + (F.count("*").over(W.partitionBy(*partition, value)) - 1) / F.lit(2.0)).cast("double")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
+    """``df`` with the place of each row by ``order``, from 1, over all rows and without a task that sees them all.
+
+    Rows are dealt by ranges and sorted within; a range's rows begin after those of the ranges before it, of
+    which there are as many as shuffle partitions.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumns({"_range": F.spark_partition_id(), "_within": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = placed.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_begins"), before.alias("_before"))
+    met = placed.join(F.broadcast(begins), F.col("_range") == F.col("_begins"))
+    return met.withColumn(into, F.col("_before") + F.col("_within") + 1).drop("_range", "_begins", "_within", "_before")
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[Column], partition: Sequence[str] = (), into: str | None = None) -> DataFrame:
     """The first ``k`` rows by ``order``, of all or of each group. Without groups no window is needed."""
     if not partition and into is None:

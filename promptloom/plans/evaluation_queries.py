@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.failures import failures_shown
 from ..operators import evaluate as E
 from ..operators import select as S
-from ..operators.rank import first_of
+from ..operators.rank import first_of, numbered
 from ..sources.fixtures import EVALUATIONS_SQL, TRIALS_SQL, evaluations, named, table, trials
 
 QUERIES: dict = {}
@@ -312,7 +313,21 @@ def _(s, d):
 @query("informative_failures", "with f as (select sample_id, count(*) filter (correct = 0) as failures from ev group by all) select sample_id, failures, row_number() over (order by failures desc, sample_id) as place from f", "ev")
 def _(s, d):
     f = evaluations(s, d).groupBy("sample_id").agg(F.count_if(F.col("correct") == 0).alias("failures"))
-    return f.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("failures"), "sample_id")).cast("bigint"))
+    return numbered(f, [F.desc("failures"), F.col("sample_id")], "place")
+
+
+@query("family_switch", """with o as (select event_type as operator, round(avg(value), 6) as score, count(*) as n from events group by all), k as (select * from o where n >= 5),
+b as (select max(score) filter (operator in ('click', 'view')) as family_best, max(score) filter (operator = 'purchase') as baseline_score from k) select *, family_best <= baseline_score as disabled from b""")
+def _(s, d):
+    o = table(s, d, "events").groupBy(F.col("event_type").alias("operator")).agg(F.round(F.avg("value"), 6).alias("score"), F.count("*").alias("n"))
+    return E.family_switch(o, ["click", "view"], "purchase", 5)
+
+
+@query("failures_shown", """with f as (select record_id, sample_id, '- Input: ' || sample_id || chr(10) || '  Expected: yes' || chr(10) || '  Got: no ' || record_id as block from ev where correct = 0),
+n as (select *, row_number() over (partition by record_id order by sample_id) as i from f) select record_id, string_agg(block, chr(10) order by sample_id) as failures from n where i <= 3 group by record_id""", "ev")
+def _(s, d):
+    failed = evaluations(s, d).where("correct = 0").select("record_id", "sample_id", F.col("sample_id").alias("input"), F.lit("yes").alias("target"), F.concat(F.lit("no "), "record_id").alias("reply"))
+    return failures_shown(failed, ["record_id"], "sample_id", most=3)
 
 
 @query("generation_snapshots", """with x as (select user_id as generation, event_id as record_id, event_type as operator, value as score from events)

@@ -356,6 +356,19 @@ def _(s, d):
     return rounded(compliance(_contracts(s, d)), "share")
 
 
+@query("first_lines", "select record_id, " + _STRIP.format("split_part(" + _STRIP.format("text") + ", chr(10), 1)") + " as instruction from prompts")
+def _(s, d):
+    return prompts(s, d).select("record_id", X.first_line(F.col("text")).alias("instruction"))
+
+
+@query("without_block", r"""select record_id, case record_id % 3 when 0 then 'Do.[B] kept' when 1 then 'Do.' else 'Do. ' || operator end as text from prompts""")
+def _(s, d):
+    k = F.col("record_id") % 3
+    plain = F.replace("text", F.lit("["), F.lit("("))
+    made = F.when(k == 0, F.concat(F.lit("Do.[A] "), "operator", F.lit("\nmore[B] kept"))).when(k == 1, F.concat(F.lit("Do.[A]\n"), plain)).otherwise(F.concat(F.lit("Do. "), "operator"))
+    return prompts(s, d).select("record_id", X.without_block(made, "[A]", ("[B]",)).alias("text"))
+
+
 @query("candidates_and_population", "select record_id, 'candidate' as kind from prompts where generation = 8 union all select record_id, 'population' from prompts where generation < 4")
 def _(s, d):
     p = prompts(s, d).select("record_id", "generation")

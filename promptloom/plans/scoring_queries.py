@@ -124,3 +124,23 @@ def _(s, d):
     t = F.when(line == 1, F.col("n")).when(line == 2, F.concat(F.lit("("), "c", F.lit(")"))).when(line == 3, F.when(F.col("y"), "Yes").otherwise("no")).otherwise(F.when(F.col("n").cast("int") % 2 == 0, F.col("n")).otherwise(F.concat(F.lit("word"), "n")))
     first = b.withColumn("t", t).groupBy("line").agg(F.array_sort(F.collect_set("t")).alias("ts"))  # at most sixty targets
     return first.select("line", C.task_type(F.col("ts")).alias("task_type"))
+
+
+@query("last_answer", """select id, line, case k when 0 then n when 1 then m || ',5' when 2 then '?' when 3 then n || '.5' else m end as answer from b""")
+def _(s, d):
+    p = _choose(_text("3 and 4 make: the answer is ", "n", "."), _text("The Answer is $9; no, the answer is ", "m", ",5"), F.lit("no number"), _text("from 8 to ", "n", ".5"), _text("answer is ", "m"), _text("7, ", "m"))
+    return _base(s, d).select("id", "line", C.last_answer(p).alias("answer"))
+
+
+@query("expected_target", r"""select id, line, case k when 0 then 'answer ' || n
+    when 1 then 'the function must satisfy:' || chr(10) || 'input ''' || n || '\n'' -> ''' || m || '''' || chr(10) || 'input 5 -> "it''s"'
+    when 2 then 'a function named `f' || n || '` that satisfies:' || chr(10) || 'assert f(1) == ' || m || chr(10) || 'assert f(2)'
+    when 3 then 'the function must satisfy:' || chr(10) || '(test cases unavailable)'
+    when 4 then 'a function that satisfies:' || chr(10) || '(assertions unavailable)' else '[' || n || ']' end as expected from b""")
+def _(s, d):
+    from ..functions.failures import expected
+
+    cases = _text(r'{"test_cases": [{"input": "', "n", r'\n", "output": "', "m", r'"}, {"input": 5, "output": "it' + "'" + r's"}, 3]}')
+    harness = _text(r'{"entry_point": "f', "n", r'", "test": "def check(f):\n    assert f(1) == ', "m", r'\n    x = 1\n    assert f(2)\n"}')
+    t = _choose(_text("answer ", "n"), cases, harness, F.lit('{"test_cases": []}'), F.lit('{"test": null}'), _text("[", "n", "]"))
+    return _base(s, d).select("id", "line", expected(t).alias("expected"))

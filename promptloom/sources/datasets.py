@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import task_type
 from ..functions.text import found, strip
 from ..operators import select as S
+from ..operators.rank import numbered
 
 # The tasks of BIG-Bench Hard, and the letters of options.
 BBH_TASKS = (
@@ -146,9 +147,11 @@ def split_by_seed(samples: DataFrame, seed: int = 42, ratio: float = 0.0, json_s
         train, _, test = S.json_split_sizes(total, limit)
     else:
         train, _, test = S.split_sizes(total, ratio)
-    sizes = samples.sparkSession.createDataFrame([("x", train, test)], "_g string, n_train int, n_test int")
-    dealt = S.fixed_split(samples.drop("split").withColumn("_g", F.lit("x")), "sample_id", sizes, ["_g"], seed=seed)
-    return dealt.drop("_g")
+    # places by the test's order, then the rest by the run's: no task sees all rows
+    placed = numbered(samples.drop("split"), [S.shuffled(samples, "sample_id", 42), F.col("sample_id")], "_t")
+    rest = placed.where(F.col("_t") > test).drop("_t")
+    dealt = numbered(rest, [S.shuffled(rest, "sample_id", seed), F.col("sample_id")], "_r").withColumn("split", F.when(F.col("_r") <= train, "train").otherwise("dev")).drop("_r")
+    return dealt.unionByName(placed.where(F.col("_t") <= test).drop("_t").withColumn("split", F.lit("test")))
 
 
 def detected_type(samples: DataFrame, seq: str = "sample_id") -> DataFrame:
