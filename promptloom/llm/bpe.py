@@ -49,11 +49,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for beyond plain byte-level BPE."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    found = [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    found += ["model.type"] if model.get("type", "BPE") != "BPE" else []
+    found += ["normalizer"] if spec.get("normalizer") else []
+    found += ["pre_tokenizer"] if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) else []
+    found += ["decoder"] if after.get("type") != "ByteLevel" else []
+    return found + [f"added_tokens.{k}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+
+
 class Codec:
-    """A byte-level BPE vocabulary of the ``tokenizers`` JSON format."""
+    """A byte-level BPE vocabulary of the ``tokenizers`` JSON format; a file that asks for more is refused."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
+        if more := unsupported(spec):
+            raise ValueError(f"not plain byte-level BPE: {', '.join(more)}")
         vocab, merges = spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         symbols = byte_symbols()
         back = {c: b for b, c in enumerate(symbols)}

@@ -82,8 +82,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], key: s
     texts = docs.select(docs[key].alias("d"), docs[text].alias("t"))
     joined = texts.join(F.broadcast(chosen), F.col("d") == F.col("k"))
     letters = joined.select("domain", F.explode(F.split(F.lower(F.coalesce("t", F.lit(""))), "")).alias("c")).where("c <> ''").groupBy("domain", "c").agg(F.sum(F.octet_length("c")).alias("count"))
-    # an alphabet is bounded by its script; rare letters beyond the first thousands carry no weight
-    rows = letters.orderBy(F.desc("count"), "domain", "c").limit(2048 * len(domains)).collect()
+    rows = letters.collect()  # the characters of at most ``max_labelled`` texts: an alphabet for each domain
     held = {r["domain"]: r["n"] for r in joined.groupBy("domain").agg(F.count_distinct("d").alias("n")).collect()}
     totals = {d: 1.0 for d in domains}
     counts: dict[str, dict[str, int]] = {}

@@ -31,6 +31,18 @@ def test_ids_equal_the_library():
             assert encoder.codec.decode(ids) == own.decode(want, skip_special_tokens=False)
 
 
+def test_files_that_ask_for_more_are_refused():
+    spec = json.load(open(PATH))
+    assert bpe.unsupported(spec) == []
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"decoder": None}, {"model": spec["model"] | {"dropout": 0.1}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        try:
+            bpe.Codec(json.dumps(spec | change).encode())
+        except ValueError as refused:
+            assert next(iter(change)) in str(refused)
+        else:
+            raise AssertionError(change)
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY_PIECES", 5)
     encoder, own = bpe.BlockEncoder(bpe.Codec(open(PATH, "rb").read())), library()
