@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,6 +129,10 @@ class Mix:
     targets: tuple[float, ...]
     reached: tuple[float, ...]
 
+    def missed(self, tolerance: float = 1e-3) -> list[str]:
+        """Domains whose expected total is off its target by more than a share of it: without tokens, or held by the floor."""
+        return [d for d, r, t in zip(self.model.domains, self.reached, self.targets) if abs(r - t) > tolerance * (t or sum(self.targets))]
+
     def rate(self, posterior: Column) -> Column:
         history = F.array(*(F.array(*map(F.lit, map(float, g))) for g in self.gradients))
         if not self.gradients:
@@ -174,7 +179,10 @@ def fit_mix(profiles: DataFrame, model: DomainModel, targets: dict[str, float],
         *reached, moved = sums(state, after, F.sum(F.col("n") * F.abs(after - before)))
         if moved <= 1e-12 * budget:
             break
-    return Mix(model, tuple(gradients), floor, tuple(available), tuple(wanted), tuple(reached))
+    mix = Mix(model, tuple(gradients), floor, tuple(available), tuple(wanted), tuple(reached))
+    if missed := mix.missed():
+        warnings.warn(f"targets not met: {', '.join(missed)}", stacklevel=2)
+    return mix
 
 
 def draw(rate: Column, *key: Column) -> Column:

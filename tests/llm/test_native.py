@@ -191,6 +191,8 @@ def test_mixing_odd_rows(spark):
     assert M.mixed(docs, mix).columns == docs.columns
     empty = no_documents(spark)
     assert M.rates(M.profile(empty, model), M.fit_mix(M.profile(empty, model), model, {"de": 1, "en": 1, "es": 1})).count() == 0
+    lost = M.Mix(model, (), 0.0, (0.0, 5.0, 5.0), (3.0, 4.0, 3.0), (0.0, 5.0, 3.0))
+    assert lost.missed() == ["de", "en"] and M.Mix(model, (), 0.0, (3.0, 4.0, 3.0), (3.0, 4.0, 3.0), (3.0, 4.0001, 3.0)).missed() == []
     untaught = M.fit_domains(docs, docs.select("doc_id", F.col("lang").alias("domain")).limit(0), ["de", "en"])
     assert M.rates(M.profile(docs, untaught), M.fit_mix(M.profile(docs, untaught), untaught, {"de": 1, "en": 1})).count() == len(TEXTS)
 
