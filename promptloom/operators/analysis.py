@@ -6,11 +6,13 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .rank import average_rank, first_of, front
+from ..sources.storage import cut, ship
+from .rank import average_rank, first_of, front, numbered
 
 # Studentised range at .05 over the root of two, by number of methods.
 NEMENYI_Q = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031}
@@ -253,6 +255,31 @@ def bradley_terry(wins: list[list[float]], rounds: int = 200, eps: float = 1e-9)
     return s
 
 
+def bradley_terry_bootstrap(df: DataFrame, block: Sequence[str], item: str, value: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """``item, low, high``: the middle 95 % of strengths over draws of as many blocks as there are, with replacement.
+
+    A draw's blocks are picked by a hash of draw, turn and seed, counted, and met with the pairs that each block decides;
+    each draw's matrix, of as many rows as there are items, is fitted in one task of its own.
+    """
+    ship(df.sparkSession)
+    places = cut(numbered(df.select(*block).distinct(), [F.col(c) for c in block], "_place"))
+    n = places.count()
+    a = df.select(*block, F.col(item).alias("a"), F.col(value).alias("_x"))
+    b = df.select(*block, F.col(item).alias("b"), F.col(value).alias("_y"))
+    won = a.join(b, list(block)).where("a <> b").select(*block, "a", "b", F.when(F.col("_x") > F.col("_y"), 1.0).when(F.col("_x") == F.col("_y"), 0.5).otherwise(0.0).alias("won"))
+    turns = df.sparkSession.range(draws * n).select((F.col("id") / F.lit(max(1, n))).cast("long").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n))) + 1).alias("_place"))
+    picked = turns.groupBy("draw", "_place").agg(F.count("*").alias("times"))
+    matrices = won.join(places, list(block)).join(picked, "_place").groupBy("draw", "a", "b").agg(F.sum(F.col("won") * F.col("times")).alias("won"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(rows["a"]))
+        known = {(x, y): w for x, y, w in zip(rows["a"], rows["b"], rows["won"])}
+        return pd.DataFrame({"item": names, "strength": bradley_terry([[known.get((x, y), 0.0) for y in names] for x in names])})
+
+    fitted = matrices.groupBy("draw").applyInPandas(fit, "item string, strength double")
+    return fitted.groupBy(F.col("item").alias(item)).agg(F.percentile("strength", F.lit(0.025)).alias("low"), F.percentile("strength", F.lit(0.975)).alias("high"))
+
+
 def wilcoxon_p(differences: Sequence[float]) -> float:
     """Two-sided signed-rank p: exact without ties up to 50 pairs, else normal with tie correction; 1 without a difference."""
     d = [x for x in differences if x]

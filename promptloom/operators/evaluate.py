@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import word_count
 from .analysis import hoeffding_bound
 
 
@@ -15,6 +16,20 @@ def accuracy(df: DataFrame, by: Sequence[str], correct: str = "correct") -> Data
     return df.groupBy(*by).agg(F.sum(correct).alias("num_correct"), F.count(correct).alias("num_total"), F.coalesce(F.try_divide(F.sum(correct), F.count(correct)), F.lit(0.0)).alias("score"))
 
 
+def deploy_cost(records: DataFrame, outcomes: DataFrame, input_weight: float = 1.0, output_weight: float = 1.0) -> DataFrame:
+    """What each use of a prompt costs in words: its own and, on average, those of its replies; without replies its own."""
+    said = outcomes.groupBy("record_id").agg(F.avg(word_count(F.col("reply"))).alias("_out"))
+    own = records.select("record_id", word_count(F.col("text")).alias("prompt_words"))
+    cost = input_weight * F.col("prompt_words") + output_weight * F.coalesce("_out", F.lit(0.0))
+    return own.join(said, "record_id", "left").select("record_id", "prompt_words", F.coalesce("_out", F.lit(0.0)).alias("reply_words"), cost.alias("deploy_cost"))
+
+
+def search_cost(usage: DataFrame, by: Sequence[str], calls: str = "calls", tokens: str = "tokens", slots: str = "slots") -> DataFrame:
+    """What a search took, and its tokens for each place in a generation that it filled: what compares methods of unlike budgets."""
+    spent = usage.groupBy(*by).agg(F.sum(calls).alias("search_calls"), F.sum(tokens).alias("search_tokens"), F.greatest(F.lit(1), F.sum(slots)).alias("search_slots"))
+    return spent.withColumn("tokens_per_slot", F.col("search_tokens") / F.col("search_slots"))
+
+
 def racing(df: DataFrame, baseline: float, by: str = "record_id", n: str = "n", correct: str = "correct", min_n: int = 10, alpha: float = 0.05, batch: int | None = None, min_batches: int = 1) -> DataFrame:
     """Retrospective racing: ``stop_n`` of each candidate, null where it is never beaten for sure.
 

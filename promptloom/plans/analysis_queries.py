@@ -221,6 +221,12 @@ def _(s, d):
     return s.createDataFrame([(n, round(x, 6)) for n, x in zip(names, strengths)], "method string, strength double")
 
 
+@query("bradley_terry_interval")
+def _(s, d):
+    cells = A.block_means(runs(s, d), ["model", "task"], "method")
+    return rounded(A.bradley_terry_bootstrap(cells, ["model", "task"], "method", "value"), "low", "high")
+
+
 @query("wilcoxon_holm")
 def _(s, d):
     cells = A.block_means(runs(s, d), ["model", "task"], "method")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evaluate as E
 from ..operators import lineage as L
 from ..operators import select as S
 from ..operators.rank import rank_order, top_k
@@ -316,11 +317,58 @@ def _(s, d):
     return near_duplicate_pairs(prompts(s, d).select("record_id", "text"))
 
 
-@query("deploy_cost", r"""with w as (select record_id, method, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as n from prompts)
-select method, round(avg(n), 6) as mean_words, round(avg(n) + max(n), 6) as deploy_cost, cast(sum(n) as bigint) as words, round(sum(n) / greatest(1, count(*)), 6) as words_per_slot from w group by method""")
+_WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda w: w <> ''))"
+
+
+@query("deploy_cost", f"""with said as (select user_id as record_id, avg({_WORDS.format("event_type || ' ' || repeat('w ', cast(event_id % 5 as integer))")}) as o from events group by user_id),
+own as (select record_id, cast({_WORDS.format("text")} as bigint) as n from prompts)
+select record_id, n as prompt_words, round(coalesce(o, 0), 6) as reply_words, round(n + coalesce(o, 0), 6) as deploy_cost from own left join said using (record_id)""")
+def _(s, d):
+    reply = F.concat("event_type", F.lit(" "), F.repeat(F.lit("w "), (F.col("event_id") % 5).cast("int")))
+    replies = table(s, d, "events").select(F.col("user_id").alias("record_id"), reply.alias("reply"))
+    return rounded(E.deploy_cost(spread(prompts(s, d)), replies), "reply_words", "deploy_cost")
+
+
+@query("search_cost", "select method, count(*) as search_calls, sum(n_chars) as search_tokens, greatest(1, sum(generation)) as search_slots, round(sum(n_chars) / greatest(1, sum(generation)), 6) as tokens_per_slot from prompts group by method")
+def _(s, d):
+    p = prompts(s, d).select("method", F.lit(1).alias("calls"), F.col("n_chars").alias("tokens"), F.col("generation").alias("slots"))
+    return rounded(E.search_cost(p, ["method"]), "tokens_per_slot")
+
+
+@query("prompt_parts", r"""select record_id, case record_id % 3 when 0 then method || '.' when 1 then method || '.' else 'Read' end as instruction, case when record_id % 3 = 1 then 'Examples:' || chr(10) || operator end as examples,
+'You are ' || operator || chr(10) || chr(10) || case record_id % 3 when 2 then 'Read' else method || '.' end || case when record_id % 3 = 1 then chr(10) || chr(10) || 'Examples:' || chr(10) || operator else '' end as prompt from prompts""")
+def _(s, d):
+    k, head = F.col("record_id") % 3, F.concat("method", F.lit(". "))
+    made = F.when(k == 0, F.concat(head, F.lit("\n\nExamples: "))).when(k == 1, F.concat(head, F.lit("\n\nExamples:\n"), "operator", F.lit("\n"))).otherwise(" Read ")
+    p = prompts(s, d).select("record_id", "operator", X.parts_of(made).alias("parts"))
+    whole = F.map_concat("parts", F.create_map(F.lit("role"), F.concat(F.lit("You are "), "operator")))
+    return p.select("record_id", F.col("parts")["instruction"].alias("instruction"), F.col("parts")["examples"].alias("examples"), X.rendered_parts(whole).alias("prompt"))
+
+
+@query("written_parts", """select record_id, case record_id % 3 when 0 then operator when 1 then null else 'Examples: ' || operator end as examples, case record_id % 3 when 0 then 'Do' when 1 then null else 'Examples: ' || operator end as instruction from (
+    select record_id, record_id % 3 as k, case when record_id % 3 = 0 then 'Examples:' || chr(10) || operator else operator end as operator from prompts)""")
+def _(s, d):
+    k = F.col("record_id") % 3
+    made = F.when(k == 0, F.concat(F.lit("Do \n\nExamples:\n"), "operator")).when(k == 1, F.lit("  ")).otherwise(F.concat(F.lit("Examples: "), "operator"))
+    return prompts(s, d).select("record_id", X.written_part("examples", made).alias("examples"), X.written_part("instruction", made).alias("instruction"))
+
+
+@query("structured_fields", """select record_id, case when record_id % 3 = 0 then 'You are ' || method || ' at work' end as preamble, case record_id % 3 when 0 then 'name ' || operator when 1 then 'plain ' || operator end as task_definition,
+case when record_id % 3 = 2 then '' end as output_spec, case record_id % 3 when 0 then 'You are ' || method || ' at work' || chr(10) || 'name ' || operator when 1 then 'plain ' || operator else 'Solve the task.' end as prompt from prompts""")
+def _(s, d):
+    k = F.col("record_id") % 3
+    first = F.concat(F.lit("Here:\nPreamble: You are "), "method", F.lit("\n\n  at work\nTASK_DEFINITION:  old\ntask_definition: name "), "operator")
+    made = F.when(k == 0, first).when(k == 1, F.concat(F.lit(" plain "), "operator")).otherwise("OUTPUT_SPEC:")
+    p = prompts(s, d).select("record_id", X.field_values(made).alias("f"))
+    return p.select("record_id", "f.preamble", "f.task_definition", "f.output_spec", X.rendered_fields(F.col("f")).alias("prompt"))
+
+
+@query("rebuilt_examples", """select record_id, 'Name it.' || chr(10) || chr(10) || 'Q: one' || chr(10) || 'A: ' || operator || case when record_id % 2 = 0 then chr(10) || chr(10) || 'Q: three' || chr(10) || 'A: a "b"' else '' end as plain,
+'Name it.' || chr(10) || chr(10) || 'Q: one' || chr(10) || 'A: {"answer": "' || operator || '"}' || case when record_id % 2 = 0 then chr(10) || chr(10) || 'Q: three' || chr(10) || 'A: {"answer": "a \\"b\\""}' else '' end as json from prompts""")
 def _(s, d):
-    w = prompts(s, d).select("method", X.word_count(F.col("text")).alias("n"))
-    return w.groupBy("method").agg(F.round(F.avg("n"), 6).alias("mean_words"), F.round(F.avg("n") + F.max("n"), 6).alias("deploy_cost"), F.sum("n").alias("words"), F.round(F.sum("n") / F.greatest(F.lit(1), F.count("*")), 6).alias("words_per_slot"))
+    shots = [F.lit("Name it.\n\nQ: one\nA: Think of "), F.col("method"), F.lit(". So the answer is "), F.col("operator"), F.lit(".\n\nQ: two\nno answer"), F.when(F.col("record_id") % 2 == 0, F.lit('\n\nQ: three\nA: So the answer is a "b".  ')).otherwise(F.lit("\n\nQ: four\nA: none"))]
+    t = F.concat(*shots)
+    return prompts(s, d).select("record_id", X.answer_only(t).alias("plain"), X.json_answers(t).alias("json"))
 
 
 _REPLIES = """{"edits": [{"span_id": 0, "replace": "Read the task with care."}]}|```json

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as C
 from ..functions import text as X
 from ..sources import datasets as D
+from ..sources import legacy as L
 from ..sources import results as R
 from ..sources.fixtures import PROMPTS_SQL, named, prompts, runs, table, with_runs
 from ..sources.storage import cut, remove_folder, shared_folder
@@ -129,3 +131,37 @@ def _(s, d):
     cases = {"math": ("#### 7", "7", "8"), "mcq": ("(B)", "B", "C"), "boolean": ("The answer is yes", "yes", "no"), "auto": ("The answer is 12", "12", "13")}
     scored = [F.struct(F.lit(t).alias("task_type"), C.score(t, F.lit(said), F.when(right, yes).otherwise(no)).alias("score")) for t, (said, yes, no) in cases.items()]
     return i.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.explode(F.array(*scored)).alias("x")).select("id", "line", "x.task_type", "x.score")
+
+
+@query("operator_scores", named("prompts", PROMPTS_SQL, "select operator || chr(8211) || 'é' as operator, count(*) as n, round(avg(dev), 6) as mean, round(coalesce(stddev_samp(dev), 0), 6) as std from prompts where dev is not null and record_id % 3 <> 2 group by operator"))
+def _(s, d):
+    p = prompts(s, d).where("record_id % 3 <> 2")  # two of three runs are of the task
+    record = F.struct(F.concat("operator", F.lit("–é")).alias("operator"), F.create_map(F.lit("dev"), F.col("dev")).alias("scores"))
+    runs_of = p.groupBy(F.col("record_id") % 3, F.floor(F.col("record_id") / 64)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("record_id").cast("string"), record))).alias("records"), F.min("record_id").alias("run"))
+    text = F.to_json(F.struct(F.struct("records").alias("history")))
+    # half of the files are UTF-8, half are of one byte a character, where a dash is 0x96
+    one_byte = F.encode(F.translate(text, "–", "\x96"), "ISO-8859-1")
+    files = runs_of.select(F.concat(F.lit("/out/navigate/audit_"), "run").alias("path"), F.when(F.col("run") % 2 == 0, F.encode(text, "UTF-8")).otherwise(one_byte).alias("content"))
+    made = R.operator_scores(files, task="navigate")
+    return made.select("operator", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("older_layouts", with_runs("""select method, 'bbh_' || task as task, seed, test_score, best_dev as best_score, cast(calls as bigint) as calls, cast(tokens as bigint) as tokens
+from (select 'm' || row_number() over (order by model, method, task, seed) as method, 't' || seed as task, seed, case when seed % 3 = 0 then 0 else test_score end as test_score, case when seed % 3 = 1 then 0 else best_dev end as best_dev, case when seed % 3 = 1 then 0 else calls end as calls, case when seed % 3 = 0 then 0 else tokens end as tokens from runs)"""))
+def _(s, d):
+    r = runs(s, d).withColumn("m", F.concat(F.lit("m"), F.row_number().over(W.orderBy("model", "method", "task", "seed"))))  # some hundreds of runs
+    scores, search = F.col("seed") % 3 != 0, F.col("seed") % 3 != 1
+    path = lambda kind: F.array(F.lit("bbh"), F.concat(F.lit("t"), "seed"), F.concat(F.lit("seed"), "seed"), F.col("m"), F.lit(f"{kind}.json"))
+    usage = F.struct(F.col("tokens").cast("long").alias("total_tokens"), F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    summary = r.where(scores).select(path("summary").alias("path"), F.lit(0.0).alias("primary_metric"), F.struct(F.col("test_score").alias("accuracy")).alias("metrics"), usage.alias("token_usage"), F.lit("x").alias("model"), none("double", "best_score"), none("string", "best_prompt"), none("double", "elapsed_seconds"), none("int", "num_generations"), none("long", "total_llm_calls"), none("string", "_corrupt"))
+    history = r.where(search).select(path("history").alias("path"), F.col("best_dev").alias("best_score"), F.lit("p").alias("best_prompt"), F.col("calls").alias("total_llm_calls"))
+    files = L.method_folder_files(summary.unionByName(history, allowMissingColumns=True))
+    return L.runs_of(files).select("method", "task", "seed", "test_score", "best_score", "calls", "tokens")
+
+
+@query("packed_cases", "select item_id, '[{\"input\": \"' || item_id || '\"}]' as cases from benchmark where item_id % 2 = 0 union all select item_id, null from benchmark where item_id % 2 = 1")
+def _(s, d):
+    n = F.col("item_id").cast("string")
+    plain = F.concat(F.lit('[{"input": "'), n, F.lit('"}]'))
+    return table(s, d, "benchmark").select("item_id", D.unpacked(F.when(F.col("item_id") % 2 == 0, plain).otherwise("not a stream")).alias("cases"))

@@ -18,7 +18,7 @@ RECORD = (
 AUDIT = f"history struct<run_id:string,method_name:string,dataset_name:string,started_at:string,records:map<string,{RECORD}>>, _corrupt string"
 
 
-def _files(spark: SparkSession, root: str, pattern: str, schema: str, modified_after: str | None = None) -> DataFrame:
+def scanned(spark: SparkSession, root: str, pattern: str, schema: str, modified_after: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     reader = reader.option("modifiedAfter", modified_after) if modified_after else reader
     df = reader.json(root)
@@ -35,7 +35,7 @@ def read_results(spark: SparkSession, root: str, methods: list[str] | None = Non
 
     ``load_error`` tells files that are not JSON; those of methods that are not asked for are left out.
     """
-    df = _files(spark, root, "{result_*,part-*}.json", RESULT, modified_after)
+    df = scanned(spark, root, "{result_*,part-*}.json", RESULT, modified_after)
     five = F.size("path") >= 5
     part = lambda i: F.get(F.col("path"), F.when(five, i).otherwise(i - 1))
     usage = lambda n: F.coalesce(F.col(f"llm_usage.{n}"), F.lit(0))
@@ -55,12 +55,56 @@ def trajectories(results: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, root: str, task: str | None = None) -> DataFrame:
     """One row for each prompt record of each audit file; missing keys have their defaults."""
-    df = _files(spark, root, "{audit_*,part-*}.json", AUDIT)
+    df = scanned(spark, root, "{audit_*,part-*}.json", AUDIT)
     df = df.where(F.contains(F.array_join("path", "/"), F.lit(task))) if task else df
     r = df.select("history.run_id", F.explode(F.map_values("history.records")).alias("r")).select("run_id", "r.*")
     return r.withColumns({"parent_ids": F.coalesce("parent_ids", F.array().cast("array<string>")), "operator": F.coalesce("operator", F.lit("seed")), "is_complete": F.coalesce("is_complete", F.lit(True)), "dev": F.col("scores")["dev"]})
 
 
+def _windows_characters() -> tuple[str, str]:
+    """The controls of Latin-1 that Windows-1252 uses for characters, and those characters."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs if c)
+
+
+def decoded(content: Column) -> Column:
+    """The text of a file: UTF-8 where it is valid, else Windows-1252 where all bytes have a meaning there, else Latin-1."""
+    plain = F.decode(content, "ISO-8859-1")
+    controls, characters = _windows_characters()
+    unused = "[" + "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in controls) + "]"
+    other = F.when(F.regexp_like(plain, F.lit(unused)), plain).otherwise(F.translate(plain, controls, characters))
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), other)
+
+
+def method_root(folder: str, method: str) -> str | None:
+    """The nearest folder at or above ``folder`` that has the method's name; None where there is none."""
+    parts = folder.rstrip("/").split("/")
+    at = max((i for i, part in enumerate(parts) if part == method), default=None)
+    return None if at is None else "/".join(parts[: at + 1])
+
+
+def operator_scores(files: DataFrame, operators: list[str] | None = None, task: str | None = None) -> DataFrame:
+    """``operator, n, mean, std`` of the dev scores in audit files of any encoding (``path, content``); one score has no spread.
+
+    ``task`` keeps files whose path names it. Files that are not JSON are left out.
+    """
+    wanted = files.where(F.contains("path", F.lit(task))) if task else files
+    audit = F.from_json(decoded(F.col("content")), AUDIT.removesuffix(", _corrupt string"))
+    r = wanted.select(F.explode(F.map_values(audit["history"]["records"])).alias("r")).select("r.operator", F.col("r.scores")["dev"].alias("dev"))
+    kept = r.where(F.col("operator").isNotNull() & F.col("dev").isNotNull())
+    kept = kept.where(F.col("operator").isin(operators)) if operators is not None else kept
+    return kept.groupBy("operator").agg(F.count("*").alias("n"), F.avg("dev").alias("mean"), F.coalesce(F.stddev_samp("dev"), F.lit(0.0)).alias("std"))
+
+
+def past_operator_scores(spark: SparkSession, folder: str, method: str, operators: list[str] | None = None, task: str | None = None) -> DataFrame | None:
+    """``operator_scores`` of all earlier runs of a method in the experiment that ``folder`` belongs to."""
+    root = method_root(folder, method)
+    if root is None:
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"audit_{method}_*.json").load(root)
+    return operator_scores(files.select("path", "content"), operators, task)
+
+
 def broken_results(results: DataFrame, least_best: float = 0.0) -> DataFrame:
     """Runs that have a prompt and a dev score but no test score."""
     return results.where((F.col("best_prompt") != "") & F.col("test_score").isNull() & (F.col("best_score") >= least_best))

@@ -1,8 +1,13 @@
+import base64
+import json
 import math
+import pickle
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from promptloom.functions import text as X
 from promptloom.operators import analysis as A
 from promptloom.operators import evaluate as E
 from promptloom.operators import lineage as L
@@ -13,6 +18,7 @@ from promptloom.search.client import StubClient, generate, retry_delay
 from promptloom.search.loop import Search
 from promptloom.search.methods import METHODS, method
 from promptloom.sources import datasets as D
+from promptloom.sources import legacy
 from promptloom.sources import results as R
 
 
@@ -234,6 +240,76 @@ def test_samples_that_occur_again_have_ids_of_their_own(spark, tmp_path):
     assert len(rows) == 3 == len({r["sample_id"] for r in rows})
 
 
+def _put(root, place, told):
+    file = root / place
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.write_text(json.dumps(told))
+
+
+def test_older_layouts(spark, tmp_path):
+    a = tmp_path / "a"
+    _put(a, "gsm8k/gsm8k/apex_seed3/apex_gsm8k_gsm8k_seed3_metrics.json", {"primary_metric": 0, "metrics": {"accuracy": 0.5}, "elapsed_seconds": 9.0, "token_usage": {"total_tokens": 7}})
+    _put(a, "gsm8k/gsm8k/apex_seed3/apex_gsm8k_gsm8k_seed3_optimization.json", {"best_score": 0.75, "best_prompt": "p", "elapsed_seconds": 0, "total_llm_calls": 4})
+    _put(a, "gsm8k/gsm8k/see_seed1/see_gsm8k_gsm8k_seed1_metrics.json", {"primary_metric": 0.25})
+    _put(a, "svamp/svamp/see_seed1/see_svamp_svamp_seed1_metrics.json", {"primary_metric": 0.25})
+    (a / "gsm8k/gsm8k/x_seed2").mkdir()
+    (a / "gsm8k/gsm8k/x_seed2/x_gsm8k_gsm8k_seed2_metrics.json").write_text("{broken")
+    got = sorted(legacy.read_seed_folders(spark, str(a)).select("method", "task", "seed", "test_score", "best_score", "total_time", "calls", "tokens").collect())
+    assert [tuple(r) for r in got] == [("apex", "gsm8k", 3, 0.5, 0.75, 9.0, 4, 7), ("see", "gsm8k", 1, 0.25, 0.0, 0.0, 0, 0)]
+    b = tmp_path / "b"
+    _put(b, "bbh/snarks/seed2/apex/summary.json", {"primary_metric": 0.5})
+    _put(b, "bbh/snarks/seed2/apex/history.json", {"best_score": 1})
+    _put(b, "gsm8k/gsm8k/seed1/see/history.json", {"best_score": 0.5})
+    _put(b, "gsm8k/other/seed1/see/history.json", {"best_score": 0.5})
+    got = sorted(legacy.read_method_folders(spark, str(b)).select("method", "task", "seed", "test_score", "best_score").collect())
+    assert [tuple(r) for r in got] == [("apex", "bbh_snarks", 2, 0.5, 1.0), ("see", "gsm8k", 1, 0.0, 0.5)]
+    assert [r["method"] for r in legacy.read_method_folders(spark, str(b), ["see"]).collect()] == ["see"]
+
+
+def test_past_scores_are_read_in_any_encoding(spark, tmp_path):
+    runs = tmp_path / "exp" / "funnel"
+    for i, encoding in enumerate(("utf-8", "cp1252", "latin-1")):
+        told = {"history": {"records": {"a": {"operator": "é" + ("\x81" if encoding == "latin-1" else "–"), "scores": {"dev": i / 2}}, "b": {"operator": "x"}, "c": {"operator": "few", "scores": {"dev": i / 2}}}}}
+        (runs / f"bbh_t/seed_{i}").mkdir(parents=True)
+        (runs / f"bbh_t/seed_{i}/audit_funnel_{i}.json").write_bytes(json.dumps(told, ensure_ascii=False).encode(encoding))
+    (runs / "bbh_t/seed_0/audit_funnel_x.json").write_text("{")
+    here = str(runs / "bbh_t" / "seed_9")
+    got = {r["operator"]: (r["n"], r["mean"], r["std"]) for r in R.past_operator_scores(spark, here, "funnel", task="bbh_t").collect()}
+    assert got == {"é–": (2, 0.25, pytest.approx(0.5 / 2**0.5)), "é\x81": (1, 1.0, 0.0), "few": (3, 0.5, 0.5)}
+    assert R.past_operator_scores(spark, here, "other") is None
+    assert R.past_operator_scores(spark, here, "funnel", ["few"], "bbh_u").count() == 0
+
+
+class _Opens:
+    def __reduce__(self):
+        return (open, ("/nowhere",))
+
+
+def test_packed_cases_are_read_and_never_run():
+    def packed(value, protocol):
+        return base64.b64encode(zlib.compress(pickle.dumps(value, protocol))).decode()
+
+    for protocol in (0, 2, 4, 5):
+        assert D.packed_text(packed('[{"input": "é"}]', protocol)) == '[{"input": "é"}]'
+    assert [D.packed_text(x) for x in (packed(_Opens(), 4), packed(["a", "b"], 4), packed(7, 4), "", None, "!!")] == [None] * 6
+
+
+def test_strengths_of_drawn_blocks(spark):
+    rows = spark.createDataFrame([(i, m, float(v)) for i in range(12) for m, v in (("a", 3), ("b", 2 if i % 3 else 4), ("c", 1 if i % 2 else 3.5))], "block long, method string, value double")
+    got = {r["method"]: (r["low"], r["high"]) for r in A.bradley_terry_bootstrap(rows, ["block"], "method", "value", draws=60).collect()}
+    again = {r["method"]: (r["low"], r["high"]) for r in A.bradley_terry_bootstrap(rows.repartition(5), ["block"], "method", "value", draws=60).collect()}
+    assert all(got[m] == pytest.approx(again[m]) for m in got)
+    pairs = {(r["a"], r["b"]): r["wins"] + r["ties"] / 2 for r in A.pair_counts(rows, ["block"], "method", "value").collect()}
+    whole = dict(zip("abc", A.bradley_terry([[pairs.get((x, y), 0.0) for y in "abc"] for x in "abc"])))
+    assert set(got) == set("abc") and all(got[m][0] <= whole[m] <= got[m][1] for m in got)
+
+
+def test_parts_and_fields_of_odd_texts(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("a\n\nExamples:",)], "t string")
+    got = [tuple(r) for r in rows.select(X.rendered_parts(X.parts_of(F.col("t"))), X.rendered_fields(X.field_values(F.col("t"))), X.answer_only(F.col("t")), X.written_part("examples", F.col("t"))).collect()]
+    assert got == [("", "Solve the task.", "", None), ("", "Solve the task.", "", None), ("a", "a\n\nExamples:", "a", "Examples:")]
+
+
 def test_registry():
     assert len(METHODS) == 29 and method("APEX").choose == "bandit" and not math.isnan(1)
     with pytest.raises(ValueError):
