@@ -282,6 +282,12 @@ def _(s, d):
     return spread(prompts(s, d)).select("record_id", F.sha2(X.without_sentence(F.col("text"), F.col("record_id")), 256).alias("kept_hash"))
 
 
+@query("grips_swap", "with s as (select record_id, " + _SENTS.format("text") + """ as sa, record_id % 5 as i from prompts), p as (select *, i % len(sa) as a, (i % len(sa) + 1 + (record_id % greatest(len(sa) - 1, 1))) % len(sa) as b from s)
+select record_id, case when len(sa) >= 2 then sha256(array_to_string(list_transform(range(len(sa)), lambda k: sa[(case when k = a then b when k = b then a else k end) + 1]), ' ')) end as swapped_hash from p""")
+def _(s, d):
+    return spread(prompts(s, d)).select("record_id", F.sha2(X.swapped_sentences(F.col("text"), F.col("record_id") % 5, F.col("record_id")), 256).alias("swapped_hash"))
+
+
 @query("format_constraint", r"""select record_id, sha256(regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || 'Answer with ONLY the final answer, exactly in the same format as these examples: ''' || operator || ''', ''' || method || '''. No explanation.') as prompt_hash from prompts""")
 def _(s, d):
     return prompts(s, d).select("record_id", F.sha2(X.format_constraint(F.col("text"), F.array("operator", "method")), 256).alias("prompt_hash"))

@@ -22,7 +22,12 @@ from ..operators import select as S
 from ..plans.budget import Budget
 from ..sources.storage import cut
 from .client import Client, generate
-from .methods import FAILURES, FREE, REWRITES, Method
+from .methods import ANALYSES, FAILURES, FREE, REWRITES, SERIES, Method
+
+# Who is looked at for the last choice, and how often the leaders are asked what they were not asked yet.
+FINALISTS = 6
+FINAL_ROUNDS = 3
+FRONT_SHARE = 0.5
 
 RECORDS = "record_id long, text string, operator string, parent_ids array<long>, generation int"
 
@@ -56,13 +61,17 @@ class Search:
         #: Rounds of a raced evaluation: parts of dev of about a minibatch each, by a hash of the sample.
         self.rounds = max(1, min(8, self.samples.where("split = 'dev'").count() // minibatch)) if method.racing else 1
         self.evaluated, self.raced_out, self.not_admitted = 0, set(), set()
+        self.pool: list[dict] = []
+        self.covering: dict[int, int] = {}
 
-    def evaluate(self, records: Sequence[dict], split: str, only: DataFrame | None = None) -> DataFrame:
-        """``record_id, sample_id, reply, correct``: each record on each sample of a split. The prompts are the small side."""
+    def evaluate(self, records: Sequence[dict], split: str, only: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+        """``record_id, sample_id, reply, correct``: each record on each sample of a split, but for pairs that are known.
+        The prompts are the small side."""
         prompts = self.spark.createDataFrame([(r["record_id"], r["text"]) for r in records], "record_id long, text string")
         rows = self.samples.where(F.col("split") == split)
         rows = rows.join(only, "sample_id", "left_semi") if only is not None else rows
         asked = rows.crossJoin(F.broadcast(prompts)).select("record_id", "sample_id", "input", "target", X.evaluation_prompt(F.col("text"), F.col("input")).alias("prompt"))
+        asked = asked.join(known, ["record_id", "sample_id"], "left_anti") if known is not None else asked
         replied = generate(asked, self.make)
         return cut(replied.select("record_id", "sample_id", "reply", "calls", "input_words", "output_words", score(self.task_type, F.col("reply"), F.col("target")).alias("correct")))
 
@@ -137,16 +146,41 @@ class Search:
     def _elite(self) -> list[dict]:
         return [self.records[i] for i in sorted(self.scores, key=lambda i: (-self.scores[i], i))]
 
+    def _covering(self, records: Sequence[dict]) -> dict[int, int]:
+        """How many samples each record on the front over samples is best at."""
+        if self.outcomes is None or len(records) < 2:
+            return {}
+        rows = self.outcomes.where(F.col("record_id").isin([r["record_id"] for r in records]))
+        return {r["record_id"]: r["coverage"] for r in E.instance_coverage(rows).collect()}
+
+    def _pool(self) -> list[dict]:
+        """The parents of a generation. By tournament: the best, then winners of bouts of three without replacement; every
+        other bout has a record of the front in it."""
+        ranked = self._elite()
+        if self.method.choose != "tournament" or len(ranked) < 2:
+            return ranked[: self.size]
+        covering, kept, rest = self._covering(ranked), ranked[:1], ranked[1:]
+        while rest and len(kept) < self.size:
+            bout = self.random.sample(rest, min(3, len(rest)))
+            front = [r for r in rest if r["record_id"] in covering]
+            if front and self.random.random() < FRONT_SHARE:
+                bout += self.random.choices(front, [covering[r["record_id"]] for r in front])
+            kept.append(max(bout, key=lambda r: (self.scores[r["record_id"]], -r["record_id"])))
+            rest.remove(kept[-1])
+        return kept
+
     def _parent(self) -> dict:
-        ranked = self._elite()[: self.size]
-        if self.method.choose == "pareto" and self.outcomes is not None and len(self.scores) > 1:
-            front = {r["record_id"]: r["coverage"] for r in E.instance_coverage(self.outcomes.where(F.col("record_id").isin([r["record_id"] for r in ranked]))).collect()}
-            if front:
-                return self.records[self.random.choices(sorted(front), [front[i] for i in sorted(front)])[0]]
-        if self.method.choose == "tournament" and len(ranked) > 1:
-            drawn = self.random.sample(ranked, min(3, len(ranked)))
-            return max(drawn, key=lambda r: self.scores[r["record_id"]])
-        return ranked[self.random.randrange(min(4, len(ranked)))]
+        if self.covering:
+            ids = sorted(self.covering)
+            return self.records[self.random.choices(ids, [self.covering[i] for i in ids])[0]]
+        most = len(self.pool) if self.method.choose == "tournament" else min(4, len(self.pool))
+        return self.pool[self.random.randrange(most)]
+
+    def _series(self, operator: str) -> str:
+        """Prompts with their scores, the best last."""
+        which, most = SERIES[operator]
+        ids = [r["record_id"] for r in self._elite()[:most]][::-1] if which == "best" else sorted(self.scores)[-most:]
+        return "\n".join(f"- Score {self.scores[i]:.3f}: {self.records[i]['text'][:300]}" for i in ids)
 
     def _operators(self, generation: int) -> list[str]:
         if self.method.choose not in ("bandit", "tuned") or not self.pulls:
@@ -164,6 +198,7 @@ class Search:
         ex = F.array(*(X.exemplar(F.lit(self.task_type), F.lit(s["input"]), F.lit(s["target"])) for s in shots)) if shots else F.array().cast("array<string>")
         made = {
             "few_shot": X.with_examples(F.col("a"), ex), "format_constraint": X.format_constraint(F.col("a"), F.array(*(F.lit(s["target"]) for s in shots)) if shots else F.array().cast("array<string>")),
+            "grips_swap": X.swapped_sentences(F.col("a"), F.lit(self.random.randrange(1 << 20)), F.lit(self.random.randrange(1 << 20))),
             "midpoint_crossover": X.midpoint_crossover(F.col("a"), F.col("b")), "grips_delete": X.without_sentence(F.col("a"), F.lit(self.random.randrange(1 << 20))),
         }[operator]
         return row.select(made.alias("t")).first()["t"] or ""
@@ -171,6 +206,8 @@ class Search:
     def _offspring(self, generation: int) -> list[tuple[str, list[dict]]]:
         """One pull of each operator: what it makes, new records only."""
         wanted, free = [], []
+        self.pool = self._pool()
+        self.covering = self._covering(self.pool) if self.method.choose == "pareto" else {}
         for o in self._operators(generation):
             a, b = self._parent(), self._parent()
             if o in FREE:
@@ -180,15 +217,36 @@ class Search:
             if o in FAILURES and self.outcomes is not None:
                 failed = self.outcomes.where((F.col("record_id") == a["record_id"]) & (F.col("correct") == 0)).join(self.samples.select("sample_id", "input", "target"), "sample_id").orderBy("sample_id").limit(5)
                 shown = "\n".join(f"- Input: {r['i']}\n  Expected: {r['target']}\n  Got: {r['g']}" for r in failed.select(X.elide(F.col("input"), 300).alias("i"), "target", X.elide(F.col("reply"), 300, "tail").alias("g")).collect())
-            wanted.append((o, f"{REWRITES[o]}\n{shown}\nSecond: {b['text']}\nInstruction: {a['text']}", [a["record_id"], b["record_id"]]))
-        made = list(free)
-        if wanted:
-            asked = self.spark.createDataFrame([(i, p) for i, (_, p, _) in enumerate(wanted)], "i int, prompt string")
-            replied = cut(generate(asked, self.make))
-            self._spend(replied)
-            made += [(wanted[r["i"]][0], r["reply"], wanted[r["i"]][2]) for r in replied.orderBy("i").collect()]
+            if o in SERIES:
+                shown = self._series(o)
+            wanted.append((o, f"{shown}\nSecond: {b['text']}\nInstruction: {a['text']}", [a["record_id"], b["record_id"]]))
+        told = self._ask({i: f"{ANALYSES[o]}\n{case}" for i, (o, case, _) in enumerate(wanted) if o in ANALYSES})
+        replies = self._ask({i: f"{REWRITES[o]}\n{told.get(i) or ''}\n{case}" for i, (o, case, _) in enumerate(wanted)})
+        made = free + [(o, replies[i], parents) for i, (o, _, parents) in enumerate(wanted)]
         return [(o, [r] if (r := self._add(t, o, dict.fromkeys(ps), generation)) else []) for o, t, ps in made]
 
+    def _ask(self, prompts: dict[int, str]) -> dict[int, str]:
+        """The replies to some prompts, asked together."""
+        if not prompts:
+            return {}
+        replied = cut(generate(self.spark.createDataFrame(sorted(prompts.items()), "i int, prompt string"), self.make))
+        self._spend(replied)
+        return {r["i"]: r["reply"] for r in replied.select("i", "reply").collect()}
+
+    def _finalise(self) -> None:
+        """Ask the leaders what is left of dev where they were asked parts only; others may lead then, so more than once."""
+        whole = self.samples.where("split = 'dev'").count()
+        for _ in range(FINAL_ROUNDS if self.outcomes is not None else 0):
+            seen = {r["record_id"]: r["count"] for r in self.outcomes.groupBy("record_id").count().collect()}
+            under = [r for r in self._elite()[:FINALISTS] if seen.get(r["record_id"], 0) < whole]
+            if not under:
+                return
+            more = self.evaluate(under, "dev", known=self.outcomes.select("record_id", "sample_id"))
+            self._spend(more)
+            self.outcomes = cut(self.outcomes.unionByName(more))
+            of = self.outcomes.where(F.col("record_id").isin([r["record_id"] for r in under]))
+            self.scores |= {r["record_id"]: r["score"] for r in E.accuracy(of, ["record_id"]).collect()}
+
     def run(self, seeds: Sequence[str]) -> Result:
         for s in seeds:
             self._add(s, "seed", [], 0)
@@ -211,12 +269,15 @@ class Search:
             now = max(self.scores.values(), default=0.0)
             stale = 0 if now > best + max(1e-12, self.method.least_gain) else stale + 1
             best = max(best, now)
+        if self.method.racing and self.method.holdout:
+            self._finalise()
+            best = max(self.scores.values(), default=best)
         ranked = self._elite() or self.records
         winner = ranked[0]
         if self.method.holdout and len(ranked) > 1:
-            held = self.evaluate(ranked[:6], "holdout")
+            held = self.evaluate(ranked[:FINALISTS], "holdout")
             found = {r["record_id"]: r["score"] for r in E.accuracy(held, ["record_id"]).collect()}
-            winner = max(ranked[:6], key=lambda r: (found.get(r["record_id"], 0.0), -ranked.index(r)))
+            winner = max(ranked[:FINALISTS], key=lambda r: (found.get(r["record_id"], 0.0), -ranked.index(r)))
         tested = E.accuracy(self.evaluate([winner], "test"), ["record_id"]).first()
         records = self.spark.createDataFrame([(r["record_id"], r["text"], r["operator"], r["parent_ids"], r["generation"]) for r in self.records], RECORDS)
         outcomes = self.outcomes if self.outcomes is not None else self.evaluate([winner], "test").limit(0)

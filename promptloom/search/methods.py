@@ -20,14 +20,40 @@ REWRITES = {
     "etgpo_taxonomy": "Rewrite this instruction against the kinds of error found.",
     "facet_edit": "Rewrite this instruction by changing one facet only.",
     "autohint": "Rewrite this instruction with a hint that the failures suggest.",
+    "instruction_expansion": "Rewrite this instruction with more helpful detail.",
+    "expert_persona": "Rewrite this instruction in the voice of an expert of the domain.",
+    "structural_variation": "Rewrite this instruction in another order or form.",
+    "constraint_addition": "Rewrite this instruction with one more useful constraint.",
+    "creative_backstory": "Rewrite this instruction with a short backstory that motivates the task.",
+    "task_decomposition": "Rewrite this instruction as steps that solve the task.",
+    "concise_optimization": "Rewrite this instruction as briefly as it can be said.",
+    "strago_dual": "Rewrite this instruction to mend what fails and keep what works.",
+    "multi_aspect_critique": "Rewrite this instruction after the critique shown.",
+    "trajectory_momentum": "Rewrite this instruction one step further in the direction of the last gains shown.",
+    "grips_add": "Rewrite this instruction with one sentence added.",
+    "grips_paraphrase": "Rewrite this instruction with one sentence paraphrased.",
+    "ampo_branch": "Rewrite this instruction with a branch for each kind of case that the failures show.",
+    "decompose_recompose": "Rewrite this instruction from the fields shown.",
 }
-FREE = ("few_shot", "format_constraint", "midpoint_crossover", "grips_delete")
-FAILURES = frozenset({"failure_guided", "structured_failure_guided", "reflective_mutation", "etgpo_taxonomy", "autohint", "lamarckian"})
+# What the operators of two calls ask first; the reply is shown with the second request.
+ANALYSES = {
+    "reflective_mutation": "Say what in this instruction led to the failures shown.",
+    "etgpo_taxonomy": "Sort the failures shown into kinds of error.",
+    "strago_dual": "Say what in this instruction works and what leads to the failures shown.",
+    "multi_aspect_critique": "Criticise this instruction for clarity, completeness, reasoning and format.",
+    "autohint": "Say in one hint what the failures shown have in common.",
+    "ampo_branch": "Name the kinds of case that the failures shown belong to.",
+    "decompose_recompose": "Name this instruction's preamble, task_definition, output_spec, reasoning_guide and error_prevention, a line each.",
+}
+#: Operators that are shown a series of prompts with their scores: of the best, in rising order; of the last; the best alone.
+SERIES = {"trajectory": ("best", 8), "trajectory_momentum": ("last", 5), "eda": ("best", 5)}
+FREE = ("few_shot", "format_constraint", "midpoint_crossover", "grips_delete", "grips_swap")
+FAILURES = frozenset({"failure_guided", "structured_failure_guided", "reflective_mutation", "etgpo_taxonomy", "autohint", "lamarckian", "strago_dual", "ampo_branch"})
 
 
 @dataclasses.dataclass(frozen=True)
 class Method:
-    """``choose``: elite, tournament, bandit (ucb1), tuned or pareto. ``gate``: a minibatch first. ``racing``: dev in parts, without
+    """``choose``: elite, tournament (the best and winners of bouts), bandit (ucb1), tuned or pareto. ``gate``: a minibatch first. ``racing``: dev in parts, without
     who is beaten for sure. ``retention``: children that lose what their parents solved are not admitted. ``holdout``: the
     winner by rows kept apart. ``least_gain``: a generation that gains no more counts as stale."""
 
@@ -43,7 +69,11 @@ class Method:
 
 _APEX = ("expert_refine", "failure_guided", "crossover", "trajectory", "semantic_var", "few_shot", "format_constraint")
 _FUNNEL = (*_APEX, "structured_failure_guided", "local_edit", "reflective_mutation", "midpoint_crossover", "role_assignment", "eda", "lamarckian")
-_WIDE = (*_FUNNEL, "etgpo_taxonomy", "facet_edit", "autohint", "grips_delete")
+_MUTATORS = ("role_assignment", "expert_persona", "concise_optimization", "task_decomposition", "structural_variation", "constraint_addition", "instruction_expansion", "creative_backstory")
+_WIDE = (
+    *_FUNNEL, *_MUTATORS[1:], "etgpo_taxonomy", "strago_dual", "multi_aspect_critique", "trajectory_momentum", "autohint", "grips_delete", "grips_swap",
+    "grips_add", "grips_paraphrase", "ampo_branch", "facet_edit", "decompose_recompose",
+)
 
 METHODS: dict[str, Method] = {
     "baseline_seed": Method((), generations=0),
@@ -53,7 +83,7 @@ METHODS: dict[str, Method] = {
     "apex": Method(_APEX, "bandit", holdout=True), "apex_holdout": Method(_APEX, "bandit", holdout=True),
     "apex_v2": Method(_APEX[:-1], "tuned", holdout=True),
     "apex_lean": Method(_APEX, "bandit", racing=True, holdout=True), "swift_apex_lean": Method(_APEX, "bandit", racing=True, holdout=True),
-    "gaapo": Method(("semantic_var", "crossover", "few_shot", "role_assignment", "trajectory", "midpoint_crossover"), gate=False),
+    "gaapo": Method((*_MUTATORS, "failure_guided", "trajectory", "few_shot", "midpoint_crossover"), racing=True, gate=False),
     "capo": Method(("crossover", "semantic_var", "few_shot"), racing=True, gate=False),
     "gepa": Method(("reflective_mutation", "crossover"), "pareto"),
     "gspe": Method(("facet_edit", "structured_failure_guided"), "tournament"),

@@ -206,6 +206,28 @@ def test_racing_asks_less_of_who_is_beaten(spark):
     assert s.evaluated == 64 and not s.raced_out
 
 
+def test_leaders_are_asked_the_rest_of_dev(spark):
+    s = searched(spark, racing=True, holdout=True)
+    s._add("One.", "seed", [], 0)
+    s._measure(list(s.records), 0.9)
+    whole, before = s.samples.where("split = 'dev'").count(), s.outcomes.count()
+    s._finalise()
+    assert before < whole == s.outcomes.count() == s.outcomes.select("sample_id").distinct().count()
+    s._finalise()  # nothing is left to ask
+    assert s.outcomes.count() == whole
+
+
+def test_pool_has_the_best_and_winners_of_bouts(spark):
+    s = searched(spark)
+    for i in range(8):
+        s._add(f"Text {i}.", "x", [], 0)
+    s.scores = {i: i / 10 for i in range(8)}
+    s.outcomes = spark.createDataFrame([(i, 0, int(i == 2)) for i in range(8)], "record_id long, sample_id long, correct int")
+    pool = [r["record_id"] for r in s._pool()]
+    assert pool[0] == 7 and len(pool) == 3 == len(set(pool))
+    assert [line[:13] for line in s._series("eda").split("\n")] == [f"- Score 0.{i}00" for i in range(3, 8)]
+
+
 def test_retention_decides_who_is_admitted(spark):
     for retention in (False, True):
         s = searched(spark, retention=retention)
