@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hash_ring, html_layout, neighbour_quality, order_minhash, quality_rules, secret_scan, simhash, source_mixing, warc_fixity
+from . import bpe, hash_ring, html_layout, lexical_search, neighbour_quality, ngram_join, order_minhash, periodic_runs, quality_rules, secret_scan, simhash, source_mixing, warc_fixity
 from .common import cut, table
 
 
@@ -74,6 +74,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -85,9 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_layout": op8_html_layout,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: Results that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op5_warc_fixity": warc_fixity.AUDIT_SQL,
+    "op11_ngram_join": ngram_join.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
