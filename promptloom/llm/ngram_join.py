@@ -7,13 +7,14 @@ another reaches the limit shares one of its first ``n - ceil(limit * n) + 1`` co
 is taken over those columns only: each column is one key, columns make the blocks that Spark deals out, and a block adds
 one to the overlap of each pair that meets in it. Sizes discard pairs throughout:
 
-* before a product: rows of sizes that cannot reach the limit, or places in the order too far apart;
+* before a product: rows of sizes that cannot reach the limit, and rows of which too much is unshared for certain: what stands
+  before the column in the order of one row and is no column of any other row, or has no match in the other for lack of number;
 * after the sum over blocks: what both rows have before their last common column and do not share is
   lost to the overlap for good; where that exceeds what the sizes allow, the pair goes.
 
 What is left is counted exactly, over all columns of the two rows. A group of thousands of near copies never becomes
-all its pairs: a first product multiplies each column's rows by the smallest row of the column and by the neighbour in size, and makes
-components of the links that hold; a second one takes all pairs of rows of a column that are still of different
+all its pairs: a first product multiplies each column's rows by the two rows of like size that have the fewest rarer n-grams, which
+are the least edited of near copies, and makes components of the links that hold; a second one takes all pairs of rows of a column that are still of different
 components. So no link between components is lost, and none is looked for inside of one.
 
 Defined results: words are runs of other characters than blanks (U+0020, U+0009 to U+000D); only A-Z are lower-cased. A text of
@@ -24,7 +25,6 @@ not null, and by null where it has none. An empty table gives no rows. Other col
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,8 @@ WIDTH = 4
 LIMIT = 85
 #: Counters of the order of columns, a power of two: the only thing broadcast, one byte each.
 COUNTERS = 1 << 20
+#: Columns of a row that its places in the second product carry, to add up overlaps where two rows meet. More are counted exactly later.
+WINDOW = 128
 _SLICE = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -134,18 +137,26 @@ def rows_of(docs: DataFrame, weights: np.ndarray, width: int, limit: int) -> Dat
     return map_rows(docs, make, "text", adds, ["doc_id", "h"])
 
 
+def _padded(lists: pa.ListArray) -> np.ndarray:
+    """Lists of ``WINDOW`` values at most as rows of that width, filled up with the largest value."""
+    out = np.full((len(lists), WINDOW), np.iinfo(np.int64).max)
+    sizes = np.diff(lists.offsets.to_numpy())
+    out[np.arange(WINDOW) < sizes[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Batches of rows sorted by ``col`` as arrays, cut so that a column's rows come together unless it fills whole batches;
     ``more`` says whether the first column goes on from the chunk before."""
     held, key = None, None
     for batch in batches:
-        now = {c: batch.column(c).to_numpy() for c in names}
+        now = {c: _padded(batch.column(c)) if pa.types.is_list(batch.column(c).type) else batch.column(c).to_numpy() for c in names}
         if held is not None:
             now = {c: np.concatenate([held[c], now[c]]) for c in names}
         if not len(now["col"]):
             continue
         at = int(np.searchsorted(now["col"], now["col"][-1]))  # the last column may go on
-        if not at and len(now["col"]) < 1 << 16:
+        if not at and len(now["col"]) < 1 << 14:
             held = now
             continue
         at = at or len(now["col"])
@@ -156,8 +167,8 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[di
 
 
 def _live(rows: DataFrame) -> DataFrame:
-    """The rows of columns that have two or more: ``col, n, node, pos``."""
-    names = ["col", "n", "node", "pos"]
+    """The rows of columns that have two or more: ``col, node, at`` (size and place), and ``live``, how many such columns the node has up to this one."""
+    names = ["col", "node", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _columns(batches, names):
@@ -165,7 +176,8 @@ def _live(rows: DataFrame) -> DataFrame:
             alone = np.concatenate([[not x["more"]], new]) & np.concatenate([new, [True]])
             yield pa.RecordBatch.from_arrays([pa.array(x[c][~alone]) for c in names], names=names)
 
-    return rows.repartition("col").sortWithinPartitions("col").mapInArrow(run, "col long, n long, node long, pos long")
+    met = rows.repartition("col").sortWithinPartitions("col").mapInArrow(run, "col long, node long, at long")
+    return met.withColumn("live", F.row_number().over(W.partitionBy("node").orderBy("at"))).select("col", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), F.col("live").cast("long").alias("live"))
 
 
 PAIRS = "a long, b long, na long, nb long, pa long, pb long"
@@ -176,40 +188,73 @@ def _pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, limit: int) -
     flip = x["node"][i] > x["node"][j]
     i, j = np.where(flip, j, i), np.where(flip, i, j)
     na, nb, pa_, pb = x["n"][i], x["n"][j], x["pos"][i], x["pos"][j]
-    able = (x["node"][i] != x["node"][j]) & (100 * np.minimum(na, nb) >= limit * np.maximum(na, nb)) & (np.abs(pa_ - pb) <= na + nb - 2 * least_overlap(na + nb, limit))
+    unshared = pa_ + pb + 2 - 2 * np.minimum(x["live"][i], x["live"][j])
+    able = (x["node"][i] != x["node"][j]) & (100 * np.minimum(na, nb) >= limit * np.maximum(na, nb)) & (unshared <= na + nb - 2 * least_overlap(na + nb, limit))
     return pa.RecordBatch.from_arrays([pa.array(v[able]) for v in (x["node"][i], x["node"][j], na, nb, pa_, pb)], names=["a", "b", "na", "nb", "pa", "pb"])
 
 
-def _to_smallest(live: DataFrame, limit: int) -> DataFrame:
-    """Products of each column's rows with the first row of their range of sizes, and with the row before."""
-    names = ["col", "n", "node", "pos"]
+def _to_pivots(live: DataFrame, limit: int) -> DataFrame:
+    """Products of each column's rows with the first two of their class of sizes, and of the first of each class with that of the class before."""
+    names = ["col", "size", "n", "node", "pos", "live"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _columns(batches, names):
-            # a range ends where a row is too large for the first of it; logarithmic classes are ranges of that kind
-            size = np.floor(np.log(x["n"]) / -np.log(limit / 100) + 1e-9)
-            same = x["col"][1:] == x["col"][:-1]
-            begins = np.concatenate([[True], ~same | (size[1:] != size[:-1])])
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
-            i = np.flatnonzero(~begins)
-            j = np.flatnonzero(np.concatenate([[False], same]))
-            j = j[begins[j]]  # what begins a range is tied to the one before
-            yield _pairs(x, np.concatenate([first[i], j - 1]), np.concatenate([i, j]), limit)
-
-    return live.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, PAIRS)
+            same = np.concatenate([[False], x["col"][1:] == x["col"][:-1]])
+            begins = ~same | np.concatenate([[True], x["size"][1:] != x["size"][:-1]])
+            at = np.arange(len(begins))
+            first = np.maximum.accumulate(np.where(begins, at, 0))
+            i = at[~begins]
+            second = i[i > first[i] + 1]
+            j = at[begins & same]
+            yield _pairs(x, np.concatenate([first[i], first[second] + 1, first[j - 1]]), np.concatenate([i, second, j]), limit)
+
+    sized = live.withColumn("size", F.floor(F.log(F.col("n")) / F.lit(float(-np.log(limit / 100))) + F.lit(1e-9)))
+    return sized.repartition("col").sortWithinPartitions("col", "size", "pos", "node").mapInArrow(run, PAIRS)
+
+
+def _windows(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``w, cols, places, end, known``: of each node the first columns that others have too, with their places, and up to
+    which column and how many columns in all that says what the node has."""
+    listed = live.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "col"))).alias("l"))  # no longer than a node's first columns
+    cut_at = F.slice("l", 1, WINDOW)
+    last = F.element_at(cut_at, -1)
+    whole = F.size("l") <= WINDOW
+    met = listed.join(nodes.select(F.col("node").alias("w"), F.element_at("first", -1).alias("e"), F.size("first").cast("long").alias("k")), F.col("node") == F.col("w"))
+    return met.select("w", cut_at["col"].alias("cols"), cut_at["pos"].alias("places"), F.when(whole, F.col("e")).otherwise(last["col"]).alias("end"), F.when(whole, F.col("k")).otherwise(last["pos"] + 1).alias("known"))
+
+
+def _possible(g: dict[str, np.ndarray], i: int, js: np.ndarray, limit: int) -> np.ndarray:
+    """Those of ``js`` that meet row i in this column for the first time, and whose overlap with it over the windows leaves the limit possible.
+
+    Up to the smaller of two ends all columns of both are known, so those without a match are unshared for certain.
+    """
+    both = g["n"][i] + g["n"][js]
+    js = js[(g["pos"][i] + g["pos"][js] + 2 - 2 * np.minimum(g["live"][i], g["live"][js])) <= both - 2 * least_overlap(both, limit)]
+    if not len(js):
+        return js
+    own, cols, end = g["cols"][i], g["cols"][js], np.minimum(g["end"][i], g["end"][js])
+    inside = cols <= end[:, None]
+    shared = inside & (own[np.minimum(np.searchsorted(own, cols), WINDOW - 1)] == cols)
+    theirs = np.where(g["end"][js] <= g["end"][i], g["known"][js], np.where(inside, g["places"][js] + 1, 0).max(axis=1))
+    before = np.searchsorted(own, end, "right")
+    ours = np.where(end == g["end"][i], g["known"][i], np.where(before > 0, g["places"][i][before - 1] + 1, 0))
+    both = g["n"][i] + g["n"][js]
+    able = (ours + theirs - 2 * shared.sum(axis=1) <= both - 2 * least_overlap(both, limit)) & ~(shared & (cols < g["col"][i])).any(axis=1)
+    return js[able]
 
 
 def _between(apart: DataFrame, limit: int) -> DataFrame:
-    """Products of all rows of a column whose ``root`` differs; the rows of its most frequent root are not multiplied by each other."""
-    names = ["col", "n", "node", "pos", "root"]
+    """``a, b``: rows of a column whose ``root`` differs and that may reach the limit; the rows of its most frequent root are not multiplied by each other."""
+    names = ["col", "n", "node", "pos", "live", "root", "cols", "places", "end", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None  # rows of the column before that sizes still allow
         for x in _columns(batches, names):
             old = 0
             if tail is not None and x["more"]:
-                old = int((tail["col"] == x["col"][0]).sum())
-                x = {c: np.concatenate([tail[c][len(tail["col"]) - old :], x[c]]) for c in names}
+                old = len(tail["col"])
+                x = {c: np.concatenate([tail[c], x[c]]) for c in names}
+            left, right = [], []
             edges = np.flatnonzero(np.concatenate([[True], x["col"][1:] != x["col"][:-1], [True]]))
             for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 g = {c: x[c][begin:end] for c in names}
@@ -219,25 +264,23 @@ def _between(apart: DataFrame, limit: int) -> DataFrame:
                 main = roots[np.argmax(counts)]
                 others = np.flatnonzero(g["root"] != main)
                 lows = np.searchsorted(g["n"], -(-limit * g["n"] // 100))
-                left, right = [], []
                 for i in range(old if begin == 0 else 0, end - begin):
                     if g["root"][i] == main:
                         js = others[np.searchsorted(others, lows[i]) : np.searchsorted(others, i)]
                     else:
                         js = np.arange(lows[i], i)
                         js = js[g["root"][js] != g["root"][i]]
-                    if len(js):
-                        left.append(np.full(len(js), i))
-                        right.append(js)
-                    if len(left) >= 1024:
-                        yield _pairs(g, np.concatenate(left), np.concatenate(right), limit)
-                        left, right = [], []
-                if left:
-                    yield _pairs(g, np.concatenate(left), np.concatenate(right), limit)
+                    for at in range(0, len(js), 4096):
+                        found = g["node"][_possible(g, i, js[at : at + 4096], limit)]
+                        if len(found):
+                            left.append(np.minimum(found, g["node"][i]))
+                            right.append(np.maximum(found, g["node"][i]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
             keep = (x["col"] == x["col"][-1]) & (100 * x["n"] >= limit * x["n"][-1])
             tail = {c: x[c][keep] for c in names}
 
-    return apart.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, PAIRS)
+    return apart.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _summed(pairs: DataFrame, limit: int) -> DataFrame:
@@ -285,18 +328,18 @@ def components(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, counters
     rep = F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").alias("k"), "h")
     classes = known.where("n > 0").groupBy("c1", "c2").agg(F.min(rep).alias("rep"), F.any_value("n").alias("n"), F.any_value("first").alias("first"))
     nodes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
-    live = cut(_live(nodes.select("n", "node", F.posexplode("first").alias("pos", "col")).select("col", "n", "node", F.col("pos").cast("long").alias("pos"))))
+    live = cut(_live(nodes.select("n", "node", F.posexplode("first").alias("pos", "col")).select("col", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("at"))))
     folder = shared_folder(spark, "ngram-join")
     try:
         met = live.select(F.col("node").alias("m")).distinct()
         _texts(hashed, nodes.select("node", "rep").join(met, F.col("node") == F.col("m"), "left_semi")).write.parquet(folder)
         texts = spark.read.schema("node long, text string").parquet(folder)
-        edges = _linked(_summed(_to_smallest(live, limit), limit), texts, width, limit)
+        edges = _linked(_summed(_to_pivots(live, limit), limit), texts, width, limit)
         roots = stars(edges).withColumnRenamed("node", "m")
-        rooted = live.join(roots, F.col("node") == F.col("m"), "left").select("col", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
+        rooted = live.join(roots, F.col("node") == F.col("m"), "left").select("col", "n", "node", "pos", "live", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy(F.col("col").alias("c")).agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l <> g").select("c")
-        apart = rooted.join(mixed, F.col("col") == F.col("c"), "left_semi")
-        crossing = _linked(_summed(_between(apart, limit), limit), texts, width, limit)
+        apart = rooted.join(mixed, F.col("col") == F.col("c"), "left_semi").join(_windows(live, nodes), F.col("node") == F.col("w"))
+        crossing = _linked(_between(apart, limit), texts, width, limit)
     finally:
         remove_folder(spark, folder)
     found = stars(edges.unionByName(crossing)).withColumnRenamed("node", "m")
