@@ -44,7 +44,8 @@ WIDTH = 4
 LIMIT = 85
 #: Counters of the order of columns, a power of two: the only thing broadcast, one byte each.
 COUNTERS = 1 << 20
-#: Columns of a row that its places in the second product carry, to add up overlaps where two rows meet. More are counted exactly later.
+#: First columns of a row, 32 bits of each, that its places in the second product carry, to add up overlaps where two rows meet.
+#: Two columns that agree in these bits count as shared, which excludes nothing; what is left is counted exactly later.
 WINDOW = 128
 _SLICE = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,27 +114,33 @@ def in_order(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sort(weights[(grams >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8))
 
 
+def short(columns: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of columns, in the same order."""
+    return ((columns.view(np.uint64) >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)
+
+
 def rows_of(docs: DataFrame, weights: np.ndarray, width: int, limit: int) -> DataFrame:
-    """``doc_id, h, c1, c2, n, first``: set and first columns of each document."""
+    """``doc_id, h, c1, c2, n, first, window``: set and first columns of each document."""
     order = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
 
     def make():
         known = np.frombuffer(order.value, np.uint8)
 
         def run(texts):
-            out: dict[str, list] = {"c1": [], "c2": [], "n": [], "first": []}
+            out: dict[str, list] = {"c1": [], "c2": [], "n": [], "first": [], "window": []}
             for t in texts:
                 g = ngrams(t, width)
                 whole = np.frombuffer(xxhash.xxh3_128_digest(g.tobytes()), np.int64)
-                first = in_order(g, known)[: len(g) - -(-limit * len(g) // 100) + 1]
-                for name, value in zip(out, (whole[0], whole[1], len(g), first.view(np.int64))):
+                ordered = in_order(g, known)
+                first, window = ordered[: len(g) - -(-limit * len(g) // 100) + 1], short(ordered[:WINDOW])
+                for name, value in zip(out, (whole[0], whole[1], len(g), first.view(np.int64), window)):
                     out[name].append(value)
             return out
 
         return run
 
     long = T.LongType()
-    adds = T.StructType([*(T.StructField(c, long) for c in ("c1", "c2", "n")), T.StructField("first", T.ArrayType(long))])
+    adds = T.StructType([*(T.StructField(c, long) for c in ("c1", "c2", "n")), T.StructField("first", T.ArrayType(long)), T.StructField("window", T.ArrayType(T.IntegerType()))])
     return map_rows(docs, make, "text", adds, ["doc_id", "h"])
 
 
@@ -212,75 +219,86 @@ def _to_pivots(live: DataFrame, limit: int) -> DataFrame:
     return sized.repartition("col").sortWithinPartitions("col", "size", "pos", "node").mapInArrow(run, PAIRS)
 
 
-def _windows(live: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``w, cols, places, end, known``: of each node the first columns that others have too, with their places, and up to
-    which column and how many columns in all that says what the node has."""
-    listed = live.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "col"))).alias("l"))  # no longer than a node's first columns
-    cut_at = F.slice("l", 1, WINDOW)
-    last = F.element_at(cut_at, -1)
-    whole = F.size("l") <= WINDOW
-    met = listed.join(nodes.select(F.col("node").alias("w"), F.element_at("first", -1).alias("e"), F.size("first").cast("long").alias("k")), F.col("node") == F.col("w"))
-    return met.select("w", cut_at["col"].alias("cols"), cut_at["pos"].alias("places"), F.when(whole, F.col("e")).otherwise(last["col"]).alias("end"), F.when(whole, F.col("k")).otherwise(last["pos"] + 1).alias("known"))
-
-
 def _possible(g: dict[str, np.ndarray], i: int, js: np.ndarray, limit: int) -> np.ndarray:
     """Those of ``js`` that meet row i in this column for the first time, and whose overlap with it over the windows leaves the limit possible.
 
     Up to the smaller of two ends all columns of both are known, so those without a match are unshared for certain.
     """
-    both = g["n"][i] + g["n"][js]
-    js = js[(g["pos"][i] + g["pos"][js] + 2 - 2 * np.minimum(g["live"][i], g["live"][js])) <= both - 2 * least_overlap(both, limit)]
-    if not len(js):
-        return js
-    own, cols, end = g["cols"][i], g["cols"][js], np.minimum(g["end"][i], g["end"][js])
-    inside = cols <= end[:, None]
+    top = np.iinfo(np.int64).max
+    ends = np.where(g["n"] > WINDOW, g["window"][:, -1], top)
+    own, cols, end = g["window"][i], g["window"][js], np.minimum(ends[i], ends[js])
+    inside = cols < end[:, None]
     shared = inside & (own[np.minimum(np.searchsorted(own, cols), WINDOW - 1)] == cols)
-    theirs = np.where(g["end"][js] <= g["end"][i], g["known"][js], np.where(inside, g["places"][js] + 1, 0).max(axis=1))
-    before = np.searchsorted(own, end, "right")
-    ours = np.where(end == g["end"][i], g["known"][i], np.where(before > 0, g["places"][i][before - 1] + 1, 0))
+    known = np.searchsorted(own, end) + inside.sum(axis=1)
     both = g["n"][i] + g["n"][js]
-    able = (ours + theirs - 2 * shared.sum(axis=1) <= both - 2 * least_overlap(both, limit)) & ~(shared & (cols < g["col"][i])).any(axis=1)
-    return js[able]
+    here = short(g["col"][i : i + 1])[0]
+    return js[(known - 2 * shared.sum(axis=1) <= both - 2 * least_overlap(both, limit)) & ~(shared & (cols < here)).any(axis=1)]
+
+
+def _cross(batches: Iterator[pa.RecordBatch], names: list[str], limit: int) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, np.ndarray]]]]:
+    """The rows of columns with several roots, and each row with those before it of other roots that sizes and places allow.
 
+    The rows of a column's most frequent root are not multiplied by each other.
+    """
+    tail = None  # rows of the column before that sizes still allow
+    for x in _columns(batches, names):
+        old = 0
+        if tail is not None and x["more"]:
+            old = len(tail["col"])
+            x = {c: np.concatenate([tail[c], x[c]]) for c in names}
+        edges = np.flatnonzero(np.concatenate([[True], x["col"][1:] != x["col"][:-1], [True]]))
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            g = {c: x[c][begin:end] for c in names}
+            roots, counts = np.unique(g["root"], return_counts=True)
+            if len(roots) == 1:
+                continue
+            main = roots[np.argmax(counts)]
+            others = np.flatnonzero(g["root"] != main)
+            lows = np.searchsorted(g["n"], -(-limit * g["n"] // 100))
+            met = []
+            for i in range(old if begin == 0 else 0, end - begin):
+                if g["root"][i] == main:
+                    js = others[np.searchsorted(others, lows[i]) : np.searchsorted(others, i)]
+                else:
+                    js = np.arange(lows[i], i)
+                    js = js[g["root"][js] != g["root"][i]]
+                both = g["n"][i] + g["n"][js]
+                js = js[(g["pos"][i] + g["pos"][js] + 2 - 2 * np.minimum(g["live"][i], g["live"][js])) <= both - 2 * least_overlap(both, limit)]
+                if len(js):
+                    met.append((i, js))
+            if met:
+                yield g, met
+        keep = (x["col"] == x["col"][-1]) & (100 * x["n"] >= limit * x["n"][-1])
+        tail = {c: x[c][keep] for c in names}
+
+
+def _meeting(apart: DataFrame, limit: int) -> DataFrame:
+    """The places of ``apart`` that meet another: those whose windows are worth sending."""
+    names = ["col", "n", "node", "pos", "live", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, met in _cross(batches, names, limit):
+            some = np.zeros(len(g["col"]), bool)
+            for i, js in met:
+                some[i] = some[js] = True
+            yield pa.RecordBatch.from_arrays([pa.array(g[c][some]) for c in names], names=names)
+
+    return apart.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
-def _between(apart: DataFrame, limit: int) -> DataFrame:
-    """``a, b``: rows of a column whose ``root`` differs and that may reach the limit; the rows of its most frequent root are not multiplied by each other."""
-    names = ["col", "n", "node", "pos", "live", "root", "cols", "places", "end", "known"]
+
+def _between(places: DataFrame, limit: int) -> DataFrame:
+    """``a, b``: rows of a column whose ``root`` differs and that may reach the limit by what their windows share."""
+    names = ["col", "n", "node", "pos", "live", "root", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # rows of the column before that sizes still allow
-        for x in _columns(batches, names):
-            old = 0
-            if tail is not None and x["more"]:
-                old = len(tail["col"])
-                x = {c: np.concatenate([tail[c], x[c]]) for c in names}
-            left, right = [], []
-            edges = np.flatnonzero(np.concatenate([[True], x["col"][1:] != x["col"][:-1], [True]]))
-            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                g = {c: x[c][begin:end] for c in names}
-                roots, counts = np.unique(g["root"], return_counts=True)
-                if len(roots) == 1:
-                    continue
-                main = roots[np.argmax(counts)]
-                others = np.flatnonzero(g["root"] != main)
-                lows = np.searchsorted(g["n"], -(-limit * g["n"] // 100))
-                for i in range(old if begin == 0 else 0, end - begin):
-                    if g["root"][i] == main:
-                        js = others[np.searchsorted(others, lows[i]) : np.searchsorted(others, i)]
-                    else:
-                        js = np.arange(lows[i], i)
-                        js = js[g["root"][js] != g["root"][i]]
-                    for at in range(0, len(js), 4096):
-                        found = g["node"][_possible(g, i, js[at : at + 4096], limit)]
-                        if len(found):
-                            left.append(np.minimum(found, g["node"][i]))
-                            right.append(np.maximum(found, g["node"][i]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-            keep = (x["col"] == x["col"][-1]) & (100 * x["n"] >= limit * x["n"][-1])
-            tail = {c: x[c][keep] for c in names}
-
-    return apart.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, "a long, b long").distinct()
+        for g, met in _cross(batches, names, limit):
+            for i, js in met:
+                for at in range(0, len(js), 4096):
+                    found = g["node"][_possible(g, i, js[at : at + 4096], limit)]
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array(f(found, g["node"][i])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+    return places.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _summed(pairs: DataFrame, limit: int) -> DataFrame:
@@ -326,7 +344,7 @@ def components(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, counters
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     known = cut(rows_of(hashed, column_weights(hashed, width, counters), width, limit))
     rep = F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").alias("k"), "h")
-    classes = known.where("n > 0").groupBy("c1", "c2").agg(F.min(rep).alias("rep"), F.any_value("n").alias("n"), F.any_value("first").alias("first"))
+    classes = known.where("n > 0").groupBy("c1", "c2").agg(F.min(rep).alias("rep"), F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("window").alias("window"))
     nodes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
     live = cut(_live(nodes.select("n", "node", F.posexplode("first").alias("pos", "col")).select("col", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("at"))))
     folder = shared_folder(spark, "ngram-join")
@@ -338,8 +356,9 @@ def components(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, counters
         roots = stars(edges).withColumnRenamed("node", "m")
         rooted = live.join(roots, F.col("node") == F.col("m"), "left").select("col", "n", "node", "pos", "live", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy(F.col("col").alias("c")).agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l <> g").select("c")
-        apart = rooted.join(mixed, F.col("col") == F.col("c"), "left_semi").join(_windows(live, nodes), F.col("node") == F.col("w"))
-        crossing = _linked(_between(apart, limit), texts, width, limit)
+        met = _meeting(rooted.join(mixed, F.col("col") == F.col("c"), "left_semi"), limit)
+        met = met.join(nodes.select(F.col("node").alias("m"), "window"), F.col("node") == F.col("m")).drop("m")
+        crossing = _linked(_between(met, limit), texts, width, limit)
     finally:
         remove_folder(spark, folder)
     found = stars(edges.unionByName(crossing)).withColumnRenamed("node", "m")
