@@ -48,6 +48,8 @@ COUNTERS = 1 << 20
 #: Two columns that agree in these bits count as shared, which excludes nothing; what is left is counted exactly later.
 WINDOW = 128
 _SLICE = 1 << 14
+#: Bits of the map that tells which texts may be asked for, a multiple of 2^15.
+BITS = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _PIECE = 1 << 22
@@ -219,26 +221,45 @@ def _to_pivots(live: DataFrame, limit: int) -> DataFrame:
     return sized.repartition("col").sortWithinPartitions("col", "size", "pos", "node").mapInArrow(run, PAIRS)
 
 
-def _possible(g: dict[str, np.ndarray], i: int, js: np.ndarray, limit: int) -> np.ndarray:
-    """Those of ``js`` that meet row i in this column for the first time, and whose overlap with it over the windows leaves the limit possible.
+def _possible(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs of places meet in this column for the first time, and may reach the limit by the overlap of their windows.
 
     Up to the smaller of two ends all columns of both are known, so those without a match are unshared for certain.
     """
     top = np.iinfo(np.int64).max
-    ends = np.where(g["n"] > WINDOW, g["window"][:, -1], top)
-    own, cols, end = g["window"][i], g["window"][js], np.minimum(ends[i], ends[js])
-    inside = cols < end[:, None]
-    shared = inside & (own[np.minimum(np.searchsorted(own, cols), WINDOW - 1)] == cols)
-    known = np.searchsorted(own, end) + inside.sum(axis=1)
-    both = g["n"][i] + g["n"][js]
-    here = short(g["col"][i : i + 1])[0]
-    return js[(known - 2 * shared.sum(axis=1) <= both - 2 * least_overlap(both, limit)) & ~(shared & (cols < here)).any(axis=1)]
-
-
-def _cross(batches: Iterator[pa.RecordBatch], names: list[str], limit: int) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, np.ndarray]]]]:
-    """The rows of columns with several roots, and each row with those before it of other roots that sizes and places allow.
-
-    The rows of a column's most frequent root are not multiplied by each other.
+    ends = np.where(x["n"] > WINDOW, x["window"][:, -1], top)
+    end = np.minimum(ends[i], ends[j])[:, None]
+    one, other = x["window"][i], x["window"][j]
+    line = np.arange(len(i), dtype=np.int64)[:, None] << 33
+    inside = other < end
+    # each row ascends, and so do the rows one after the other: one search for all
+    flat = (line + np.minimum(one, 1 << 31) + (1 << 31)).ravel()
+    asked = (line + np.minimum(other, 1 << 31) + (1 << 31)).ravel()
+    shared = inside & (flat[np.minimum(np.searchsorted(flat, asked), len(flat) - 1)] == asked).reshape(other.shape)
+    known = (one < end).sum(axis=1) + inside.sum(axis=1)
+    both = x["n"][i] + x["n"][j]
+    here = short(x["col"][i])[:, None]
+    return (known - 2 * shared.sum(axis=1) <= both - 2 * least_overlap(both, limit)) & ~(shared & (other < here)).any(axis=1)
+
+
+def _able(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places of different roots that sizes and places in the order allow."""
+    some = x["root"][i] != x["root"][j]
+    i, j = i[some], j[some]
+    na, nb = x["n"][i], x["n"][j]
+    unshared = x["pos"][i] + x["pos"][j] + 2 - 2 * np.minimum(x["live"][i], x["live"][j])
+    some = (100 * np.minimum(na, nb) >= limit * np.maximum(na, nb)) & (unshared <= na + nb - 2 * least_overlap(na + nb, limit))
+    return i[some], j[some]
+
+
+#: Rows of a column up to which its pairs are taken step by step for all columns at once.
+_SMALL = 32
+
+
+def _cross(batches: Iterator[pa.RecordBatch], names: list[str], limit: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows of columns, and the places of pairs of different roots that sizes and places in the order allow.
+
+    The rows of a large column's most frequent root are not multiplied by each other.
     """
     tail = None  # rows of the column before that sizes still allow
     for x in _columns(batches, names):
@@ -246,28 +267,30 @@ def _cross(batches: Iterator[pa.RecordBatch], names: list[str], limit: int) -> I
         if tail is not None and x["more"]:
             old = len(tail["col"])
             x = {c: np.concatenate([tail[c], x[c]]) for c in names}
-        edges = np.flatnonzero(np.concatenate([[True], x["col"][1:] != x["col"][:-1], [True]]))
-        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            g = {c: x[c][begin:end] for c in names}
-            roots, counts = np.unique(g["root"], return_counts=True)
-            if len(roots) == 1:
-                continue
+        edges = np.flatnonzero(np.concatenate([[True], x["col"][1:] != x["col"][:-1]]))
+        sizes = np.diff(np.append(edges, len(x["col"])))
+        mixed = np.minimum.reduceat(x["root"], edges) != np.maximum.reduceat(x["root"], edges)
+        within = np.arange(len(x["col"])) - np.repeat(edges, sizes)
+        rows = np.flatnonzero(np.repeat(mixed & (sizes <= _SMALL), sizes))
+        rows = rows[rows >= old]
+        for back in range(1, _SMALL):
+            rows = rows[within[rows] >= back]
+            if not len(rows):
+                break
+            i, j = _able(x, rows, rows - back, limit)
+            if len(i):
+                yield x, i, j
+        for begin, size in zip(edges[mixed & (sizes > _SMALL)].tolist(), sizes[mixed & (sizes > _SMALL)].tolist()):
+            n, root = x["n"][begin : begin + size], x["root"][begin : begin + size]
+            roots, counts = np.unique(root, return_counts=True)
             main = roots[np.argmax(counts)]
-            others = np.flatnonzero(g["root"] != main)
-            lows = np.searchsorted(g["n"], -(-limit * g["n"] // 100))
-            met = []
-            for i in range(old if begin == 0 else 0, end - begin):
-                if g["root"][i] == main:
-                    js = others[np.searchsorted(others, lows[i]) : np.searchsorted(others, i)]
-                else:
-                    js = np.arange(lows[i], i)
-                    js = js[g["root"][js] != g["root"][i]]
-                both = g["n"][i] + g["n"][js]
-                js = js[(g["pos"][i] + g["pos"][js] + 2 - 2 * np.minimum(g["live"][i], g["live"][js])) <= both - 2 * least_overlap(both, limit)]
-                if len(js):
-                    met.append((i, js))
-            if met:
-                yield g, met
+            others = np.flatnonzero(root != main)
+            lows = np.searchsorted(n, -(-limit * n // 100))
+            for i in range(max(0, old - begin), size):
+                js = others[np.searchsorted(others, lows[i]) : np.searchsorted(others, i)] if root[i] == main else np.arange(lows[i], i)
+                left, right = _able(x, np.full(len(js), begin + i), begin + js, limit)
+                if len(left):
+                    yield x, left, right
         keep = (x["col"] == x["col"][-1]) & (100 * x["n"] >= limit * x["n"][-1])
         tail = {c: x[c][keep] for c in names}
 
@@ -277,11 +300,19 @@ def _meeting(apart: DataFrame, limit: int) -> DataFrame:
     names = ["col", "n", "node", "pos", "live", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, met in _cross(batches, names, limit):
-            some = np.zeros(len(g["col"]), bool)
-            for i, js in met:
-                some[i] = some[js] = True
-            yield pa.RecordBatch.from_arrays([pa.array(g[c][some]) for c in names], names=names)
+        held, some = None, None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held[c][some]) for c in names], names=names)
+
+        for x, i, j in _cross(batches, names, limit):
+            if x is not held:
+                if held is not None:
+                    yield made()
+                held, some = x, np.zeros(len(x["col"]), bool)
+            some[i] = some[j] = True
+        if held is not None:
+            yield made()
 
     return apart.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -291,12 +322,13 @@ def _between(places: DataFrame, limit: int) -> DataFrame:
     names = ["col", "n", "node", "pos", "live", "root", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, met in _cross(batches, names, limit):
-            for i, js in met:
-                for at in range(0, len(js), 4096):
-                    found = g["node"][_possible(g, i, js[at : at + 4096], limit)]
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(f(found, g["node"][i])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+        for x, i, j in _cross(batches, names, limit):
+            for at in range(0, len(i), 2048):
+                left, right = i[at : at + 2048], j[at : at + 2048]
+                some = _possible(x, left, right, limit)
+                a, b = x["node"][left[some]], x["node"][right[some]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return places.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
@@ -310,32 +342,56 @@ def _summed(pairs: DataFrame, limit: int) -> DataFrame:
     return of.where((unshared <= lost) & (F.col("before") <= lost)).select("a", "b")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, limit: int) -> DataFrame:
-    """``u, v``: the pairs whose overlap over all columns reaches the limit."""
-    one, other = (texts.select(F.col("node").alias(f"{c}_node"), F.col("text").alias(f"{c}_text")) for c in "ab")
-    met = pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node")).select("a", "b", "a_text", "b_text")
+def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key and hash may be among ``wanted`` (``k, h``): a bitmap of fixed size, so that few other texts move."""
+    place = F.pmod(F.xxhash64("k", "h"), F.lit(BITS))
+    maps = wanted.groupBy(F.floor(place / (1 << 15)).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias("bits"))
+    found = {r["part"]: r["bits"] for r in maps.collect()}  # BITS / 8 bytes, whatever the input
+    bits = docs.sparkSession.sparkContext.broadcast(b"".join(bytes(found.get(i, bytes(1 << 12))) for i in range(BITS >> 15)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            near = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("a_text"), batch.column("b_text")):
-                if a != last:
-                    last, held = a, ngrams(x.as_py(), width)
-                other = ngrams(y.as_py(), width)
-                near.append(len(np.intersect1d(held, other, assume_unique=True)) >= least_overlap(len(held) + len(other), limit))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+            at = batch.column("place").to_numpy()
+            yield batch.drop_columns("place").filter(pa.array((known[at >> 3] >> (at & 7) & 1).astype(bool)))
 
-    return cut(met.mapInArrow(run, "u long, v long"))
+    placed = docs.select(F.col("doc_id").alias("k"), "text", "h").withColumn("place", place)
+    return placed.mapInArrow(run, placed.drop("place").schema)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, text`` of the documents that stand for ``nodes`` (``node, rep``), each once."""
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("kh"), "h")
-    named = nodes.select("node", F.col("rep.k").alias("k"), F.xxhash64("rep.k").alias("rk"), F.col("rep.h").alias("rh"))
-    equal = F.coalesce(F.col("doc_id") == F.col("k"), F.col("doc_id").isNull() & F.col("k").isNull())
-    # rows that are equal in key and text give one: the join and the groups are dealt by the same two hashes
-    return hashed.join(named, (F.col("kh") == F.col("rk")) & (F.col("h") == F.col("rh")) & equal).groupBy("kh", "h", "node").agg(F.any_value("text").alias("text")).select("node", "text")
+    named = nodes.select("node", F.col("rep.k").alias("rk"), F.col("rep.h").alias("rh"))
+    some = _maybe(docs, named.select(F.col("rk").alias("k"), F.col("rh").alias("h")))
+    equal = F.coalesce(F.col("k") == F.col("rk"), F.col("k").isNull() & F.col("rk").isNull())
+    return some.join(named, (F.col("h") == F.col("rh")) & equal).groupBy("node").agg(F.any_value("text").alias("text"))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, limit: int) -> DataFrame:
+    """``u, v``: the pairs whose overlap over all columns reaches the limit."""
+    pairs = cut(pairs)
+    named = nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi")
+    folder = shared_folder(docs.sparkSession, "ngram-join")
+    try:
+        _texts(docs, cut(named)).write.parquet(folder)
+        texts = docs.sparkSession.read.schema("node long, text string").parquet(folder)
+        one, other = (texts.select(F.col("node").alias(f"{c}_node"), F.col("text").alias(f"{c}_text")) for c in "ab")
+        met = pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node")).select("a", "b", "a_text", "b_text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, held = None, None
+            for batch in batches:
+                near = []
+                for a, x, y in zip(batch.column("a").to_pylist(), batch.column("a_text"), batch.column("b_text")):
+                    if a != last:
+                        last, held = a, ngrams(x.as_py(), width)
+                    other = ngrams(y.as_py(), width)
+                    near.append(len(np.intersect1d(held, other, assume_unique=True)) >= least_overlap(len(held) + len(other), limit))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+        return cut(met.mapInArrow(run, "u long, v long"))
+    finally:
+        remove_folder(docs.sparkSession, folder)
 
 
 def components(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, counters: int = COUNTERS) -> DataFrame:
@@ -345,22 +401,15 @@ def components(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, counters
     known = cut(rows_of(hashed, column_weights(hashed, width, counters), width, limit))
     rep = F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").alias("k"), "h")
     classes = known.where("n > 0").groupBy("c1", "c2").agg(F.min(rep).alias("rep"), F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("window").alias("window"))
-    nodes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(classes).withColumn("node", F.monotonically_increasing_id())  # the same at each reading of the checkpoint
     live = cut(_live(nodes.select("n", "node", F.posexplode("first").alias("pos", "col")).select("col", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("at"))))
-    folder = shared_folder(spark, "ngram-join")
-    try:
-        met = live.select(F.col("node").alias("m")).distinct()
-        _texts(hashed, nodes.select("node", "rep").join(met, F.col("node") == F.col("m"), "left_semi")).write.parquet(folder)
-        texts = spark.read.schema("node long, text string").parquet(folder)
-        edges = _linked(_summed(_to_pivots(live, limit), limit), texts, width, limit)
-        roots = stars(edges).withColumnRenamed("node", "m")
-        rooted = live.join(roots, F.col("node") == F.col("m"), "left").select("col", "n", "node", "pos", "live", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy(F.col("col").alias("c")).agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l <> g").select("c")
-        met = _meeting(rooted.join(mixed, F.col("col") == F.col("c"), "left_semi"), limit)
-        met = met.join(nodes.select(F.col("node").alias("m"), "window"), F.col("node") == F.col("m")).drop("m")
-        crossing = _linked(_between(met, limit), texts, width, limit)
-    finally:
-        remove_folder(spark, folder)
+    edges = _linked(_summed(_to_pivots(live, limit), limit), hashed, nodes, width, limit)
+    roots = stars(edges).withColumnRenamed("node", "m")
+    rooted = live.join(roots, F.col("node") == F.col("m"), "left").select("col", "n", "node", "pos", "live", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy(F.col("col").alias("c")).agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l <> g").select("c")
+    met = _meeting(rooted.join(mixed, F.col("col") == F.col("c"), "left_semi"), limit)
+    met = met.join(nodes.select(F.col("node").alias("m"), "window"), F.col("node") == F.col("m")).drop("m")
+    crossing = _linked(_between(met, limit), hashed, nodes, width, limit)
     found = stars(edges.unionByName(crossing)).withColumnRenamed("node", "m")
     rooted = nodes.select("c1", "c2", "node", "rep").join(found, F.col("node") == F.col("m"), "left").select("c1", "c2", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("root").alias("r"), F.col("rep.k").alias("component"))
