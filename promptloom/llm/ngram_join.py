@@ -50,6 +50,8 @@ WINDOW = 128
 _SLICE = 1 << 14
 #: Bits of the map that tells which texts may be asked for, a multiple of 2^15.
 BITS = 1 << 23
+#: Parts of the hashes whose counts bound the overlap of two rows, a power of two.
+PARTS = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _PIECE = 1 << 22
@@ -318,7 +320,7 @@ def _meeting(apart: DataFrame, limit: int) -> DataFrame:
 
 
 def _between(places: DataFrame, limit: int) -> DataFrame:
-    """``a, b``: rows of a column whose ``root`` differs and that may reach the limit by what their windows share."""
+    """``a, b, na, nb``: rows of a column whose ``root`` differs and that may reach the limit by what their windows share."""
     names = ["col", "n", "node", "pos", "live", "root", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +328,13 @@ def _between(places: DataFrame, limit: int) -> DataFrame:
             for at in range(0, len(i), 2048):
                 left, right = i[at : at + 2048], j[at : at + 2048]
                 some = _possible(x, left, right, limit)
-                a, b = x["node"][left[some]], x["node"][right[some]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                left, right = left[some], right[some]
+                flip = x["node"][left] > x["node"][right]
+                left, right = np.where(flip, right, left), np.where(flip, left, right)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[c][at]) for c in ("node", "n") for at in (left, right)], names=["a", "b", "na", "nb"])
 
-    return places.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return places.repartition("col").sortWithinPartitions("col", "n", "node").mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
 def _summed(pairs: DataFrame, limit: int) -> DataFrame:
@@ -339,11 +343,18 @@ def _summed(pairs: DataFrame, limit: int) -> DataFrame:
     both = F.col("na") + F.col("nb")
     lost = both - 2 * F.ceil(both * F.lit(limit) / F.lit(100.0 + limit) - 1e-9)
     unshared = F.col("pa") + F.col("pb") + 2 - 2 * F.col("c")
-    return of.where((unshared <= lost) & (F.col("before") <= lost)).select("a", "b")
+    return of.where((unshared <= lost) & (F.col("before") <= lost)).select("a", "b", "na", "nb")
+
+
+def part_counts(grams: np.ndarray) -> bytes | None:
+    """How many n-grams fall into each of ``PARTS`` parts of the hashes; None where a count does not fit one byte."""
+    counts = np.bincount((grams >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
-def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key and hash may be among ``wanted`` (``k, h``): a bitmap of fixed size, so that few other texts move."""
+def _maybe(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The rows of ``docs`` whose key and hash may be among ``wanted`` (``k, h``), with their ``part_counts``: a bitmap of fixed
+    size tells, so that few other texts move."""
     place = F.pmod(F.xxhash64("k", "h"), F.lit(BITS))
     maps = wanted.groupBy(F.floor(place / (1 << 15)).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias("bits"))
     found = {r["part"]: r["bits"] for r in maps.collect()}  # BITS / 8 bytes, whatever the input
@@ -353,30 +364,45 @@ def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             at = batch.column("place").to_numpy()
-            yield batch.drop_columns("place").filter(pa.array((known[at >> 3] >> (at & 7) & 1).astype(bool)))
+            some = batch.drop_columns("place").filter(pa.array((known[at >> 3] >> (at & 7) & 1).astype(bool)))
+            counts = pa.array([part_counts(ngrams(t.as_py(), width)) for t in some.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns, counts], names=[*some.schema.names, "counts"])
 
     placed = docs.select(F.col("doc_id").alias("k"), "text", "h").withColumn("place", place)
-    return placed.mapInArrow(run, placed.drop("place").schema)
+    return placed.mapInArrow(run, T.StructType([*placed.drop("place").schema, T.StructField("counts", T.BinaryType())]))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, text`` of the documents that stand for ``nodes`` (``node, rep``), each once."""
+def _texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, text, counts`` of the documents that stand for ``nodes`` (``node, rep``), each once."""
     named = nodes.select("node", F.col("rep.k").alias("rk"), F.col("rep.h").alias("rh"))
-    some = _maybe(docs, named.select(F.col("rk").alias("k"), F.col("rh").alias("h")))
+    some = _maybe(docs, named.select(F.col("rk").alias("k"), F.col("rh").alias("h")), width)
     equal = F.coalesce(F.col("k") == F.col("rk"), F.col("k").isNull() & F.col("rk").isNull())
-    return some.join(named, (F.col("h") == F.col("rh")) & equal).groupBy("node").agg(F.any_value("text").alias("text"))
+    return some.join(named, (F.col("h") == F.col("rh")) & equal).groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("counts").alias("counts"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, limit: int) -> DataFrame:
-    """``u, v``: the pairs whose overlap over all columns reaches the limit."""
+    """``u, v``: the pairs whose overlap over all columns reaches the limit.
+
+    Counts of n-grams in parts of the hashes bound the overlap from above; the texts of pairs that pass are compared.
+    """
     pairs = cut(pairs)
     named = nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi")
     folder = shared_folder(docs.sparkSession, "ngram-join")
     try:
-        _texts(docs, cut(named)).write.parquet(folder)
-        texts = docs.sparkSession.read.schema("node long, text string").parquet(folder)
-        one, other = (texts.select(F.col("node").alias(f"{c}_node"), F.col("text").alias(f"{c}_text")) for c in "ab")
-        met = pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node")).select("a", "b", "a_text", "b_text")
+        _texts(docs, cut(named), width).write.parquet(folder)
+        stored = docs.sparkSession.read.schema("node long, text string, counts binary").parquet(folder)
+
+        def beside(found: DataFrame, what: str) -> DataFrame:
+            one, other = (stored.select(F.col("node").alias(f"{c}_node"), F.col(what).alias(f"{c}_{what}")) for c in "ab")
+            return found.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node")).select("a", "b", "na", "nb", f"a_{what}", f"b_{what}")
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                most = [None if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()) for x, y in zip(batch.column("a_counts").to_pylist(), batch.column("b_counts").to_pylist())]
+                least = least_overlap(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), limit).tolist()
+                yield batch.select(["a", "b", "na", "nb"]).filter(pa.array([m is None or m >= n for m, n in zip(most, least)], pa.bool_()))
+
+        met = beside(cut(beside(pairs, "counts").mapInArrow(likely, "a long, b long, na long, nb long")), "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, held = None, None
