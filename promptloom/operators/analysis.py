@@ -280,43 +280,80 @@ def bradley_terry_bootstrap(df: DataFrame, block: Sequence[str], item: str, valu
     return fitted.groupBy(F.col("item").alias(item)).agg(F.percentile("strength", F.lit(0.025)).alias("low"), F.percentile("strength", F.lit(0.975)).alias("high"))
 
 
-def wilcoxon_p(differences: Sequence[float]) -> float:
-    """Two-sided signed-rank p: exact without ties up to 50 pairs, else normal with tie correction; 1 without a difference."""
-    d = [x for x in differences if x]
-    n = len(d)
-    if not n:
-        return 1.0
-    order = sorted(range(n), key=lambda i: abs(d[i]))
-    ranks, i, tied = [0.0] * n, 0, 0
-    while i < n:
-        j = i
-        while j + 1 < n and abs(d[order[j + 1]]) == abs(d[order[i]]):
-            j += 1
-        for k in range(i, j + 1):
-            ranks[order[k]] = (i + j) / 2 + 1
-        tied += (j - i + 1) ** 3 - (j - i + 1)
-        i = j + 1
-    up = sum(r for r, x in zip(ranks, d) if x > 0)
-    w = min(up, n * (n + 1) / 2 - up)
-    if not tied and n <= 50:
-        ways = [1] + [0] * int(w)
-        for r in range(1, n + 1):
-            for s in range(int(w), r - 1, -1):
-                ways[s] += ways[s - r]
-        return min(1.0, 2 * sum(ways) / 2**n)
-    spread = math.sqrt((n * (n + 1) * (2 * n + 1) - tied / 2) / 24)
-    return min(1.0, 2 * NormalDist().cdf((w - n * (n + 1) / 4) / spread))
-
-
-def bootstrap_interval(df: DataFrame, by: Sequence[str], value: str, resamples: int = 1000, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean: resamples by hashed draws of positions, so the same at every run."""
-    placed = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1)
-    packed = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("_v"))  # small groups: runs of a method
-    draws = packed.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    n = F.size("_v")
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, k: a + F.get(F.col("_v"), F.pmod(F.xxhash64(F.col("_b"), k), n.cast("bigint")).cast("int"))["v"])
-    means = draws.withColumn("_m", total / n)
-    return means.groupBy(*by).agg(F.round(F.percentile("_m", F.lit(alpha / 2)), 6).alias("low"), F.round(F.percentile("_m", F.lit(1 - alpha / 2)), 6).alias("high"))
+def signed_ranks(df: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
+    """``by, n, up, down, tied`` of each group: differences that are not 0, their rank sums above and below, and t^3 - t over ties.
+
+    Ranks are average ranks of the absolute differences; groups without a difference have 0 throughout.
+    """
+    some = df.withColumn("_d", F.when(F.col(difference) != 0, F.abs(F.col(difference))))
+    per = [*by, "_d"]
+    ties = F.when(F.col("_d").isNotNull(), F.count("*").over(W.partitionBy(*per)))
+    # nulls come first and are no part of the ranks
+    place = F.rank().over(W.partitionBy(*by, F.col("_d").isNull()).orderBy("_d"))
+    ranked = some.withColumn("_t", ties).withColumn("_rank", place + (F.col("_t") - 1) / F.lit(2.0))
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("_rank"))), F.lit(0.0))
+    return ranked.groupBy(*by).agg(
+        F.count("_d").alias("n"), total(F.col(difference) > 0).alias("up"), total(F.col(difference) < 0).alias("down"), F.coalesce(F.sum(F.col("_t") * F.col("_t") - 1), F.lit(0)).alias("tied")
+    )
+
+
+def normal_below(z: Column) -> Column:
+    """The standard normal distribution: its density times a series of odd powers, to the last digits of a double."""
+    start = F.struct(z.cast("double").alias("term"), z.cast("double").alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * z * z / (2.0 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["sum"])
+    inside = F.lit(0.5) + series * F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return F.when(z < -8, 0.0).when(z > 8, 1.0).otherwise(inside)
+
+
+def wilcoxon_p(n: Column, up: Column, down: Column, tied: Column, exact: int = 50) -> Column:
+    """Two-sided p of signed ranks: exact without ties up to ``exact`` differences, else normal with tie correction; 1 without a difference.
+
+    The exact one counts the subsets of 1..n by their sums, an array that each number shifts and adds to itself.
+    """
+    w = F.least(up, down)
+    top = F.floor(w).cast("int")
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    # numbers beyond the sum cannot be part of it
+    add = lambda ways, k: F.zip_with(ways, F.concat(zeros(k), F.slice(ways, F.lit(1), F.size(ways) - k)), lambda a, b: a + b)
+    ways = F.aggregate(F.filter(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), lambda k: k <= top), F.concat(F.array(F.lit(1.0)), zeros(top)), add)
+    below = F.aggregate(ways, F.lit(0.0), lambda a, x: a + x)
+    few = (tied == 0) & (n <= exact)
+    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - tied / F.lit(2.0)) / F.lit(24.0))
+    z = (w - n * (n + 1) / F.lit(4.0)) / spread
+    p = F.when(few, 2 * below / F.pow(F.lit(2.0), n.cast("double"))).otherwise(2 * normal_below(z))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
+
+
+#: The distribution of the Poisson law with mean 1, up to 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974149)
+_PRIME = 2147483647
+
+
+def resampling_weight(key: Column, draw: Column) -> Column:
+    """How often a row is drawn in a resample: Poisson with mean 1, from its key (a text) and the draw, by whole numbers alone."""
+    start = F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint")
+    mixed = F.pmod((start + 1) * 48271 + draw.cast("bigint") * 69621, F.lit(_PRIME))
+    for _ in range(2):
+        mixed = F.pmod(mixed * mixed + 12345, F.lit(_PRIME))
+    u = mixed / F.lit(float(_PRIME))
+    return sum(((u >= p).cast("bigint") for p in POISSON[1:]), (u >= POISSON[0]).cast("bigint"))
+
+
+def bootstrap_interval(df: DataFrame, by: Sequence[str], value: str, key: Column, resamples: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the mean of each group, by Poisson resampling.
+
+    Each row draws its weight in every resample by itself, and weights and weighted values are added up where the
+    rows are; so no task holds a group, and rows may come in any order. ``key`` names a row, as a text.
+    """
+    drawn = df.where(F.col(value).isNotNull()).select(*by, value, key.alias("_k")).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    weighed = drawn.withColumn("_w", resampling_weight(F.col("_k"), F.col("_b"))).where("_w > 0")
+    means = weighed.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m"))
+    return means.groupBy(*by).agg(F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def method_report(df: DataFrame) -> DataFrame:

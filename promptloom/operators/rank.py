@@ -31,6 +31,20 @@ def numbered(df: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
     return met.withColumn(into, F.col("_before") + F.col("_within") + 1).drop("_range", "_begins", "_within", "_before")
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], values: Sequence[str], suffix: str = "_so_far") -> DataFrame:
+    """``df`` with the sum of each of ``values`` up to and with each row by ``order``, over all rows and without a task that sees them all.
+
+    Rows are dealt by ranges; a range's sums begin with the totals of the ranges before it, of which there are as many as shuffle partitions.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*(F.sum(v).alias(f"_sum_{v}") for v in values))
+    begins = totals.select(F.col("_range").alias("_begins"), *(F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values))
+    within = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    met = ranged.join(F.broadcast(begins), F.col("_range") == F.col("_begins"))
+    return met.withColumns({f"{v}{suffix}": F.sum(v).over(within) + F.col(f"_before_{v}") for v in values}).drop("_range", "_begins", *(f"_before_{v}" for v in values))
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[Column], partition: Sequence[str] = (), into: str | None = None) -> DataFrame:
     """The first ``k`` rows by ``order``, of all or of each group. Without groups no window is needed."""
     if not partition and into is None:

@@ -47,6 +47,62 @@ def ucb1_tuned(summary: DataFrame, generation: int, c: float = 1.0) -> DataFrame
     return summary.withColumn("ucb", F.when(F.col("n") == 0, F.lit(float("inf"))).otherwise(bound))
 
 
+def free_and_filled(bounds: DataFrame, arm: str, top: int, produced: Column, free: Column) -> DataFrame:
+    """``place, chosen`` of each arm by its bound: the first ``top`` of those that ``produced`` something (an arm that cannot apply gives its
+    place to the next), and the ``free`` ones in any case, which cost nothing."""
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("ucb"), arm)  # a row an arm
+    placed = bounds.withColumn("place", F.row_number().over(order)).withColumn("_used", F.sum(produced.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return placed.withColumn("chosen", (produced & (F.col("_used") <= top)) | free).drop("_used")
+
+
+def hashed_unit(seed: str, *keys: str) -> Column:
+    """A number in (0, 1] from a seed and keys: 52 bits of a hash, equal on every engine."""
+    text = F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in keys))
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
+
+
+def tournaments(df: DataFrame, order: Sequence[Column], size: int, bout: int = 3, key: str = "record_id", coverage: str | None = None, pull: float = 0.0, seed: str = "0") -> DataFrame:
+    """``df`` with ``bout_no`` for the ``size`` parents of tournaments: the best of all (0) and the winner of each bout (1 to size - 1).
+
+    The others are dealt to bouts without replacement, by hashes of their keys; a bout's winner is the first by ``order``. With the chance ``pull`` one of the front (positive
+    ``coverage``), drawn in proportion to it by exponential keys, joins a bout. One that wins several bouts counts once, in its first.
+    Bouts are groups, so the population may be of any size.
+    """
+    best = df.orderBy(*order).limit(1).withColumn("bout_no", F.lit(0))
+    rest = df.join(best.select(F.col(key).alias("_best")), F.col(key) == F.col("_best"), "left_anti")
+    drawn = rest.withColumn("_u", hashed_unit(f"{seed}|draw", key)).orderBy("_u", key).limit(bout * (size - 1))
+    dealt = drawn.withColumn("bout_no", (F.floor((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_u", key)) - 1) / bout) + 1).cast("int")).drop("_u")  # bout * size rows
+    entries = dealt
+    if coverage and pull > 0:
+        bouts = df.sparkSession.range(1, size).select(F.col("id").cast("int").alias("bout_no")).where(hashed_unit(f"{seed}|pull", "bout_no") < pull)
+        front = rest.where(F.col(coverage) > 0).crossJoin(F.broadcast(bouts))  # bouts are a parameter
+        keyed = front.withColumn("_e", -F.ln(hashed_unit(f"{seed}|front", "bout_no", key)) / F.col(coverage))
+        pulled = keyed.groupBy("bout_no").agg(F.min_by(key, F.struct("_e", key)).alias("_p")).join(rest, F.col("_p") == F.col(key)).select(*df.columns, "bout_no")
+        entries = entries.unionByName(pulled).distinct()
+    first = F.row_number().over(W.partitionBy("bout_no").orderBy(*order))
+    winners = entries.withColumn("_place", first).where("_place = 1").drop("_place")
+    once = F.row_number().over(W.partitionBy(key).orderBy("bout_no"))
+    return best.unionByName(winners.withColumn("_once", once).where("_once = 1").drop("_once"))
+
+
+def stagnation(df: DataFrame, by: Sequence[str], seq: str, value: str, tolerance: float, most: int, perfect: float = 1.0) -> DataFrame:
+    """``by, stop, reason``: where each run ends: at the first value that is ``perfect``, or after ``most`` steps in a row that gain less than ``tolerance``.
+    Runs that do neither have nulls."""
+    order = W.partitionBy(*by).orderBy(seq)
+    gain = F.round(F.col(value) - F.lag(value).over(order), 9)
+    gained = df.withColumn("_head", F.coalesce(gain >= tolerance, F.lit(True)).cast("int"))
+    grouped = gained.withColumn("_stretch", F.sum("_head").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    streak = grouped.withColumn("_streak", F.row_number().over(W.partitionBy(*by, "_stretch").orderBy(seq)) - 1)
+    ends = streak.groupBy(*by).agg(F.min(F.when(F.col(value) >= perfect, F.col(seq))).alias("_perfect"), F.min(F.when(F.col("_streak") >= most, F.col(seq))).alias("_stuck"))
+    stop = F.least("_perfect", "_stuck")
+    return ends.select(*by, stop.alias("stop"), F.when(F.col("_perfect") <= stop, "perfect").when(stop.isNotNull(), "stagnation").alias("reason"))
+
+
+def mode_families(df: DataFrame, mode: Column, score: str, best: float, slack: float = 0.0) -> DataFrame:
+    """``mode, best, alive``: the best score of each family of modes, and whether it comes within ``slack`` of the overall best."""
+    return df.groupBy(mode.alias("mode")).agg(F.max(score).alias("best")).withColumn("alive", F.col("best") > best - slack)
+
+
 def chosen_arms(bounds: DataFrame, arm: str, top: int = 4, min_pulls: int = 4, seq: str | None = None) -> DataFrame:
     """Arms short of ``min_pulls`` in any case, others by bound until ``top`` are chosen."""
     forced = F.col("n") < min_pulls

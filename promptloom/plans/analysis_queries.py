@@ -227,13 +227,28 @@ def _(s, d):
     return rounded(A.bradley_terry_bootstrap(cells, ["model", "task"], "method", "value"), "low", "high")
 
 
-@query("wilcoxon_holm")
-def _(s, d):
+def _differences(s, d):
     cells = A.block_means(runs(s, d), ["model", "task"], "method")
     a, b = cells.select("model", "task", F.col("method").alias("a"), F.col("value").alias("x")), cells.select("model", "task", F.col("method").alias("b"), F.col("value").alias("y"))
-    pairs = a.join(b, ["model", "task"]).where("a < b").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.round(F.col("x") - F.col("y"), 9))).alias("v"))
-    rows = [(r["a"], r["b"], A.wilcoxon_p(r["v"])) for r in pairs.collect()]  # a row for each pair of methods
-    return rounded(A.holm(s.createDataFrame(rows, "a string, b string, p double"), "p", ["a", "b"]), "p", "p_holm")
+    return a.join(b, ["model", "task"]).where("a < b").select("a", "b", F.round(F.col("x") - F.col("y"), 9).alias("d"))
+
+
+_SIGNED = """with c as (select model, task, method, round(avg(test_score), 9) as v from runs group by all),
+d as (select a.method as a, b.method as b, round(a.v - b.v, 9) as d from c a join c b using (model, task) where a.method < b.method),
+r as (select *, count(*) over (partition by a, b, abs(d)) as t, rank() over (partition by a, b order by abs(d)) as place from d where d <> 0),
+s as (select a, b, count(*) as n, round(sum(case when d > 0 then place + (t - 1) / 2.0 else 0 end)::double, 6) as up, round(sum(case when d < 0 then place + (t - 1) / 2.0 else 0 end)::double, 6) as down, cast(sum(t * t - 1) as bigint) as tied from r group by all)"""
+
+
+@query("signed_ranks", _SIGNED + " select * from s")
+def _(s, d):
+    return rounded(A.signed_ranks(_differences(s, d), ["a", "b"], "d").where("n > 0"), "up", "down")
+
+
+@query("wilcoxon_holm")
+def _(s, d):
+    ranks = A.signed_ranks(_differences(s, d), ["a", "b"], "d")
+    tested = ranks.select("a", "b", A.wilcoxon_p(F.col("n"), F.col("up"), F.col("down"), F.col("tied")).alias("p"))
+    return rounded(A.holm(tested, "p", ["a", "b"]), "p", "p_holm")
 
 
 @query("lcb_winner", """
@@ -420,9 +435,19 @@ def _(s, d):
     )
 
 
-@query("bootstrap_interval")
+def _weight(start: str, draw: str) -> str:
+    mixed = f"(({start} + 1) * 48271 + {draw} * 69621) % 2147483647"
+    for _ in range(2):
+        mixed = f"(({mixed}) * ({mixed}) + 12345) % 2147483647"
+    return " + ".join(f"cast(({mixed}) / 2147483647.0::double >= {p!r}::double as bigint)" for p in A.POISSON)
+
+
+@query("bootstrap_interval", f"""with k as (select method, test_score as v, ('0x' || substr(md5(model || '|' || task || '|' || seed), 1, 7))::bigint as h from runs),
+w as (select method, v, b, {_weight("h", "b")} as w from k, range(1, 501) t(b)),
+m as (select method, b, sum(w * v) / sum(w) as m from w where w > 0 group by all)
+select method, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by method""")
 def _(s, d):
-    return A.bootstrap_interval(runs(s, d), ["method"], "test_score", 500)
+    return rounded(A.bootstrap_interval(runs(s, d), ["method"], "test_score", F.concat_ws("|", "model", "task", F.col("seed").cast("string")), 500), "low", "high")
 
 
 @query("broken_results", "select model, method, task, seed from runs where calls > 20 and test_score < 0.5 and best_dev >= 0.95")

@@ -1,4 +1,4 @@
-"""Budgets and configuration of a run: driver objects, no data."""
+"""Budgets and configuration of a run: driver objects, and the same caps over tables of requests."""
 
 from __future__ import annotations
 
@@ -8,8 +8,26 @@ import os
 import re
 import time
 from collections import deque
+from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.rank import running_totals
+
+
+#: The caps in the order in which they are told, with the name that is told of each.
+LIMITS = {"seconds": "time", "calls": "calls", "total_tokens": "total_tokens", "input_tokens": "input_tokens", "output_tokens": "output_tokens"}
+
+
+def admitted(requests: DataFrame, order: Sequence[Column], caps: dict[str, float]) -> DataFrame:
+    """``requests`` (seconds, calls, input_tokens, output_tokens of each) with ``refused``: the first cap that what came before has used up, null while there is none."""
+    priced = requests.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    spent = running_totals(priced, order, list(caps))
+    reasons = [F.when(F.col(f"{c}_so_far") - F.col(c) >= caps[c], told) for c, told in LIMITS.items() if c in caps]
+    return spent.withColumn("refused", F.coalesce(*reasons)).drop("total_tokens", *(f"{c}_so_far" for c in caps))
+
 
 class BudgetExceeded(RuntimeError):
     """A cap would be passed; ``kind`` names it."""
@@ -68,9 +86,9 @@ class Budget:
         """The first cap that is used up: time, calls, then tokens in total, in and out."""
         if search and (left := self.search_seconds()) is not None and left <= 0:
             return "time_reserved_for_finalize"
-        for what in ("seconds", "calls", "total_tokens", "input_tokens", "output_tokens"):
+        for what, told in LIMITS.items():
             if (left := self.left(what)) is not None and left <= 0:
-                return "time" if what == "seconds" else what
+                return told
         return None
 
     def time_for_evaluation(self) -> bool:

@@ -373,3 +373,44 @@ def _(s, d):
     return table(s, d, "events").groupBy("user_id").agg(
         F.count("*").alias("calls"), F.round(F.greatest(F.lit(180.0), F.lit(0.08 * 7200), F.avg("value") * 6), 6).alias("reserve"), F.least(F.lit(512).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.floor(F.lit(20000) / F.count("*")))).alias("tokens_each")
     )
+
+
+_REQUESTS = "select event_id, ts, event_id % 9 as seconds, 1 as calls, cast(floor(value) as bigint) as input_tokens, user_id % 40 as output_tokens from events"
+_CAPS = {"seconds": 30000, "calls": 9000, "total_tokens": 500000, "input_tokens": 350000, "output_tokens": 110000}
+
+
+def _refused(caps):
+    told = {"seconds": "time"}
+    return "case " + " ".join(f"when {c}_so_far - {c} >= {v} then '{told.get(c, c)}'" for c, v in caps.items()) + " end"
+
+
+@query("budget_order", f"""with q as ({_REQUESTS}), t as (select *, input_tokens + output_tokens as total_tokens from q),
+r as (select *, {", ".join(f"sum({c}) over (order by ts, event_id rows unbounded preceding) as {c}_so_far" for c in _CAPS)} from t)
+select event_id, {_refused(_CAPS)} as refused from r""")
+def _(s, d):
+    from .budget import admitted
+
+    e = table(s, d, "events")
+    requests = e.select("event_id", "ts", (F.col("event_id") % 9).alias("seconds"), F.lit(1).alias("calls"), F.floor("value").alias("input_tokens"), (F.col("user_id") % 40).alias("output_tokens"))
+    return admitted(requests, [F.col("ts"), F.col("event_id")], _CAPS).select("event_id", "refused")
+
+
+@query("stagnation", """with g as (select record_id, n, correct from trials), v as (select record_id, n, cast(sum(correct) over (partition by record_id order by n) as double) / (n + 2) as v from g),
+h as (select *, case when lag(v) over w is null or round(v - lag(v) over w, 9) >= 0.01 then 1 else 0 end as head from v window w as (partition by record_id order by n)),
+k as (select *, sum(head) over (partition by record_id order by n) as stretch from h),
+c as (select *, row_number() over (partition by record_id, stretch order by n) - 1 as streak from k),
+e as (select record_id, min(n) filter (v >= 0.7) as p, min(n) filter (streak >= 3) as q from c group by record_id)
+select record_id, least(p, q) as stop, case when p <= least(p, q) then 'perfect' when least(p, q) is not null then 'stagnation' end as reason from e""", "trials")
+def _(s, d):
+    so_far = F.sum("correct").over(W.partitionBy("record_id").orderBy("n")).cast("double")
+    v = trials(s, d).withColumn("v", so_far / (F.col("n") + 2))
+    return S.stagnation(v, ["record_id"], "n", "v", 0.01, 3, perfect=0.7)
+
+
+@query("free_and_filled", _PULLS + """, g as (select arm, count(*) as n, avg(reward) as mean from pulls group by arm), t as (select *, sum(n) over () as total from g),
+u as (select arm, n, round(mean + 0.5 * sqrt(ln(greatest(total, 2)) / n), 6) as ucb from t),
+o as (select *, row_number() over (order by ucb desc, arm) as place, sum(cast(n % 3 <> 0 as integer)) over (order by ucb desc, arm rows unbounded preceding) as used from u)
+select arm, cast(place as integer) as place, (n % 3 <> 0 and used <= 2) or arm like 'p%' as chosen from o""")
+def _(s, d):
+    u = rounded(S.ucb1(S.pulls_summary(_pulls(s, d), None, "arm", "reward"), 0.5), "ucb")
+    return S.free_and_filled(u, "arm", 2, F.col("n") % 3 != 0, F.col("arm").startswith("p")).select("arm", "place", "chosen")

@@ -335,7 +335,7 @@ def _(s, d):
     return rounded(E.deploy_cost(spread(prompts(s, d)), replies), "reply_words", "deploy_cost")
 
 
-@query("search_cost", "select method, count(*) as search_calls, sum(n_chars) as search_tokens, greatest(1, sum(generation)) as search_slots, round(sum(n_chars) / greatest(1, sum(generation)), 6) as tokens_per_slot from prompts group by method")
+@query("search_cost", "select method, count(*) as search_calls, cast(sum(n_chars) as bigint) as search_tokens, cast(greatest(1, sum(generation)) as bigint) as search_slots, round(sum(n_chars) / greatest(1, sum(generation)), 6) as tokens_per_slot from prompts group by method")
 def _(s, d):
     p = prompts(s, d).select("method", F.lit(1).alias("calls"), F.col("n_chars").alias("tokens"), F.col("generation").alias("slots"))
     return rounded(E.search_cost(p, ["method"]), "tokens_per_slot")
@@ -445,4 +445,51 @@ def _(s, d):
 def _(s, d):
     g = F.col("generation") % 3
     f = prompts(s, d).select(F.when(g == 0, "ao").when(g == 1, "cot").otherwise("thinking").alias("mode"), "score")
-    return f.groupBy("mode").agg(F.round(F.max("score"), 6).alias("best"), (F.max("score") > 0.9985).alias("alive"))
+    return rounded(S.mode_families(f, F.col("mode"), "score", 0.9985), "best")
+
+
+def _unit(seed: str, *keys: str) -> str:
+    return "((('0x' || substr(sha256('" + seed + "'" + "".join(f" || '|' || {k}" for k in keys) + "), 1, 13))::bigint + 1) / 4503599627370496.0::double)"
+
+
+@query("tournaments", f"""with best as (select * from prompts order by {_ORDER} limit 1), rest as (select *, generation % 4 as coverage from prompts where record_id not in (select record_id from best)),
+drawn as (select *, row_number() over (order by {_unit("7|draw", "record_id")}, record_id) as i from rest),
+dealt as (select record_id, dev, score, cast((i - 1) // 3 + 1 as integer) as bout_no from drawn where i <= 57),
+bouts as (select cast(b as integer) as bout_no from range(1, 20) t(b) where {_unit("7|pull", "b")} < 0.4),
+pulled as (select record_id, dev, score, bout_no from (select r.*, b.bout_no, row_number() over (partition by b.bout_no order by -ln({_unit("7|front", "b.bout_no", "record_id")}) / coverage, record_id) as p from rest r, bouts b where coverage > 0) where p = 1),
+entries as (select * from dealt union select * from pulled),
+winners as (select record_id, bout_no from (select *, row_number() over (partition by bout_no order by {_ORDER}) as p from entries) where p = 1)
+select record_id, min(bout_no) as bout_no from (select record_id, 0 as bout_no from best union all select * from winners) group by record_id""")
+def _(s, d):
+    p = prompts(s, d).select("record_id", "dev", "score", (F.col("generation") % 4).alias("coverage"))
+    return S.tournaments(p, rank_order(), 20, 3, coverage="coverage", pull=0.4, seed="7").select("record_id", "bout_no")
+
+
+@query("boxed_answers", r"""select record_id, case record_id % 5 when 0 then repeat('{', 50) || method || repeat('}', 50) when 1 then operator when 2 then '\frac{' || method || '}{2}' when 3 then null else 'b' || operator end as answer from prompts""")
+def _(s, d):
+    from ..functions.scoring import boxed
+
+    k = F.col("record_id") % 5
+    deep = F.concat(F.lit("so \\boxed{" + "{" * 50), "method", F.lit("}" * 50 + "} and \\boxed{open {x}"))
+    inner = F.concat(F.lit("} \\boxed{a \\boxed{ "), "operator", F.lit(" } c} }"))
+    many = F.concat(F.lit("\\boxed{1} then \\boxed{\\frac{"), "method", F.lit("}{2}}"))
+    last = F.concat(F.lit("\\boxed{a} {\\boxed{b"), "operator", F.lit("}"))
+    t = F.when(k == 0, deep).when(k == 1, inner).when(k == 2, many).when(k == 3, F.lit("boxed{1} \\boxed{")).otherwise(last)
+    return prompts(s, d).select("record_id", boxed(t).alias("answer"))
+
+
+# pairs of expressions in n and m, told equal or not by the template
+_IDENTITIES = [
+    (r"\frac{x^2-{n}^2}{x-{n}}", "x+{n}", True), (r"({n}x+1)^2", r"{n}^2x^2 + 2\cdot {n} x + 1", True), (r"\sqrt{{n}^2}", "{n}", True), ("x+{n}", "x-{n}-1", False), (r"\frac{{n}}{7}", "{n}/7", True), (r"\sin^2({n}y)", r"1-\cos^2({n} y)", True), ("y={n}x", r"2y-2\cdot {n}x=0", True),
+    (r"x^{{n}}", "x^{{n}+1}", False),
+]
+
+
+@query("same_expressions", "select record_id, record_id % 8 not in (3, 7) as same from prompts")
+def _(s, d):
+    from ..functions.algebra import same_expression
+
+    k, n = (F.col("record_id") % 8).cast("int"), (F.col("record_id") % 50 + 1).cast("string")
+    one, other = (F.replace(F.array(*(F.lit(p[i]) for p in _IDENTITIES))[k], F.lit("{n}"), n) for i in (0, 1))
+    made = prompts(s, d).select("record_id", one.alias("x"), other.alias("y"))
+    return made.select("record_id", same_expression(F.col("x"), F.col("y")).alias("same"))

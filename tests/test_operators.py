@@ -83,7 +83,6 @@ def test_split_sizes():
 
 
 def test_small_statistics():
-    assert A.wilcoxon_p([]) == 1.0 and A.wilcoxon_p([1, 2, 3, 4, 5]) == pytest.approx(0.0625)
     s = A.bradley_terry([[0, 3, 3], [1, 0, 2], [1, 2, 0]])
     assert s[0] > s[1] == pytest.approx(s[2]) and sum(s) == pytest.approx(3)
 
@@ -336,3 +335,66 @@ def test_registry():
     assert len(METHODS) == 29 and method("APEX").choose == "bandit" and not math.isnan(1)
     with pytest.raises(ValueError):
         method("none")
+
+
+def test_signed_rank_p_against_all_signs(spark):
+    import itertools
+    import random
+
+    from promptloom.operators import analysis as A
+
+    rng = random.Random(3)
+    groups = {0: [], 1: [0.0, 0.0], 2: [1.0], 3: [3.0, -1.0, 2.0], 4: [1.0, -1.0, 2.0], 5: [rng.uniform(-1, 2) for _ in range(11)], 6: [rng.choice([-2.0, -1.0, 1.0, 2.0, 3.0, 0.0]) for _ in range(40)], 7: [float(i + 1) for i in range(60)]}
+    rows = [(g, d) for g, ds in groups.items() for d in ds]
+    s = A.signed_ranks(spark.createDataFrame(rows, "g int, d double"), ["g"], "d")
+    got = {r["g"]: r["p"] for r in s.select("g", A.wilcoxon_p(F.col("n"), F.col("up"), F.col("down"), F.col("tied")).alias("p")).collect()}
+    assert got[1] == 1.0 and got[2] == 1.0
+    for g in (3, 5):  # every way to set the signs
+        size = sorted(map(abs, groups[g]))
+        ranks = [size.index(abs(d)) + 1 for d in groups[g]]
+        w = min(sum(r for r, d in zip(ranks, groups[g]) if d > 0), sum(r for r, d in zip(ranks, groups[g]) if d < 0))
+        sums = [sum(r for r, up in zip(ranks, signs) if up) for signs in itertools.product([0, 1], repeat=len(ranks))]
+        assert abs(got[g] - min(1.0, 2 * sum(x <= w for x in sums) / len(sums))) < 1e-12
+    for g in (4, 6, 7):  # the normal law with ties
+        from statistics import NormalDist
+
+        d = [x for x in groups[g] if x]
+        size = sorted(map(abs, d))
+        ranks = [size.index(abs(x)) + (size.count(abs(x)) + 1) / 2 for x in d]
+        tied = sum(size.count(x) ** 2 - 1 for x in size)
+        n, w = len(d), min(sum(r for r, x in zip(ranks, d) if x > 0), sum(r for r, x in zip(ranks, d) if x < 0))
+        p = 2 * NormalDist().cdf((w - n * (n + 1) / 4) / ((n * (n + 1) * (2 * n + 1) - tied / 2) / 24) ** 0.5)
+        assert abs(got[g] - min(1.0, p)) < 1e-12
+
+
+def test_bootstrap_does_not_gather_groups(spark):
+    from promptloom.operators import analysis as A
+
+    df = spark.range(20000).select((F.col("id") % 2).alias("g"), (F.col("id") % 100 / 100.0).alias("v"), F.col("id").cast("string").alias("k"))
+    rows = {r["g"]: r for r in A.bootstrap_interval(df, ["g"], "v", F.col("k"), 200).collect()}
+    for r in rows.values():  # 10,000 values of deviation 0.29: 0.0057 at either side
+        assert 0.49 - 0.01 < r["low"] < r["high"] < 0.5 + 0.01 and 0.008 < r["high"] - r["low"] < 0.015
+    w = spark.range(20000).select(A.resampling_weight(F.col("id").cast("string"), F.lit(1)).alias("a"), A.resampling_weight(F.col("id").cast("string"), F.lit(2)).alias("b"))
+    m = w.agg(F.avg("a").alias("a"), F.var_pop("a").alias("v"), F.corr("a", "b").alias("c")).first()
+    assert abs(m["a"] - 1) < 0.03 and abs(m["v"] - 1) < 0.06 and abs(m["c"]) < 0.03
+
+
+def test_tournaments(spark):
+    from promptloom.operators import select as S
+    from promptloom.operators.rank import rank_order
+
+    df = spark.range(500).select(F.col("id").alias("record_id"), (F.col("id") * 37 % 500 / 500.0).alias("dev"), (F.col("id") * 37 % 500 / 500.0).alias("score"), (F.col("id") % 3).alias("coverage"))
+    rows = S.tournaments(df, rank_order(), 20, 3, coverage="coverage", pull=0.5, seed="a").collect()
+    assert len({r["record_id"] for r in rows}) == len(rows) <= 20 and rows[0]["bout_no"] == 0 and max(r["score"] for r in rows) == rows[0]["score"]
+    assert len(S.tournaments(df.limit(2), rank_order(), 20).collect()) == 2 and len(S.tournaments(df.limit(0), rank_order(), 20).collect()) == 0
+
+
+def test_budget_and_running_totals_have_one_order(spark):
+    from promptloom.operators.rank import running_totals
+    from promptloom.plans.budget import admitted
+
+    df = spark.range(1000).repartition(7).select("id", F.lit(1).alias("calls"), F.lit(0).alias("seconds"), (F.col("id") % 3).alias("input_tokens"), F.lit(0).alias("output_tokens"))
+    got = {r["id"]: r["calls_so_far"] for r in running_totals(df, [F.col("id")], ["calls"]).collect()}
+    assert got == {i: i + 1 for i in range(1000)}
+    refused = {r["id"]: r["refused"] for r in admitted(df, [F.col("id")], {"calls": 500, "input_tokens": 300}).collect()}
+    assert refused[299] is None and refused[301] == "input_tokens" and refused[499] == "input_tokens" and refused[500] == "calls"

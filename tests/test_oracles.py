@@ -36,4 +36,4 @@ def test_query(spark, db, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"bradley_terry_strength", "wilcoxon_holm", "bootstrap_interval", "near_duplicates"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"bradley_terry_interval", "bradley_terry_strength", "wilcoxon_holm", "near_duplicates"}

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from promptloom.functions import contract
+from promptloom.functions import algebra, contract
 from promptloom.functions import scoring as C
 from promptloom.functions import text as X
 
@@ -43,9 +43,10 @@ def test_boxes_nest_and_the_last_closed_counts(spark):
 
 
 def test_values_of_latex(spark):
-    assert C.latex_value(r"\frac{1}{2}") == 0.5 and C.latex_value("2^3 - \\sqrt{4}") == 6 and C.latex_value("x+1") is None and C.latex_value("9**999999") is None
-    df = spark.createDataFrame([(r"The answer is \frac{1}{2}", "0.5"), ("The answer is 0.4", r"\frac{1}{2}")], "p string, t string")
-    assert [r["s"] for r in df.select(C.score_math(F.col("p"), F.col("t"), symbolic=True).alias("s")).collect()] == [1, 0]
+    assert one(spark, C.boxed(F.lit("a \\boxed{" + "{" * 50 + "7" + "}" * 50 + "} b \\boxed{open {x}"))) == "{" * 50 + "7" + "}" * 50
+    assert one(spark, C.boxed(F.lit(r"} \boxed{a \boxed{ b } c} }"))) == "b" and one(spark, C.boxed(F.lit(None).cast("string"))) is None
+    df = spark.createDataFrame([(r"The answer is \frac{1}{2}", "0.5"), ("The answer is 0.4", r"\frac{1}{2}"), (r"\boxed{\frac{x^2-1}{x-1}} + C", "x+1")], "p string, t string")
+    assert [r["s"] for r in df.select(C.score_math(F.col("p"), F.col("t"), symbolic=True).alias("s")).collect()] == [1, 0, 1]
 
 
 @pytest.mark.parametrize("reply,violation", [
@@ -70,3 +71,13 @@ def test_text_functions(spark):
     assert one(spark, X.with_examples(F.lit("Do.\n\nExamples:\nold"), F.array(F.lit("new")))) == "Do.\n\nExamples:\nnew"
     assert one(spark, X.validity(F.lit("Sure, here"))) == "preamble" and one(spark, X.validity(F.lit(None).cast("string"))) == "empty"
     assert contract.fields("ROLE: a\nmore\nTASK: b") == {"ROLE": "a\nmore", "TASK": "b"}
+
+
+@pytest.mark.parametrize("a,b,same", [
+    (r"\frac{x^2-1}{x-1}", "x+1", True), (r"\sin^2 x + \cos^2 x", "1", True), ("2x(x+1)", "2x^2+2x", True), (r"\sqrt[3]{8}", "2", True), (r"\frac12", "0.5", True), ("(a+b)^2", "a^2+2ab+b^2", True), ("x+1", "x-1", False),
+    ("e^{i\\pi}", "-1", True), (r"\ln(x^2)", r"2\ln x", True), ("y = 2x", "2y - 4x = 0", True), ("y=2x", "y=3x", False), ("x_1 x_2", "x_2x_1", True), (r"\left(1+\frac{1}{2}\right)\cdot 2", "3", True), ("5!", "120", True), ("x^{-1}", r"\frac{1}{x}", True),
+    ("-2^2", "-4", True), ("2^3^2", "512", True), ("ab^2", "a b b", True), (r"|{-3}|", "3", True), ("1/0", "1/0", False), ("x +", "x", False), ("", "0", False), (None, "1", False), (r"\log_2 8", "3", True), (r"\frac{\sqrt{2}}{2}", r"\frac{1}{\sqrt{2}}", True),
+    ("9**999999", "1", False), ("{" * 3000, "1", False), (r"12\%", "12", False), (r"\sin 2x", r"2\sin x\cos x", True), ("x", "y", False), (r"\alpha\beta", r"\beta \alpha", True), ("10^{200}", "10^{201}", False),
+])
+def test_identity_of_expressions(a, b, same):
+    assert algebra.equivalent(a, b) is same and algebra.equivalent(b, a) is same
