@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, map_rows, remove_folder, shared_folder, ship
+from .common import bound_batches, cut, map_rows, ship
 from .components import stars
 
 WIDTH = 4
@@ -352,9 +352,9 @@ def part_counts(grams: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
-def _maybe(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The rows of ``docs`` whose key and hash may be among ``wanted`` (``k, h``), with their ``part_counts``: a bitmap of fixed
-    size tells, so that few other texts move."""
+def _maybe(docs: DataFrame, wanted: DataFrame, width: int, counted: bool) -> DataFrame:
+    """``k, h, value`` of the rows of ``docs`` whose key and hash may be among ``wanted`` (``k, h``), with their ``part_counts`` or
+    the text itself: a bitmap of fixed size tells, so that few others move."""
     place = F.pmod(F.xxhash64("k", "h"), F.lit(BITS))
     maps = wanted.groupBy(F.floor(place / (1 << 15)).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias("bits"))
     found = {r["part"]: r["bits"] for r in maps.collect()}  # BITS / 8 bytes, whatever the input
@@ -364,20 +364,28 @@ def _maybe(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             at = batch.column("place").to_numpy()
-            some = batch.drop_columns("place").filter(pa.array((known[at >> 3] >> (at & 7) & 1).astype(bool)))
-            counts = pa.array([part_counts(ngrams(t.as_py(), width)) for t in some.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*some.columns, counts], names=[*some.schema.names, "counts"])
+            some = batch.filter(pa.array((known[at >> 3] >> (at & 7) & 1).astype(bool)))
+            value = pa.array([part_counts(ngrams(t.as_py(), width)) for t in some.column("text")], pa.binary()) if counted else some.column("text")
+            yield pa.RecordBatch.from_arrays([some.column("k"), some.column("h"), value], names=["k", "h", "value"])
 
     placed = docs.select(F.col("doc_id").alias("k"), "text", "h").withColumn("place", place)
-    return placed.mapInArrow(run, T.StructType([*placed.drop("place").schema, T.StructField("counts", T.BinaryType())]))
+    return placed.mapInArrow(run, T.StructType([placed.schema["k"], placed.schema["h"], T.StructField("value", T.BinaryType() if counted else T.StringType())]))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, text, counts`` of the documents that stand for ``nodes`` (``node, rep``), each once."""
+def _values(docs: DataFrame, nodes: DataFrame, width: int, counted: bool) -> DataFrame:
+    """``node, value`` of the documents that stand for ``nodes`` (``node, rep``), each once."""
     named = nodes.select("node", F.col("rep.k").alias("rk"), F.col("rep.h").alias("rh"))
-    some = _maybe(docs, named.select(F.col("rk").alias("k"), F.col("rh").alias("h")), width)
+    some = _maybe(docs, named.select(F.col("rk").alias("k"), F.col("rh").alias("h")), width, counted)
     equal = F.coalesce(F.col("k") == F.col("rk"), F.col("k").isNull() & F.col("rk").isNull())
-    return some.join(named, (F.col("h") == F.col("rh")) & equal).groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("counts").alias("counts"))
+    return some.join(named, (F.col("h") == F.col("rh")) & equal).groupBy("node").agg(F.any_value("value").alias("value"))
+
+
+def _beside(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, counted: bool) -> DataFrame:
+    """``pairs`` (``a, b, na, nb``) with the values of both (``x, y``)."""
+    named = nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi")
+    values = cut(_values(docs, cut(named), width, counted))
+    one, other = (values.select(F.col("node").alias(f"{c}_node"), F.col("value").alias(v)) for c, v in ("ax", "by"))
+    return pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node")).select("a", "b", "na", "nb", "x", "y")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, limit: int) -> DataFrame:
@@ -385,39 +393,25 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, lim
 
     Counts of n-grams in parts of the hashes bound the overlap from above; the texts of pairs that pass are compared.
     """
-    pairs = cut(pairs)
-    named = nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi")
-    folder = shared_folder(docs.sparkSession, "ngram-join")
-    try:
-        _texts(docs, cut(named), width).write.parquet(folder)
-        stored = docs.sparkSession.read.schema("node long, text string, counts binary").parquet(folder)
-
-        def beside(found: DataFrame, what: str) -> DataFrame:
-            one, other = (stored.select(F.col("node").alias(f"{c}_node"), F.col(what).alias(f"{c}_{what}")) for c in "ab")
-            return found.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node")).select("a", "b", "na", "nb", f"a_{what}", f"b_{what}")
-
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                most = [None if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()) for x, y in zip(batch.column("a_counts").to_pylist(), batch.column("b_counts").to_pylist())]
-                least = least_overlap(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), limit).tolist()
-                yield batch.select(["a", "b", "na", "nb"]).filter(pa.array([m is None or m >= n for m, n in zip(most, least)], pa.bool_()))
-
-        met = beside(cut(beside(pairs, "counts").mapInArrow(likely, "a long, b long, na long, nb long")), "text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, held = None, None
-            for batch in batches:
-                near = []
-                for a, x, y in zip(batch.column("a").to_pylist(), batch.column("a_text"), batch.column("b_text")):
-                    if a != last:
-                        last, held = a, ngrams(x.as_py(), width)
-                    other = ngrams(y.as_py(), width)
-                    near.append(len(np.intersect1d(held, other, assume_unique=True)) >= least_overlap(len(held) + len(other), limit))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-        return cut(met.mapInArrow(run, "u long, v long"))
-    finally:
-        remove_folder(docs.sparkSession, folder)
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [None if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            least = least_overlap(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), limit).tolist()
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array([m is None or m >= n for m, n in zip(most, least)], pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            near = []
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
+                if a != last:
+                    last, held = a, ngrams(x.as_py(), width)
+                other = ngrams(y.as_py(), width)
+                near.append(len(np.intersect1d(held, other, assume_unique=True)) >= least_overlap(len(held) + len(other), limit))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    met = cut(_beside(cut(pairs), docs, nodes, width, True).mapInArrow(likely, "a long, b long, na long, nb long"))
+    return cut(_beside(met, docs, nodes, width, False).mapInArrow(exact, "u long, v long"))
 
 
 def components(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, counters: int = COUNTERS) -> DataFrame:
