@@ -13,6 +13,10 @@ blanks, commas, ``0x`` or ``\\x``. A key's own lengths say where it ends; there
 A PEM block whose headers say that it is encrypted (``Proc-Type``, ``DEK-Info``) holds ciphertext without a
 structure: it is confirmed by headers and base64 and is of the kind ``der``.
 
+A text takes time in proportion to its length: runs of letters and their steps are joined once for all keys that may begin in
+them, keys are read by the heads of their parts, and the patterns do not go back over what they have passed. A header of a
+PEM block does not hold the mark of another's beginning.
+
 Spans are in code points, end exclusive. Defined results: a null text has no spans, as has an empty
 one; whole texts are searched, however long; repeated rows are scanned alike; an empty table gives
 no rows.
@@ -25,6 +29,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,61 +46,70 @@ _ASSIGN = re.compile(r"((?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD]))|[sS][e
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of fewer than 16 fails, and runs are maximal
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----((?:(?:\s|\\[nr])*[A-Z][A-Za-z0-9-]*:[^\n\\]*(?:\n|\\n))*)([A-Za-z0-9+/=\s\\]{16,})-----END \1-----")
-_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED.*DEK-Info:\s*[A-Za-z0-9-]+,[0-9A-Fa-f]+", re.S)
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----((?:(?:\s|\\[nr])*+[A-Z][A-Za-z0-9-]*+:(?:(?!-----BEGIN )[^\n\\])*+(?:\n|\\n))*)([A-Za-z0-9+/=\s\\]{16,}+)-----END \1-----")
+_SEALED = re.compile(r"Proc-Type:\s*+4,\s*+ENCRYPTED")
+_CIPHER = re.compile(r"DEK-Info:\s*+[A-Za-z0-9-]++,[0-9A-Fa-f]")
 #: What may part a wrapped key: a line's end or closed and opened quotes, with what stands around them.
-_STEP = rf"(?:\\[rn])?(?:[\"'](?:\s|[,+.\\()])*[\"']|\\[rn]|\s*[\r\n]\s*)"
+_STEP = rf"(?:\\[rn])?(?:[\"'](?:\s|[,+.\\()])*+[\"']|\\[rn]|[^\S\r\n]*+[\r\n]\s*+)"
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M|b3Bl)[A-Za-z0-9+/_-]{16}")
-_LETTER = re.compile(rf"(?:{_STEP})?([A-Za-z0-9+/_-])")
-_HEX_STEP = r"(?:[\"'](?:\s|[,+.\\()])*[\"']|[:,\s-]|\\[rn]){0,80}(?:0[xX]|\\x)?"
+_LETTERS = re.compile(rf"(?:{_STEP})?([A-Za-z0-9+/_-]+)")
+_HEX_STEP = r"(?:[\"'](?:\s|[,+.\\()])*+[\"']|[:,\s-]|\\[rn]){0,80}(?:0[xX]|\\x)?"
 _HEX_KEY = re.compile(rf"(?:(?<![0-9A-Za-z])|(?<=0[xX])|(?<=\\x))(?:30|6[fF](?={_HEX_STEP}70{_HEX_STEP}65))(?={_HEX_STEP}[0-9A-Fa-f]{{2}})")
-_BYTE = re.compile(rf"{_HEX_STEP}([0-9A-Fa-f]{{2}})")
+_BYTES = re.compile(rf"{_HEX_STEP}((?:[0-9A-Fa-f]{{2}})+)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
-def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The DER elements that fill ``data`` exactly, or None where a length does not fit."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data) or data[at] & 0x1F == 0x1F:
+#: A key's sequences have at most ten parts (RFC 8017, 5958 and 5915).
+MOST_PARTS = 10
+
+
+def _parts(data, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The DER elements that fill ``data[at:end]`` exactly, as (tag, from, to), or None where a length does not fit.
+
+    Only the heads of elements are read, so a long key costs no more than a short one.
+    """
+    out = []
+    while at < end:
+        head = data[at : min(end, at + 6)]
+        if len(head) < 2 or head[0] & 0x1F == 0x1F or len(out) == MOST_PARTS:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
+        size, at = head[1], at + 2
         if size >= 0x80:
             width = size & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data) or data[at] == 0:
+            if not 1 <= width <= 4 or 2 + width > len(head) or head[2] == 0:
                 return None
-            size = int.from_bytes(data[at : at + width], "big")
+            size = int.from_bytes(head[2 : 2 + width], "big")
             at += width
             if size < 0x80:
                 return None
-        if at + size > len(data):
+        if at + size > end:
             return None
-        out.append((tag, data[at : at + size]))
+        out.append((head[0], at, at + size))
         at += size
     return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether ``data`` is one DER sequence of the shape of a PKCS#1, PKCS#8 or EC private key."""
-    outer = _elements(data)
+def is_private_key(data, size: int | None = None) -> bool:
+    """Whether the first ``size`` bytes (all, if not given) are one DER sequence of the shape of a PKCS#1, PKCS#8 or EC private key."""
+    outer = _parts(data, 0, len(data) if size is None else size)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
-    parts = _elements(outer[0][1])
+    parts = _parts(data, *outer[0][1:])
     if not parts or len(parts) < 2:
         return False
-    tags = [t for t, _ in parts]
-    version = parts[0][1] if tags[0] == 0x02 else None
+    tags = [t for t, _, _ in parts]
+    first, second = parts[0][1:], parts[1][1:]
+    version = data[first[0] : first[1]] if tags[0] == 0x02 and first[1] - first[0] == 1 else None
     if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\x00", b"\x01"):  # PKCS#8
-        algorithm = _elements(parts[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and len(parts[2][1]) > 0
+        algorithm = _parts(data, *second)
+        return bool(algorithm) and algorithm[0][0] == 0x06 and parts[2][1] < parts[2][2]
     if len(tags) >= 9 and set(tags[:9]) == {0x02} and version in (b"\x00", b"\x01"):  # PKCS#1
-        return all(v for _, v in parts[:9])
-    if tags[:2] == [0x02, 0x04] and version == b"\x01" and 16 <= len(parts[1][1]) <= 66:  # EC
-        return all(t in (0xA0, 0xA1) and _elements(v) is not None for t, v in parts[2:])
+        return all(a < b for _, a, b in parts[:9])
+    if tags[:2] == [0x02, 0x04] and version == b"\x01" and 16 <= second[1] - second[0] <= 66:  # EC
+        return all(t in (0xA0, 0xA1) and _parts(data, a, b) is not None for t, a, b in parts[2:])
     if tags == [0x30, 0x04]:  # encrypted PKCS#8
-        algorithm = _elements(parts[0][1])
+        algorithm = _parts(data, *first)
         return bool(algorithm) and algorithm[0][0] == 0x06
     return False
 
@@ -105,20 +119,19 @@ def is_ssh_key(data: bytes) -> bool:
     return _ssh_end(data) == len(data)
 
 
-def _ssh_end(data: bytes) -> int | None:
+def _ssh_end(data) -> int | None:
     """Where an OpenSSH private key at the beginning of ``data`` ends, or None."""
-    if not data.startswith(_SSH_MAGIC):
-        return None
     at = len(_SSH_MAGIC)
+    if data[:at] != _SSH_MAGIC:
+        return None
 
-    def field() -> bytes | None:
+    def field() -> int | None:
         nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 > len(data) or at + 4 + size > len(data):
+        if at + 4 + size > len(data):
             return None
-        got = data[at + 4 : at + 4 + size]
         at += 4 + size
-        return got
+        return size
 
     cipher, kdf, options = field(), field(), field()
     if None in (cipher, kdf, options) or not cipher or not kdf:
@@ -128,14 +141,15 @@ def _ssh_end(data: bytes) -> int | None:
     return at if 1 <= count <= 16 and all(field() is not None for _ in range(count + 1)) else None
 
 
-def _key_end(data: bytes) -> int | None:
+def _key_end(data) -> int | None:
     """Where the key at the beginning of ``data`` ends by its own lengths, or None."""
-    if data[:1] != b"\x30":
+    head = data[:6]
+    if head[:1] != b"\x30":
         return _ssh_end(data)
-    size, at = (data[1] if len(data) > 1 else 0), 2
+    size, at = (head[1] if len(head) > 1 else 0), 2
     if size >= 0x80:
         at = 2 + (size & 0x7F)
-        size = int.from_bytes(data[2:at], "big") if 2 < at <= 6 else 0
+        size = int.from_bytes(head[2:at], "big") if 2 < at <= 6 else 0
     return at + size if size and at + size <= len(data) else None
 
 
@@ -172,57 +186,102 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_private_key(data) else "ssh" if is_ssh_key(data) else None
 
 
-def _needed(head: bytes) -> int:
-    """How many bytes to read of what begins so: none where no key does, all for an OpenSSH key."""
-    if head[:1] != b"\x30":
-        return 1 << 40 if _SSH_MAGIC.startswith(head[: len(_SSH_MAGIC)]) else 0
-    at = 2 + (head[1] & 0x7F if head[1] >= 0x80 else 0)
-    size = head[1] if at == 2 else int.from_bytes(head[2:at], "big")
-    if at > 6:
-        return 0
-    # a version, or the algorithm's sequence with its object identifier, as is_private_key asks for
-    name = at + 2 + (head[at + 1] & 0x7F if head[at + 1] >= 0x80 else 0)
-    version = head[at : at + 3] in (b"\x02\x01\x00", b"\x02\x01\x01")
-    return at + size if version or (head[at] == 0x30 and head[name : name + 1] in (b"\x06", b"")) else 0
-
-
-def _units(text: str, at: int, unit: re.Pattern, head: int, needed) -> tuple[list[str], list[int]]:
-    """Letters or bytes from ``at`` on and where each ends; after ``head`` of them, as many as ``needed`` says."""
-    got, ends, most = [], [], head
-    while len(got) < most and (m := unit.match(text, at)):
-        at = m.end()
-        got.append(m[1])
-        ends.append(at)
-        if len(got) == head:
-            most = needed("".join(got))
-    return got, ends
-
-
-def _base64_span(text: str, begin: int) -> tuple[int, str, int] | None:
-    """The key whose base64 begins here, wrapped or not."""
-    got, ends = _units(text, begin, _LETTER, 16, lambda h: -(-_needed(_decoded(h, True)) * 4 // 3))
-    letters = "".join(got)
-    data = _decoded(letters[: len(letters) - (len(letters) % 4 == 1)], True) or b""
+class _Letters:
+    """The bytes of base64 letters (a byte in 4/3 of them) from one on; slices decode what they need."""
+
+    def __init__(self, letters: str, begin: int):
+        self.letters, self.begin = letters, begin
+        self.n = (len(letters) - begin) * 3 // 4
+        self.head = b""
+        self.head = self[:48]  # most slices lie in it
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b, _ = part.indices(self.n)
+        if b <= len(self.head):
+            return self.head[a:b]
+        if a >= b:
+            return b""
+        skip = a // 3
+        letters = self.letters[self.begin + 4 * skip : self.begin + -(-4 * b // 3)]
+        return _decoded(letters, True)[a - 3 * skip : b - 3 * skip]
+
+
+class _Digits:
+    """The bytes of hex digits from one on."""
+
+    def __init__(self, digits: str, begin: int):
+        self.digits, self.begin = digits, begin
+
+    def __len__(self) -> int:
+        return (len(self.digits) - self.begin) // 2
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b, _ = part.indices(len(self))
+        return bytes.fromhex(self.digits[self.begin + 2 * a : self.begin + 2 * b])
+
+
+class _Chain:
+    """Letters or digits parted by nothing but steps, joined once for all keys that begin among them."""
+
+    def __init__(self, text: str, piece: re.Pattern):
+        self.text, self.piece = text, piece
+        self.starts: list[int] = []
+        self.upto = -1
+
+    def at(self, begin: int) -> int:
+        """The place among the joined letters of the one at ``begin`` of the text."""
+        if not self.starts or begin >= self.upto:
+            self.starts, self.firsts, parts, n, end = [], [], [], 0, begin
+            while m := self.piece.match(self.text, end):
+                self.starts.append(m.start(1))
+                self.firsts.append(n)
+                parts.append(m[1])
+                n, end = n + len(m[1]), m.end()
+            self.upto, self.letters = end, "".join(parts)
+        j = bisect_right(self.starts, begin) - 1
+        return self.firsts[j] + begin - self.starts[j]
+
+    def end(self, last: int) -> int:
+        """Where in the text the letter at that place ends."""
+        j = bisect_right(self.firsts, last) - 1
+        return self.starts[j] + last - self.firsts[j] + 1
+
+
+def _kind_at(data) -> tuple[str, int] | None:
+    """The kind and the size of the key that ``data`` begins with."""
     size = _key_end(data)
-    kind = _key_kind(data[:size]) if size else None
-    if not kind:
+    if not size:
         return None
+    if data[:1] == b"\x30":
+        return ("der", size) if is_private_key(data, size) else None
+    return "ssh", size
+
+
+def _base64_span(chain: _Chain, begin: int) -> tuple[int, str, int] | None:
+    """The key whose base64 begins here, wrapped or not."""
+    text, at = chain.text, chain.at(begin)
+    got = _kind_at(_Letters(chain.letters, at))
+    if not got:
+        return None
+    kind, size = got
     n = -(-size * 4 // 3)
-    end, padding = ends[n - 1], -n % 4
+    end, padding = chain.end(at + n - 1), -n % 4
     if end < len(text) and re.match(r"[A-Za-z0-9+/_-]", text[end]):  # goes on: not this key
         return None
     return begin, kind, end + padding if padding and text[end : end + padding] == "=" * padding else end
 
 
-def _hex_span(text: str, begin: int) -> tuple[int, str, int] | None:
+def _hex_span(chain: _Chain, begin: int) -> tuple[int, str, int] | None:
     """The key whose hex begins here, parted or not."""
-    got, ends = _units(text, begin, _BYTE, 15, lambda h: _needed(bytes.fromhex(h)))
-    data = bytes.fromhex("".join(got))
-    size = _key_end(data)
-    kind = _key_kind(data[:size]) if size else None
-    if not kind:
+    text, at = chain.text, chain.at(begin)
+    got = _kind_at(_Digits(chain.letters, at))
+    if not got:
         return None
-    end = ends[size - 1]
+    kind, size = got
+    end = chain.end(at + 2 * size - 1)
     if end < len(text) and text[end].isascii() and text[end].isalnum():
         return None
     return begin - 2 if text[max(0, begin - 2) : begin].lower() in ("0x", "\\x") else begin, kind, end
@@ -241,17 +300,20 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             body = re.sub(r"\\[nr]|\s", "", m[3])
-            sealed = _ENCRYPTED.search(m[2]) and _decoded(body)
+            head = _SEALED.search(m[2])
+            sealed = head and _CIPHER.search(m[2], head.end()) and _decoded(body)
             if kind := "der" if sealed else _key_kind(_decoded(body)):
                 out.append((m.start(), kind, m.end()))
                 blocks.append(m.span())
-    for pattern, span in ((_BASE64, _base64_span), (_HEX_KEY, _hex_span)):
-        at = 0
+    begins = [a for a, _ in blocks]
+    for pattern, span, piece in ((_BASE64, _base64_span, _LETTERS), (_HEX_KEY, _hex_span, _BYTES)):
+        at, chain = 0, _Chain(text, piece)
         while m := pattern.search(text, at):
             at = m.start() + 1
-            if any(a <= m.start() < b for a, b in blocks):
+            inside = bisect_right(begins, m.start())
+            if inside and m.start() < blocks[inside - 1][1]:
                 continue
-            if got := span(text, m.start()):
+            if got := span(chain, m.start()):
                 out.append(got)
                 at = got[2]
     if ".ey" in text:

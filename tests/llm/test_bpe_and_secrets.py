@@ -3,9 +3,11 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 from odd import TEXTS, counted, no_documents, odd_documents
 from tokenizers import Tokenizer
 
@@ -173,3 +175,40 @@ def test_keys_in_other_clothes():
     sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF\n\n" + lines(b64(bytes(range(7, 207)))) + "\n-----END RSA PRIVATE KEY-----"
     assert S.confirmed_spans(f"a {sealed} b") == [(2, "der", 2 + len(sealed))]
     assert S.confirmed_spans(sealed.replace("DEK-Info", "Other")) == []
+
+
+def hostile():
+    """Texts of a million characters each, made to send a pattern or a key's reader back over what it has passed."""
+    ssh, many = b64(SSH)[:28], 1_000_000
+    long = b64(b"\x30\x83\x07\x00\x00\x02\x01\x00\x30\x83\x06\x00\x00\x06\x00")
+    yield "line ends after a head", b64(RSA)[:16] + "\n" * many + "!"
+    yield "blanks after a head", b64(RSA)[:16] + " " * many + "!"
+    yield "a quote after a head", b64(RSA)[:16] + '"' + " " * many + "!"
+    yield "many heads", (b64(RSA)[:16] + "\n") * (many // 17)
+    yield "many long heads", (long + "\n") * (many // (len(long) + 1))
+    yield "many heads of the other kind", (ssh + "\n") * (many // 29)
+    yield "heads in hex", "308307000002010030830600000600 " * (many // 31)
+    yield "a hex head and quotes", '30"' + " " * many
+    yield "begins in headers", "-----BEGIN PRIVATE KEY-----\n" + "A:-----BEGIN PRIVATE KEY-----\n" * (many // 30)
+    yield "headers of encryption", "-----BEGIN PRIVATE KEY-----\n" + "Proc-Type: 4,ENCRYPTED\n" * (many // 23) + "A" * 20 + "-----END PRIVATE KEY-----"
+    yield "half of a block", "-----BEGIN PRIVATE KEY-----" + "A \n" * (many // 3)
+    yield "token heads", "eyAAAAAAAAAA." * (many // 13)
+    yield "assignments without end", "token " * (many // 6) + "=" * 9
+
+
+@pytest.mark.parametrize("name,text", list(hostile()), ids=lambda v: v if len(v) < 40 else "")
+def test_hostile_texts_take_linear_time(name, text):
+    began = time.process_time()
+    S.spans(text)
+    assert time.process_time() - began < 4, name
+
+
+def test_keys_after_false_heads_are_found():
+    key = b64(PKCS8)
+    text = (b64(RSA)[:16] + "\n") * 3 + lines(key, 40) + " end"
+    at = text.index(key[:40])
+    assert S.confirmed_spans(text) == [(at, "der", len(text) - 4)]
+    parted = "30 83 07 00 00 02 01 00 " + " ".join(PKCS8.hex()[i : i + 2] for i in range(0, 2 * len(PKCS8), 2)) + " zz"
+    assert (24, "der", len(parted) - 3) in S.confirmed_spans(parted)
+    inner = "-----BEGIN PRIVATE KEY-----\nA:-----BEGIN PRIVATE KEY-----\n" + lines(key) + "\n-----END PRIVATE KEY-----"
+    assert [s[1:] for s in S.confirmed_spans(inner)] == [("der", len(inner))]
