@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, cut, map_rows, remove_folder, shared_folder, ship
 from .components import stars
-from .simhash import SEED, BKTree, majority_bits, one_row_each
+from .simhash import SEED, BKTree, majority_bits, one_row_each, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,16 +55,7 @@ _STEP = 2048
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """The hashes of the word shingles of a whole text, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = [0, *(ends[:-width] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], np.uint64)
+    return np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, width)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -19,6 +19,7 @@ the smallest key that is not null, and is null where a component has none. An em
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,26 +41,60 @@ RADIUS = 3
 SHARD_LIMIT = 1024
 #: Bits of a fingerprint below which a shard is not split: it has a few hundred distinct members at most.
 LEAST_BITS = 9
+#: Characters of a text whose shingles are hashed at a time.
+BLOCK = 1 << 20
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The unsigned hashes of a text's shingles, repeats included, in blocks of some ``BLOCK`` characters.
+
+    Blocks end at blanks and carry the words that the next one's first shingles need, so that beside the text no more than
+    a block (or a longer word) is held.
+    """
+    text, digest = text or "", xxhash.xxh64_intdigest
+    words: list[bytes] = []
+    at, any_yet = 0, False
+    while at < len(text):
+        blank = _BLANK.search(text, at + BLOCK)
+        end = blank.start() if blank else len(text)
+        words += text[at:end].encode("utf-8", "surrogatepass").lower().split()
+        at = end
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = [0, *(ends[: len(words) - width] + 1).tolist()]
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], np.uint64)
+        words, any_yet = words[len(words) - width + 1 :], True
+    if words and not any_yet:
+        yield np.array([digest(b" ".join(words), SEED)], np.uint64)
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The unsigned fingerprint of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = [0, *(ends[: -width] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return majority_bits(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], np.uint64))
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        counts += _bit_counts(hashes)
+        n += len(hashes)
+    return _over_half(counts, n)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # each hash takes 64 bytes there
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def _over_half(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
 def majority_bits(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes; zero where there is none."""
-    set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes(), "little")
+    return _over_half(_bit_counts(hashes), len(hashes))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", keep: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pytest
 import xxhash
 from odd import TEXTS, counted, no_documents, odd_documents
 from pyspark.sql import functions as F
@@ -61,6 +64,26 @@ def test_fingerprints():
             assert H.fingerprint(t) == brute_fingerprint(t)
 
 
+@pytest.mark.parametrize("block", [1, 5, 64])
+def test_blocks_of_a_text_give_the_whole_fingerprint(monkeypatch, block):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["A", "b", "Éa", "x\x85y", "long" * 9, "", "\n\t"]) for _ in range(rng.randrange(40))) for _ in range(200)] + [" ", "  a", "a  "]
+    want = [(H.fingerprint(t), np.concatenate([np.empty(0, np.uint64), *H.shingle_hashes(t, 5)]).tolist()) for t in texts]
+    assert all(f == brute_fingerprint(t) for t, (f, _) in zip(texts, want))
+    monkeypatch.setattr(H, "BLOCK", block)
+    assert [(H.fingerprint(t), np.concatenate([np.empty(0, np.uint64), *H.shingle_hashes(t, 5)]).tolist()) for t in texts] == want
+
+
+def test_bits_are_counted_in_bounded_memory():
+    hashes = np.random.default_rng(6).integers(0, 1 << 63, 1 << 19).astype(np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
+    tracemalloc.start()
+    got = H.majority_bits(hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and peak < 12 << 20  # all bits at once would take 32 MB
+
+
 def test_tree_finds_all_within_the_radius():
     values = list(clustered(1, 40, 12))
     tree = H.BKTree()
