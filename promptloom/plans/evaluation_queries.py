@@ -10,6 +10,9 @@ from ..operators import evaluate as E
 from ..operators import select as S
 from ..operators.rank import first_of, numbered
 from ..sources.fixtures import EVALUATIONS_SQL, TRIALS_SQL, evaluations, named, table, trials
+from ..sources.storage import cut, remove_folder, shared_folder
+from ..streaming.outcomes import stream, write_once
+from ..streaming.racing import racing_stops
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +60,19 @@ def _(s, d):
     return E.racing(trials(s, d), 0.75, batch=8)
 
 
+@query("racing_stream", _RACE + ", st as (select record_id, min(n) filter (n >= 10 and score + sqrt(ln(2.0 / 0.05) / (2 * n)) < 0.75) as stop_n from r group by record_id) select record_id, stop_n from st where stop_n is not null", "trials")
+def _(s, d):
+    made = trials(s, d).select("record_id", "n", "correct")
+    folder = shared_folder(s, "racing")
+    try:
+        made.repartition(8, F.xxhash64("record_id", "n")).write.parquet(f"{folder}/in")  # so outcomes arrive in no order
+        stops = racing_stops(stream(s, f"{folder}/in", made.schema, files=3), 0.75)
+        write_once(stops, f"{folder}/out", f"{folder}/progress").awaitTermination()
+        return cut(s.read.schema("record_id long, stop_n long").parquet(f"{folder}/out"))
+    finally:
+        remove_folder(s, folder)
+
+
 @query("racing_outcome", _RACE + """, st as (select record_id, min(n) filter (n >= 10 and score + sqrt(ln(2.0 / 0.05) / (2 * n)) < 0.75) as stop_n from r group by record_id)
 select record_id, count(*) as evaluated, cast(sum(correct) as bigint) as num_correct, bool_or(stop_n is not null) as terminated from trials join st using (record_id) where stop_n is null or n <= stop_n group by record_id""", "trials")
 def _(s, d):

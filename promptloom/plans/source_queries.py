@@ -165,3 +165,94 @@ def _(s, d):
     n = F.col("item_id").cast("string")
     plain = F.concat(F.lit('[{"input": "'), n, F.lit('"}]'))
     return table(s, d, "benchmark").select("item_id", D.unpacked(F.when(F.col("item_id") % 2 == 0, plain).otherwise("not a stream")).alias("cases"))
+
+
+def _object_file(rows: DataFrame, field: str, *columns: str) -> Callable[[str], None]:
+    """Writes a small table as one JSON object that holds it under ``field``."""
+    return lambda folder: rows.agg(F.to_json(F.struct(F.collect_list(F.struct(*columns)).alias(field))).alias("value")).coalesce(1).write.text(folder)
+
+
+@query("bbh_samples", "select 'bbh/navigate' as dataset, text as input, case when item_id % 2 = 0 then 'Yes' else 'No' end as target from benchmark where length(text) > 0")
+def _(s, d):
+    items = table(s, d, "benchmark").select(F.col("text").alias("input"), F.when(F.col("item_id") % 2 == 0, "Yes").otherwise("No").alias("target"))
+    return read_again(s, "bbh", _object_file(items, "examples", "input", "target"), lambda f: D.load_dataset(s, "BBH", f, task="navigate")).select("dataset", "input", "target")
+
+
+@query("livebench_math_samples", "select text as input, 'x^' || item_id as target from benchmark where item_id % 3 = 1 and length(text) > 0")
+def _(s, d):
+    n = F.col("item_id")
+    items = table(s, d, "benchmark").select(F.array("text", F.lit("and then?")).alias("turns"), F.concat(F.lit("x^"), n).alias("ground_truth"), F.when(n % 3 == 1, "AMPS_Hard").otherwise("olympiad").alias("task"))
+    return read_again(s, "livebench", _array_file(items, "turns", "ground_truth", "task"), lambda f: D.load_dataset(s, "livebench/math", f, task="AMPS_Hard")).select("input", "target")
+
+
+@query("svamp_samples", "select concat_ws(' ', text, 'How many?') as input, case when item_id % 2 = 0 then cast(item_id as varchar) else item_id || '.5' end as target from benchmark")
+def _(s, d):
+    n = F.col("item_id")
+    items = table(s, d, "benchmark").select(F.col("text").alias("Body"), F.lit("How many?").alias("Question"), (n + F.when(n % 2 == 0, 0.0).otherwise(0.5)).alias("Answer"))
+    return read_again(s, "svamp", _array_file(items, "Body", "Question", "Answer"), lambda f: D.load_dataset(s, "svamp", f)).select("input", "target")
+
+
+@query("humaneval_samples", "select 'def f' || item_id || '():' as input, case when item_id % 2 = 0 then null else 'f' || item_id end as entry_point, case when item_id % 2 = 0 then '    return ' || item_id end as solution from benchmark")
+def _(s, d):
+    n = F.col("item_id")
+    items = table(s, d, "benchmark").select(
+        F.concat(F.lit("def f"), n, F.lit("():")).alias("prompt"), F.lit("assert candidate()").alias("test"), F.concat(F.lit("f"), n).alias("entry_point"),
+        F.concat(F.lit("    return "), n).alias("canonical_solution"), F.when(n % 2 == 0, "train").otherwise("test").alias("split"),
+    )
+    read = read_again(s, "humaneval", _array_file(items, "prompt", "test", "entry_point", "canonical_solution", "split"), lambda f: D.load_dataset(s, "HumanEval", f))
+    train = F.col("split") == "train"
+    return read.select("input", F.when(~train, F.get_json_object("target", "$.entry_point")).alias("entry_point"), F.when(train, F.col("target")).alias("solution"))
+
+
+@query("livebench_coding_samples", "select text as input, cast(1 + case item_id % 3 when 2 then 0 else 1 end as integer) as cases, case item_id % 3 when 2 then null else 'p' || item_id end as private_input from benchmark where length(text) > 0")
+def _(s, d):
+    @F.pandas_udf("string")
+    def packed(plain):  # as the files hold them: base64 of a zlib stream of a pickled text
+        import base64
+        import pickle
+        import zlib
+
+        return plain.map(lambda t: base64.b64encode(zlib.compress(pickle.dumps(t))).decode())
+
+    n = F.col("item_id")
+    case = lambda text: F.to_json(F.array(F.struct(text.alias("input"), F.lit("1").alias("output"), F.lit("stdin").alias("testtype"))))
+    private = case(F.concat(F.lit("p"), n))
+    items = table(s, d, "benchmark").select(
+        F.col("text").alias("question_content"), case(F.concat(F.lit("q"), n)).alias("public_test_cases"),
+        F.when(n % 3 == 0, private).when(n % 3 == 1, packed(private)).otherwise("no stream").alias("private_test_cases"),
+    )
+    read = read_again(s, "coding", _array_file(items, "question_content", "public_test_cases", "private_test_cases"), lambda f: D.load_dataset(s, "livebench_coding", f))
+    cases = F.from_json(F.get_json_object("target", "$.test_cases"), "array<struct<input:string>>")
+    return read.select("input", F.size(cases).alias("cases"), F.get(cases, F.lit(1))["input"].alias("private_input"))
+
+
+@query("result_tree_since", with_runs("select 'past' as since, method, count(*) as runs from runs group by method"))
+def _(s, d):
+    made = runs(s, d).select("model", "method", "task", "seed", F.col("best_dev").alias("best_score"), "test_score", "calls", F.col("tokens").cast("long").alias("tokens"))
+
+    def read(folder):
+        since = {"past": "2000-01-01T00:00:00", "future": "2900-01-01T00:00:00"}
+        past, future = (R.read_results(s, folder, modified_after=at).groupBy(F.lit(name).alias("since"), "method").agg(F.count("*").alias("runs")) for name, at in since.items())
+        return past.unionByName(future)
+
+    return read_again(s, "since", lambda f: R.write_results(made, f), read)
+
+
+@query("benchmark_summary", with_runs("select model, method, task, seed, method || repeat('x', 200 - length(method)) as best_prompt, best_dev as best_score, test_score from runs"))
+def _(s, d):
+    made = runs(s, d).withColumns({"best_prompt": F.concat("method", F.repeat(F.lit("x"), F.lit(300))), "best_score": F.col("best_dev")})
+    return R.summary(made)
+
+
+@query("sweep_upserted", with_runs("select model, method, task, seed, case when seed % 2 = 0 then calls + 1000 else calls end as calls, case when seed % 2 = 0 then 'again' else 'first' end as written from runs"))
+def _(s, d):
+    keys = ["model", "method", "task", "seed"]
+    first = runs(s, d).select(*keys, "calls", F.lit("first").alias("written"))
+    again = runs(s, d).where("seed % 2 = 0").select(*keys, (F.col("calls") + 1000).alias("calls"), F.lit("again").alias("written"))
+
+    def write(folder):
+        R.upsert(first, folder, keys)
+        for _ in range(2):  # half of the cells come again, and the sweep is resumed once
+            R.upsert(again.unionByName(again.withColumn("calls", F.col("calls") - 500)), folder, keys, newest="calls")
+
+    return read_again(s, "sweep", write, lambda f: R.read_keyed(s, f))

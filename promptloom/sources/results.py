@@ -156,3 +156,35 @@ def summary(results: DataFrame) -> DataFrame:
 def not_done(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of a sweep without a result."""
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def upsert(rows: DataFrame, path: str, keys: list[str], newest: str | None = None, buckets: int = 64) -> None:
+    """Put ``rows`` into the keyed table at ``path``: of rows with a key that is there already, the new ones win.
+
+    The table is Parquet in folders of a hash of the key (``bucket``). Only buckets that get rows are read and written again, by
+    dynamic partition overwrite, and files are replaced when the job commits, so a lost executor costs its tasks only, and
+    the same call made again changes nothing. Of new rows with one key the greatest by ``newest`` stays (null least), then by the other
+    columns in their order. Null keys are keys. The number of buckets must stay that of the first call.
+    """
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c not in keys]
+    order = [newest] if newest else []
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    latest = new.groupBy("bucket", *keys).agg(F.max(F.struct(*order, *(F.col(c).alias(f"_{c}") for c in rest))).alias("_r"))
+    merged = latest.select(*keys, *(F.col(f"_r._{c}").alias(c) for c in rest), "bucket")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        touched = F.broadcast(new.select("bucket").distinct())  # at most ``buckets`` rows
+        old = spark.read.schema(merged.schema).parquet(path).join(touched, "bucket", "left_semi")
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in ("bucket", *keys)]
+        condition = same[0]
+        for c in same[1:]:
+            condition = condition & c
+        kept = old.alias("o").join(merged.alias("n"), condition, "left_anti").select(*merged.columns)
+        merged = kept.unionByName(merged)
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``upsert`` keeps."""
+    return spark.read.parquet(path).drop("bucket")

@@ -1,10 +1,14 @@
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
 from promptloom import cli
 from promptloom.operators import select as S
+from promptloom.sources import results as R
 from promptloom.streaming import outcomes as O
+from promptloom.streaming.racing import advanced
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
@@ -35,3 +39,28 @@ def test_weighted_sample(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 10, 1000.0).when(F.col("id") < 900, 1.0).otherwise(0.0).alias("w"))
     got = {r["id"] for r in S.weighted_sample(df, "w", 10, "id", 1).collect()}
     assert len(got) == 10 and len([i for i in got if i < 10]) >= 6 and not any(i >= 900 for i in got)
+
+
+def test_races_end_alike_in_any_order():
+    rng = random.Random(3)
+    for _ in range(60):
+        outcomes = {n: float(rng.random() < 0.5) for n in range(1, 60)}
+        right, want = 0.0, None
+        for n, c in outcomes.items():
+            right += c
+            if want is None and n >= 10 and right / n + math.sqrt(math.log(40) / (2 * n)) < 0.75:
+                want = n
+        order = rng.sample(sorted(outcomes), 59)
+        state = (1, 0.0, None, [], [])
+        for at in range(0, 59, 7):  # batches share two outcomes each
+            state = advanced(state, {n: outcomes[n] for n in order[at : at + 9]}, 0.75, 10, 0.05)
+        assert state[2] == want
+
+
+def test_upsert_keeps_other_rows_and_null_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    R.upsert(spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 3.0)], "k int, v double"), path, ["k"], buckets=2)
+    R.upsert(spark.createDataFrame([(None, 4.0), (2, None), (2, 1.0), (5, 9.0)], "k int, v double"), path, ["k"], newest="v", buckets=2)
+    assert {(r["k"], r["v"]) for r in R.read_keyed(spark, path).collect()} == {(1, 1.0), (2, 1.0), (None, 4.0), (5, 9.0)}
+    R.upsert(spark.createDataFrame([], "k int, v double"), path, ["k"], buckets=2)
+    assert R.read_keyed(spark, path).count() == 4
