@@ -15,6 +15,7 @@ from ..sources import legacy as L
 from ..sources import results as R
 from ..sources.fixtures import PROMPTS_SQL, named, prompts, runs, table, with_runs
 from ..sources.storage import cut, remove_folder, shared_folder
+from ..sources.tree_source import FORMAT, register
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -256,3 +257,13 @@ def _(s, d):
             R.upsert(again.unionByName(again.withColumn("calls", F.col("calls") - 500)), folder, keys, newest="calls")
 
     return read_again(s, "sweep", write, lambda f: R.read_keyed(s, f))
+
+
+@query("result_source", with_runs("""select model, method, task, seed, best_dev as best_score, nullif(test_score, 0) as test_score, method || ' on ' || task as best_prompt, calls, cast(tokens as bigint) as tokens
+from runs where seed in (select min(seed) from runs union select max(seed) from runs) and test_score > 0.3"""))
+def _(s, d):
+    register(s)
+    made = runs(s, d).select("model", "method", "task", "seed", F.col("best_dev").alias("best_score"), "test_score", F.concat_ws(" on ", "method", "task").alias("best_prompt"), "calls", F.col("tokens").cast("long").alias("tokens"))
+    ends = made.agg(F.min("seed").alias("a"), F.max("seed").alias("b")).first()
+    read = read_again(s, "source", lambda f: R.write_results(made, f), lambda f: s.read.format(FORMAT).load(f).where(F.col("seed").isin(ends["a"], ends["b"]) & (F.col("test_score") > 0.3)))
+    return read.select("model", "method", "task", "seed", "best_score", "test_score", "best_prompt", "calls", "tokens")

@@ -3,10 +3,12 @@ import math
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from promptloom import cli
 from promptloom.operators import select as S
 from promptloom.sources import results as R
+from promptloom.sources import tree_source as T
 from promptloom.streaming import outcomes as O
 from promptloom.streaming.racing import advanced
 
@@ -64,3 +66,26 @@ def test_upsert_keeps_other_rows_and_null_keys(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in R.read_keyed(spark, path).collect()} == {(1, 1.0), (2, 1.0), (None, 4.0), (5, 9.0)}
     R.upsert(spark.createDataFrame([], "k int, v double"), path, ["k"], buckets=2)
     assert R.read_keyed(spark, path).count() == 4
+
+
+def test_result_source_opens_only_the_cells_that_are_asked_for(spark, tmp_path):
+    for place, text in {
+        "m1/apex/navigate/seed_3/result_a.json": '{"best_score": 1, "test_score": 0, "llm_usage": {"total_calls": 4}}', "model=m%202/method=apex/task=x/seed=4/part-0.json": '{"test_score": 0.5}',
+        "evo/x/seed5/result_b.json": "no json", "evo/x/none/result_c.json": "[]", "evo/x/seed5/notes.json": "{}",
+    }.items():
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(text)
+    root = str(tmp_path)
+    T.register(spark)
+    rows = {tuple(r) for r in spark.read.format(T.FORMAT).load(root).collect()}
+    assert rows == {
+        ("m1", "apex", "navigate", 3, 1.0, None, None, 4, 0, None), ("m 2", "apex", "x", 4, None, 0.5, None, 0, 0, None),
+        ("default", "evo", "x", 5, None, None, None, 0, 0, "no json"), ("default", "evo", "x", None, None, None, None, 0, 0, "[]"),
+    }
+    reader = T.ResultReader(root, 1, "default")
+    left = list(reader.pushFilters([EqualTo(("method",), "apex"), In(("seed",), (4, 5)), GreaterThan(("test_score",), 0.1)]))
+    assert left == [GreaterThan(("test_score",), 0.1)] and [c for p in reader.partitions() for _, c in p.found] == [("m 2", "apex", "x", 4)]
+    some = spark.read.format(T.FORMAT).option("files", 1).load(root).where("method = 'evo' and seed = 5")
+    assert [r["load_error"] for r in some.collect()] == ["no json"]
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format(T.FORMAT).load(str(tmp_path / "empty")).count() == 0
