@@ -202,7 +202,7 @@ def _(s, d):
     return spread(prompts(s, d)).select("record_id", X.word_count(t).alias("words"), F.length(t).cast("bigint").alias("chars"), X.text_hash(t).alias("text_hash"))
 
 
-@query("sentence_count", r"select record_id, cast(len(list_filter(string_split(regexp_replace(" + _STRIP.format("text") + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: " + _STRIP.format("x") + r" <> '')) as integer) as sentences from prompts")
+@query("sentence_count", r"select record_id, cast(len(list_filter(string_split(regexp_replace(" + _STRIP.format("text") + r", '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: " + _STRIP.format("x") + r" <> '')) as integer) as sentences from prompts")
 def _(s, d):
     return spread(prompts(s, d)).select("record_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
@@ -268,7 +268,7 @@ def _(s, d):
     return packed.select("method", X.with_examples(F.lit("Name the language."), F.col("ex")).alias("prompt"))
 
 
-_SENTS = r"list_filter(string_split(regexp_replace(" + _STRIP.format("{0}") + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: " + _STRIP.format("x") + r" <> '')"
+_SENTS = r"list_filter(string_split(regexp_replace(" + _STRIP.format("{0}") + r", '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: " + _STRIP.format("x") + r" <> '')"
 
 
 @query("midpoint_crossover", "with p as (select c.record_id, c.text as a, p.text as b from prompts c join prompts p on p.record_id = c.parent_ids[1]), s as (select record_id, b, " + _SENTS.format("a") + " as sa, " + _SENTS.format("b") + " as sb from p) select record_id, sha256(" + _STRIP.format("array_to_string(list_slice(sa, 1, greatest(1, len(sa) // 2)), ' ') || ' ' || case when len(sb) > 1 then array_to_string(list_slice(sb, len(sb) // 2 + 1, len(sb)), ' ') else b end") + ") as child_hash from s")
@@ -493,3 +493,77 @@ def _(s, d):
     one, other = (F.replace(F.array(*(F.lit(p[i]) for p in _IDENTITIES))[k], F.lit("{n}"), n) for i in (0, 1))
     made = prompts(s, d).select("record_id", one.alias("x"), other.alias("y"))
     return made.select("record_id", same_expression(F.col("x"), F.col("y")).alias("same"))
+
+
+def _generation(s, d):
+    """One pull of each technique for each source of prompts; readings of events stand for what was tried."""
+    from ..search import techniques as T
+
+    p = prompts(s, d)
+    pools = T.members(p.select("method", "record_id", "text", "score"), ["method"])
+    picks = T.drawn(pools, F.array(*map(F.lit, T.TECHNIQUES)), ["method"], 7)
+    outcomes = table(s, d, "events").select(
+        (F.col("event_id") % 2000).alias("record_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("input"), F.lit("at least 75").alias("target"),
+        F.floor("value").cast("string").alias("reply"), (F.col("value") >= 75).cast("int").alias("correct"),
+    )
+    samples = T.shots(p.select("method", F.col("record_id").alias("sample_id"), F.left("text", F.lit(60)).alias("input"), F.col("operator").alias("target")), ["method"], 7)
+    return T.planned(picks, p.select("record_id", "text"), pools, outcomes, samples, ["method"])
+
+
+def _generation_sql() -> str:
+    """The drawn pulls with their requests as SQL: views up to ``asked``, and the stub's replies up to ``offspring``."""
+    from ..search import techniques as T
+
+    text = lambda x: "'" + x.replace("'", "''") + "'" if x else "null"
+    known = ", ".join(f"({text(n)}, {text(t.before)}, {text(t.request)}, '{t.take}')" for n, t in T.TECHNIQUES.items())
+    draw = lambda parts: f"cast('0x' || substr(sha256(concat_ws('|', {parts})), 1, 8) as bigint)"
+    pick = lambda options, at: f"case ({at}) % {len(options)} " + " ".join(f"when {i} then {text(o)}" for i, o in enumerate(options)) + " end"
+    listed = lambda order, where: f"(select method, case when count(*) > 1 then string_agg('- Score ' || printf('%.3f', score) || ': ' || left(text, {T.SHOWN_CHARACTERS}), chr(10) order by {order}) end as t from ranked where {where} group by method)"
+    cases = lambda ok, most: f"""(select record_id, string_agg('- Input: ' || input || chr(10) || '  Expected: at least 75' || chr(10) || '  Got: ' || reply, chr(10) order by seq) as t
+        from (select *, row_number() over (partition by record_id order by seq) as rn from outcomes where correct = {ok}) where rn <= {most} group by record_id)"""
+    fields = ("text", "second", "failures", "solved", "pairs", "leaders", "last", "best", "voice", "sentence", "field", "change", "section")
+
+    steps = lambda column: ", ".join(f"{column}_{i + 1} as (select * exclude ({column}), case when contains(t_{column}, '{{{n}}}') then replace({column}, '{{{n}}}', f_{n}) else {column} end as {column} from {column}_{i})" for i, n in enumerate(fields))
+    return f"""known(technique, t_before, t_request, take) as (values {known}),
+ranked as (select *, row_number() over (partition by method order by score desc, record_id) as place, row_number() over (partition by method order by record_id desc) as late from prompts where score is not null and coalesce(text, '') <> ''),
+sizes as (select method, count(*) as n from ranked group by method),
+draws as (select method, technique, t_before, t_request, take, n, {draw("coalesce(method, ''), technique, '7'")} as draw from sizes, known),
+firsts as (select *, draw % least(n, {T.FIRST_OF}) as a, least(n, {T.SECOND_OF}) as most from draws),
+places as (select *, (a + 1 + (draw // 64) % greatest(most - 1, 1)) % most as b from firsts),
+picked as (select places.*, x.record_id, x.text as f_text, case when n >= 2 then y.record_id end as second_id, case when n >= 2 then y.text end as f_second from places
+    join ranked x on x.method = places.method and x.place = a + 1 join ranked y on y.method = places.method and y.place = b + 1),
+outcomes as (select event_id % 2000 as record_id, event_id as seq, event_type as input, cast(cast(floor(value) as bigint) as varchar) as reply, cast(value >= 75 as integer) as correct from events),
+shown as (select method, string_agg('Input: ' || left(text, 60) || chr(10) || 'Output: {{"answer": "' || operator || '"}}', chr(10) order by o, record_id) as t
+    from (select *, row_number() over (partition by method order by o, record_id) as rn from (select *, {draw("cast(record_id as varchar), '7'")} as o from prompts)) where rn <= {T.SHOTS} group by method),
+cut as (select *, list_filter(string_split(regexp_replace(trim(f_text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') as pieces from picked),
+met as (select cut.*, f.t as f_failures, coalesce(k.t, 'none') as f_solved, shown.t as f_pairs, l.t as f_leaders, m.t as f_last, z.t as f_best, {pick(T.VOICES, "draw")} as f_voice,
+    pieces[cast(draw % greatest(len(pieces), 1) as integer) + 1] as f_sentence, {pick(X.FIELDS, "draw")} as f_field, {pick(T.CHANGES, "draw // 8")} as f_change,
+    case when not contains(lower(f_text), 'reasoning') then {text(T.SECTIONS[0])} when not contains(lower(f_text), 'error') then {text(T.SECTIONS[1])} end as f_section
+    from cut left join {cases(0, 5)} f using (record_id) left join {cases(1, 2)} k using (record_id) left join shown on shown.method = cut.method
+    left join {listed("place desc", f"place <= {T.LEADERS}")} l on l.method = cut.method left join {listed("late desc", f"late <= {T.LAST}")} m on m.method = cut.method left join {listed("place desc", f"place <= {T.BEST}")} z on z.method = cut.method),
+before_0 as (select *, t_before as before from met), {steps("before")},
+request_0 as (select *, t_request as request from before_{len(fields)}), {steps("request")},
+asked as (select * exclude (before), case when request is not null then before end as before from request_{len(fields)})"""
+
+
+@query("technique_requests", f"with {_generation_sql()} select method, technique, record_id, second_id, md5(case when t_before is null then request else before end) as request_md5 from asked")
+def _(s, d):
+    asked = _generation(s, d)
+    return asked.select("method", "technique", "record_id", "second_id", F.md5(F.coalesce("before", "request")).alias("request_md5"))
+
+
+@query("technique_offspring", f"""with {_generation_sql()},
+told as (select *, trim(regexp_replace(before, '(?s)^.*Instruction:', ''), ' ' || chr(9) || chr(10) || chr(13)) || ' Think about case ' || (cast('0x' || substr(sha256(before), 1, 16) as ubigint) % 1000) || '.' as told from asked),
+final as (select *, case when t_before is null then request else replace(request, '{{told}}', told) end as final from told),
+replied as (select *, ltrim(trim(regexp_replace(final, '(?s)^.*Instruction:', ''), ' ' || chr(9) || chr(10) || chr(13)) || ' Think about case ' || (cast('0x' || substr(sha256(final), 1, 16) as ubigint) % 1000) || '.') as reply from final),
+taken as (select *, instr(f_text, f_sentence) as s from replied)
+select method, technique, record_id, md5(case take when 'end' then trim(f_text, ' ' || chr(9) || chr(10) || chr(13)) || ' ' || reply when 'after' then left(f_text, s - 1) || f_sentence || ' ' || reply || substr(f_text, s + length(f_sentence))
+    when 'instead' then left(f_text, s - 1) || reply || substr(f_text, s + length(f_sentence)) else reply end) as child_md5,
+    cast(case when final is null then 0 when t_before is null then 1 else 2 end as integer) as calls from taken where t_request is not null""")
+def _(s, d):
+    from ..search import techniques as T
+    from ..search.client import StubClient
+
+    asking = [n for n, t in T.TECHNIQUES.items() if t.request]
+    made = T.offspring(_generation(s, d).where(F.col("technique").isin(asking)), StubClient)
+    return made.select("method", "technique", "record_id", F.md5("child").alias("child_md5"), "calls")

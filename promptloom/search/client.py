@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ class StubClient:
         out = []
         for p in prompts:
             h = int.from_bytes(hashlib.sha256(p.encode()).digest()[:8], "big")
-            if "rewrite this instruction" in p.lower():
-                out.append(f"{p.rsplit('Instruction:', 1)[-1].strip()} Think about case {h % 1000}.")
+            if "\nInstruction:" in p:
+                out.append(f"{p.rsplit('Instruction:', 1)[-1].strip()} Think about case {h % 1000}.".strip())
             else:
                 out.append(f"The answer is {self.answers[h % len(self.answers)]}.")
         return out
@@ -42,29 +42,35 @@ def retry_delay(attempt: int, retry_after: float | None = None, jitter: float =
 
 
 def generate(df: DataFrame, make: Callable[[], Client], prompt: str = "prompt", into: str = "reply") -> DataFrame:
-    """``df`` with the reply to each prompt. An empty reply is asked for once more.
+    """``df`` with the reply to each prompt. An empty reply is asked for once more; a null prompt is not asked, its reply is null.
 
     What a call uses is returned as columns, not counted in accumulators, which retried tasks would
     count twice.
     """
     ship(df.sparkSession)
-    columns = df.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` string", "calls int", "input_words long", "output_words long"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make()
         for batch in batches:
-            prompts = batch[prompt].tolist()
-            replies: list[str] = []
-            for i in range(0, len(prompts), BATCH):
-                replies += client.generate(prompts[i : i + BATCH])
-            again = [i for i, r in enumerate(replies) if not (r or "").strip()]
-            for i, r in zip(again, client.generate([prompts[i] for i in again]) if again else []):
-                replies[i] = r or ""
-            missed = set(again)
-            yield batch[columns].assign(**{into: replies, "calls": [2 if i in missed else 1 for i in range(len(prompts))], "input_words": [len(p.split()) for p in prompts], "output_words": [len(r.split()) for r in replies]})
-
-    return df.mapInPandas(run, schema)
+            prompts = batch.column(prompt).to_pylist()
+            replies: list[str | None] = [None] * len(prompts)
+            calls = [0] * len(prompts)
+
+            def ask(rows: list[int]) -> None:
+                for i in range(0, len(rows), BATCH):
+                    part = rows[i : i + BATCH]
+                    for k, r in zip(part, client.generate([prompts[k] for k in part])):
+                        replies[k] = r or ""
+                        calls[k] += 1
+
+            ask([k for k, p in enumerate(prompts) if p is not None])
+            ask([k for k, r in enumerate(replies) if r is not None and not r.strip()])
+            words = [pa.array([len((t or "").split()) for t in ts], pa.int64()) for ts in (prompts, replies)]
+            extra = [pa.array(replies, pa.string()), pa.array(calls, pa.int32()), *words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, into, "calls", "input_words", "output_words"])
+
+    return df.mapInArrow(run, schema)
 
 
 def usage(generated: DataFrame) -> DataFrame:

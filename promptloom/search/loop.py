@@ -21,8 +21,9 @@ from ..operators import evaluate as E
 from ..operators import select as S
 from ..plans.budget import Budget
 from ..sources.storage import cut
+from . import techniques as T
 from .client import Client, generate
-from .methods import ANALYSES, FAILURES, FREE, REWRITES, SERIES, Method
+from .methods import Method
 
 # Who is looked at for the last choice, and how often the leaders are asked what they were not asked yet.
 FINALISTS = 6
@@ -53,7 +54,6 @@ class Search:
         if method.holdout:  # some three rows of ten are kept for the last choice
             dev = dev.withColumn("split", F.when(F.conv(F.substring(place, 1, 4), 16, 10).cast("int") % 10 < 3, "holdout").otherwise("dev"))
         self.samples = cut(dev.unionByName(samples.where("split <> 'dev'")).select("sample_id", "split", "input", "target"))
-        self.train = self.samples.where("split = 'train'").orderBy("sample_id").limit(8).collect()
         self.records: list[dict] = []
         self.scores: dict[int, float] = {}
         self.pulls: list[tuple[str, float]] = []
@@ -176,12 +176,6 @@ class Search:
         most = len(self.pool) if self.method.choose == "tournament" else min(4, len(self.pool))
         return self.pool[self.random.randrange(most)]
 
-    def _series(self, operator: str) -> str:
-        """Prompts with their scores, the best last."""
-        which, most = SERIES[operator]
-        ids = [r["record_id"] for r in self._elite()[:most]][::-1] if which == "best" else sorted(self.scores)[-most:]
-        return "\n".join(f"- Score {self.scores[i]:.3f}: {self.records[i]['text'][:300]}" for i in ids)
-
     def _operators(self, generation: int) -> list[str]:
         if self.method.choose not in ("bandit", "tuned") or not self.pulls:
             return list(self.method.operators)
@@ -191,47 +185,24 @@ class Search:
         bounds = S.ucb1_tuned(known, generation) if self.method.choose == "tuned" else S.ucb1(known)
         return [r["arm"] for r in S.chosen_arms(bounds, "arm").orderBy("place").collect()]
 
-    def _free(self, operator: str, a: str, b: str) -> str:
-        """Operators that need no call, as the same columns that queries use."""
-        row = self.spark.createDataFrame([(a, b)], "a string, b string")
-        shots = self.random.sample(self.train, min(3, len(self.train)))
-        ex = F.array(*(X.exemplar(F.lit(self.task_type), F.lit(s["input"]), F.lit(s["target"])) for s in shots)) if shots else F.array().cast("array<string>")
-        made = {
-            "few_shot": X.with_examples(F.col("a"), ex), "format_constraint": X.format_constraint(F.col("a"), F.array(*(F.lit(s["target"]) for s in shots)) if shots else F.array().cast("array<string>")),
-            "grips_swap": X.swapped_sentences(F.col("a"), F.lit(self.random.randrange(1 << 20)), F.lit(self.random.randrange(1 << 20))),
-            "midpoint_crossover": X.midpoint_crossover(F.col("a"), F.col("b")), "grips_delete": X.without_sentence(F.col("a"), F.lit(self.random.randrange(1 << 20))),
-        }[operator]
-        return row.select(made.alias("t")).first()["t"] or ""
-
     def _offspring(self, generation: int) -> list[tuple[str, list[dict]]]:
-        """One pull of each operator: what it makes, new records only."""
-        wanted, free = [], []
+        """One pull of each operator: what it makes, new records only. One plan makes all texts of a generation."""
         self.pool = self._pool()
         self.covering = self._covering(self.pool) if self.method.choose == "pareto" else {}
-        for o in self._operators(generation):
+        picks = []
+        for i, o in enumerate(self._operators(generation)):
             a, b = self._parent(), self._parent()
-            if o in FREE:
-                free.append((o, self._free(o, a["text"], b["text"]), [a["record_id"], b["record_id"]]))
-                continue
-            shown = ""
-            if o in FAILURES and self.outcomes is not None:
-                failed = self.outcomes.where((F.col("record_id") == a["record_id"]) & (F.col("correct") == 0)).join(self.samples.select("sample_id", "input", "target"), "sample_id").orderBy("sample_id").limit(5)
-                shown = "\n".join(f"- Input: {r['i']}\n  Expected: {r['target']}\n  Got: {r['g']}" for r in failed.select(X.elide(F.col("input"), 300).alias("i"), "target", X.elide(F.col("reply"), 300, "tail").alias("g")).collect())
-            if o in SERIES:
-                shown = self._series(o)
-            wanted.append((o, f"{shown}\nSecond: {b['text']}\nInstruction: {a['text']}", [a["record_id"], b["record_id"]]))
-        told = self._ask({i: f"{ANALYSES[o]}\n{case}" for i, (o, case, _) in enumerate(wanted) if o in ANALYSES})
-        replies = self._ask({i: f"{REWRITES[o]}\n{told.get(i) or ''}\n{case}" for i, (o, case, _) in enumerate(wanted)})
-        made = free + [(o, replies[i], parents) for i, (o, _, parents) in enumerate(wanted)]
-        return [(o, [r] if (r := self._add(t, o, dict.fromkeys(ps), generation)) else []) for o, t, ps in made]
-
-    def _ask(self, prompts: dict[int, str]) -> dict[int, str]:
-        """The replies to some prompts, asked together."""
-        if not prompts:
-            return {}
-        replied = cut(generate(self.spark.createDataFrame(sorted(prompts.items()), "i int, prompt string"), self.make))
-        self._spend(replied)
-        return {r["i"]: r["reply"] for r in replied.select("i", "reply").collect()}
+            picks.append((i, o, a["record_id"], b["record_id"], self.random.randrange(1 << 32)))
+        if not picks:
+            return []
+        df = self.spark.createDataFrame(picks, "i int, technique string, record_id long, second_id long, draw long")
+        records = self.spark.createDataFrame([(r["record_id"], r["text"], self.scores.get(r["record_id"])) for r in self.records], "record_id long, text string, score double")
+        outcomes = self.outcomes.join(self.samples.select("sample_id", "input", "target"), "sample_id").withColumnRenamed("sample_id", "seq")
+        shots = T.shots(self.samples.where("split = 'train'"), [], generation, F.lit(self.task_type))
+        made = cut(T.offspring(T.planned(df, records, T.members(records, []), outcomes, shots), self.make))
+        self._spend(made)
+        children = {r["i"]: r["child"] for r in made.select("i", "child").collect()}
+        return [(o, [r] if (r := self._add(children.get(i), o, dict.fromkeys((a, b)), generation)) else []) for i, o, a, b, _ in picks]
 
     def _finalise(self) -> None:
         """Ask the leaders what is left of dev where they were asked parts only; others may lead then, so more than once."""

@@ -4,53 +4,6 @@ from __future__ import annotations
 
 import dataclasses
 
-# The operators of the methods, and what the generating ones ask for.
-REWRITES = {
-    "semantic_var": "Rewrite this instruction with the same meaning in other words.",
-    "local_edit": "Rewrite this instruction with one small improvement.",
-    "expert_refine": "Rewrite this instruction as an expert of the task would.",
-    "failure_guided": "Rewrite this instruction so that the failures shown would not occur.",
-    "structured_failure_guided": "Rewrite this instruction: diagnose the failures shown, then repair their cause.",
-    "reflective_mutation": "Rewrite this instruction after reflecting on the failures shown.",
-    "lamarckian": "Rewrite this instruction as what would produce the answers shown.",
-    "crossover": "Rewrite this instruction by combining it with the second one.",
-    "trajectory": "Rewrite this instruction to go on with the improvement over the series shown.",
-    "eda": "Rewrite this instruction in the spirit of the best ones shown.",
-    "role_assignment": "Rewrite this instruction to begin with a fitting role.",
-    "etgpo_taxonomy": "Rewrite this instruction against the kinds of error found.",
-    "facet_edit": "Rewrite this instruction by changing one facet only.",
-    "autohint": "Rewrite this instruction with a hint that the failures suggest.",
-    "instruction_expansion": "Rewrite this instruction with more helpful detail.",
-    "expert_persona": "Rewrite this instruction in the voice of an expert of the domain.",
-    "structural_variation": "Rewrite this instruction in another order or form.",
-    "constraint_addition": "Rewrite this instruction with one more useful constraint.",
-    "creative_backstory": "Rewrite this instruction with a short backstory that motivates the task.",
-    "task_decomposition": "Rewrite this instruction as steps that solve the task.",
-    "concise_optimization": "Rewrite this instruction as briefly as it can be said.",
-    "strago_dual": "Rewrite this instruction to mend what fails and keep what works.",
-    "multi_aspect_critique": "Rewrite this instruction after the critique shown.",
-    "trajectory_momentum": "Rewrite this instruction one step further in the direction of the last gains shown.",
-    "grips_add": "Rewrite this instruction with one sentence added.",
-    "grips_paraphrase": "Rewrite this instruction with one sentence paraphrased.",
-    "ampo_branch": "Rewrite this instruction with a branch for each kind of case that the failures show.",
-    "decompose_recompose": "Rewrite this instruction from the fields shown.",
-}
-# What the operators of two calls ask first; the reply is shown with the second request.
-ANALYSES = {
-    "reflective_mutation": "Say what in this instruction led to the failures shown.",
-    "etgpo_taxonomy": "Sort the failures shown into kinds of error.",
-    "strago_dual": "Say what in this instruction works and what leads to the failures shown.",
-    "multi_aspect_critique": "Criticise this instruction for clarity, completeness, reasoning and format.",
-    "autohint": "Say in one hint what the failures shown have in common.",
-    "ampo_branch": "Name the kinds of case that the failures shown belong to.",
-    "decompose_recompose": "Name this instruction's preamble, task_definition, output_spec, reasoning_guide and error_prevention, a line each.",
-}
-#: Operators that are shown a series of prompts with their scores: of the best, in rising order; of the last; the best alone.
-SERIES = {"trajectory": ("best", 8), "trajectory_momentum": ("last", 5), "eda": ("best", 5)}
-FREE = ("few_shot", "format_constraint", "midpoint_crossover", "grips_delete", "grips_swap")
-FAILURES = frozenset({"failure_guided", "structured_failure_guided", "reflective_mutation", "etgpo_taxonomy", "autohint", "lamarckian", "strago_dual", "ampo_branch"})
-
-
 @dataclasses.dataclass(frozen=True)
 class Method:
     """``choose``: elite, tournament (the best and winners of bouts), bandit (ucb1), tuned or pareto. ``gate``: a minibatch first. ``racing``: dev in parts, without

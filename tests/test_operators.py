@@ -14,6 +14,7 @@ from promptloom.operators import lineage as L
 from promptloom.operators import select as S
 from promptloom.operators.rank import front, rank_order, top_k
 from promptloom.plans.budget import Budget, BudgetExceeded, load_config, merged
+from promptloom.search import techniques
 from promptloom.search.client import StubClient, generate, retry_delay
 from promptloom.search.loop import Search
 from promptloom.search.methods import METHODS, method
@@ -224,7 +225,9 @@ def test_pool_has_the_best_and_winners_of_bouts(spark):
     s.outcomes = spark.createDataFrame([(i, 0, int(i == 2)) for i in range(8)], "record_id long, sample_id long, correct int")
     pool = [r["record_id"] for r in s._pool()]
     assert pool[0] == 7 and len(pool) == 3 == len(set(pool))
-    assert [line[:13] for line in s._series("eda").split("\n")] == [f"- Score 0.{i}00" for i in range(3, 8)]
+    known = spark.createDataFrame([(r["record_id"], r["text"], s.scores[r["record_id"]]) for r in s.records], "record_id long, text string, score double")
+    shown = techniques.members(known, []).select(techniques.series()["best"]).first()[0]
+    assert [line[:13] for line in shown.split("\n")] == [f"- Score 0.{i}00" for i in range(3, 8)]
 
 
 def test_retention_decides_who_is_admitted(spark):
