@@ -8,7 +8,7 @@ templates and ``noscript``, comments; what plugins, frames and players replace (
 chosen; ``hidden``, ``display:none`` and ``visibility:hidden``, in attributes or by style rules of the page
 whose selectors are a tag, classes and an id (others, and media other than screens, are not applied). It sets
 blocks apart, marks list items by bullets or numbers with their depth, keeps white space in ``pre``, and lays
-table cells out in columns. Columns in which no cell begins take no room; tables in more than eight others stand cell under cell.
+table cells out in columns. Columns in which no cell begins take no room; no more than 1,000 blanks align a cell; tables in more than eight others stand cell under cell.
 
 Defined results: a null or empty page has an empty text. Pages are read whole, unclosed or broken as
 they may be, in time that grows with their length; a tag that the page's end cuts off is dropped, as browsers do. Nesting
@@ -20,8 +20,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -57,6 +58,8 @@ PARTS = {
 BETWEEN_CELLS = frozenset("table tbody thead tfoot tr".split())
 KEPT_BETWEEN = frozenset("style script template".split())
 MOST_WIDE, MOST_HIGH = 1000, 65534
+#: Blanks that align a cell, at most: beyond it a line would grow with all columns before.
+MOST_GAP = 1000
 #: Tables within tables that are laid out in columns: each lays the lines of those in it anew.
 MOST_TABLES = 8
 
@@ -116,7 +119,9 @@ class _Builder:
         if here.tag in BETWEEN_CELLS and not part and not (isinstance(child, str) and child.isspace()) and (depth := self.nearest({"table"})):
             table = self.stack[depth]
             here = table.parent
-            at = next(i for i in range(len(here.children) - 1, -1, -1) if here.children[i] is table)  # at the end, but for tables around it
+            at = len(here.children) - self.opened["table"]  # it is last, but for the tables around it
+            if at < 0 or here.children[at] is not table:
+                at = next(i for i in range(len(here.children) - 1, -1, -1) if here.children[i] is table)
             here.children.insert(at, child)
         else:
             here.children.append(child)
@@ -381,6 +386,65 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(most, max(1, int(value[:9]))) if value.isascii() and value.isdigit() else 1
 
 
+class _Held:
+    """Columns that cells of earlier rows still take: pieces, each up to its row, and the runs that adjoining pieces make.
+
+    A piece is put in once and taken out once, so rows cost what changes in them, not what is held.
+    """
+
+    def __init__(self):
+        self.pieces: list[int] = []
+        self.of: dict[int, tuple[int, int]] = {}  # first column of a piece: column after it, row up to which it is held
+        self.due: list[tuple[int, int]] = []
+        self.first: list[int] = []
+        self.last: list[int] = []
+
+    def free_from(self, x: int) -> int:
+        """The first column from ``x`` on that is not taken."""
+        i = bisect_right(self.first, x) - 1
+        return max(x, self.last[i]) if i >= 0 else x
+
+    def release(self, y: int) -> None:
+        """Let go of what is held up to row ``y``."""
+        while self.due and self.due[0][0] <= y:
+            row, a = heappop(self.due)
+            if self.of.get(a, (0, 0))[1] != row:
+                continue  # was cut for a longer one
+            b, _ = self.of.pop(a)
+            del self.pieces[bisect_left(self.pieces, a)]
+            i = bisect_right(self.first, a) - 1
+            left, right = (self.first[i], a), (b, self.last[i])
+            rest = [r for r in (left, right) if r[0] < r[1]]
+            self.first[i : i + 1] = [r[0] for r in rest]
+            self.last[i : i + 1] = [r[1] for r in rest]
+
+    def _put(self, a: int, b: int, row: int) -> None:
+        if a < b:
+            self.pieces.insert(bisect_left(self.pieces, a), a)
+            self.of[a] = (b, row)
+            heappush(self.due, (row, a))
+
+    def take(self, a: int, b: int, row: int) -> None:
+        """Hold ``a`` to ``b`` up to ``row``; where columns are held already, the later row counts. ``a`` itself is free."""
+        at, i = a, bisect_left(self.pieces, a)
+        while i < len(self.pieces) and self.pieces[i] < b:
+            p = self.pieces[i]
+            end, until = self.of[p]
+            if until >= row:
+                self._put(at, p, row)
+                at = max(at, end)
+            else:
+                del self.pieces[i], self.of[p]
+                self._put(b, end, until)
+            i = bisect_left(self.pieces, max(p + 1, at))
+        self._put(at, b, row)
+        i, j = bisect_left(self.last, a), bisect_right(self.first, b)
+        if i < j:
+            a, b = min(a, self.first[i]), max(b, self.last[j - 1])
+        self.first[i:j] = [a]
+        self.last[i:j] = [b]
+
+
 class _Renderer:
     def __init__(self, root: Node):
         self.styles = Styles(root)
@@ -412,15 +476,12 @@ class _Renderer:
                 self.render(child, out, depth + 1, False, seen)  # captions
                 out.end()
         grid: list[list[tuple[int, int, list[str]]]] = []
-        held: list[tuple[int, int, int]] = []  # columns taken from above: from, to, up to which row
+        held = _Held()
         for y, cells in enumerate(self.rows(node, seen)):
-            row, new, x, above = [], [], 0, 0
-            if cells:
-                held = [h for h in held if h[2] > y]
+            row, x = [], 0
+            held.release(y)
             for cell, cell_seen in cells:
-                while above < len(held) and held[above][0] <= x:
-                    x = max(x, held[above][1])
-                    above += 1
+                x = held.free_from(x)
                 if self.tables >= MOST_TABLES:
                     out.end()
                     self.children(cell, out, depth, False, cell_seen)
@@ -432,12 +493,8 @@ class _Renderer:
                 wide, high = _span(cell, "colspan", MOST_WIDE), _span(cell, "rowspan", MOST_HIGH)
                 row.append((x, wide, [line for line in inner.text().split("\n") if line]))
                 if high > 1:
-                    if new and new[-1][1:] == (x, y + high):
-                        new[-1] = (new[-1][0], x + wide, y + high)
-                    else:
-                        new.append((x, x + wide, y + high))
+                    held.take(x, x + wide, y + high)
                 x += wide
-            held = sorted(held + new) if new else held
             grid.append(row)
         widths: dict[int, int] = {}
         for row in grid:
@@ -454,17 +511,20 @@ class _Renderer:
             starts[x] = at
             at += widths[x] + 2
         for row in grid:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            placed: list[list[tuple[int, str]]] = []
+            for x, _, lines in row:
+                placed += [[] for _ in range(len(lines) - len(placed))]
+                for k, text in enumerate(lines):
+                    placed[k].append((starts[x], text))
+            for texts in placed:
                 line, column = [], 0
-                for x, _, lines in row:
-                    if k < len(lines):
-                        gap = max(starts[x] - column, 2 if line else 0)
-                        line += [" " * gap, lines[k]]
-                        column += gap + width(lines[k])
-                if line:
-                    out._open()
-                    out.line.append("".join(line))
-                    out.end()
+                for start, text in texts:
+                    gap = max(start - column, 2 if line else 0)
+                    line += [" " * min(gap, MOST_GAP), text]
+                    column += gap + width(text)
+                out._open()
+                out.line.append("".join(line))
+                out.end()
 
     def items(self, node: Node, out: _Lines, depth: int, pre: bool, seen: bool, indent: str) -> None:
         ordered = node.tag == "ol"

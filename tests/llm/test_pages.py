@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import time
 
@@ -116,6 +117,38 @@ def test_long_hostile_pages(bit):
     assert time.process_time() - began < 8
 
 
+@pytest.mark.parametrize("bit", ["<tr><td rowspan=60000>x<td>y</tr>", "<tr><td rowspan=9000 colspan=3>x<td rowspan=70>y<td>z</tr>", "<td>a<br>b"])
+def test_long_hostile_tables(bit):
+    began = time.process_time()
+    L.render("<table>" + bit * (1_000_000 // len(bit)))
+    assert time.process_time() - began < 8
+
+
+def test_held_columns_equal_a_grid():
+    rng = random.Random(5)
+    for _ in range(300):
+        held, until = L._Held(), {}
+        for y in range(rng.randrange(1, 30)):
+            held.release(y)
+            x = 0
+            for _ in range(rng.randrange(5)):
+                x = held.free_from(x)
+                want = next(c for c in itertools.count(0) if c >= x and until.get(c, 0) <= y)
+                assert x == want
+                wide, high = rng.choice((1, 1, 2, 7)), rng.choice((1, 2, 3, 9))
+                if high > 1:
+                    held.take(x, x + wide, y + high)
+                    for c in range(x, x + wide):
+                        until[c] = max(until.get(c, 0), y + high)
+                x += wide
+                assert all((held.free_from(c) == c) == (until.get(c, 0) <= y) for c in range(x, x + 40))
+
+
+def test_no_more_than_a_thousand_blanks_align_a_cell():
+    text = L.render(f"<table><tr><td>{'w' * 3000}<td>a<tr><td>b<td>c<td>d</table>")[1]
+    assert text == f"{'w' * 3000}  a\nb{' ' * 1000}c  d"
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, record string, slot int, text string, title string")
 
