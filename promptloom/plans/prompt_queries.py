@@ -507,7 +507,7 @@ def _generation(s, d):
         F.floor("value").cast("string").alias("reply"), (F.col("value") >= 75).cast("int").alias("correct"),
     )
     samples = T.shots(p.select("method", F.col("record_id").alias("sample_id"), F.left("text", F.lit(60)).alias("input"), F.col("operator").alias("target")), ["method"], 7)
-    return T.planned(picks, p.select("record_id", "text"), pools, outcomes, samples, ["method"])
+    return T.planned(picks, None, pools, outcomes, samples, ["method"])
 
 
 def _generation_sql() -> str:

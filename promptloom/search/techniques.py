@@ -131,7 +131,7 @@ def members(population: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def drawn(pools: DataFrame, techniques: Column, by: Sequence[str], seed: int) -> DataFrame:
-    """``by, technique, record_id, second_id, draw``: each technique once for each search, with a first record of the leading
+    """``by, technique, record_id, second_id, draw, text, second``: each technique once for each search, with a first record of the leading
     few and a second one that is another, where there is one."""
     rows = pools.withColumn("technique", F.explode(techniques))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
@@ -140,8 +140,9 @@ def drawn(pools: DataFrame, techniques: Column, by: Sequence[str], seed: int) ->
     a = F.pmod("draw", F.least(n, F.lit(FIRST_OF)))
     most = F.least(n, F.lit(SECOND_OF))
     b = F.pmod(a + 1 + F.pmod(F.floor(F.col("draw") / 64), F.greatest(most - 1, F.lit(1))), most)
-    at = lambda i: F.get("leaders", i.cast("int"))["record_id"]
-    return rows.select(*by, "technique", at(a).alias("record_id"), F.when(n >= 2, at(b)).alias("second_id"), "draw")
+    at = lambda i: F.get("leaders", i.cast("int"))
+    other = F.when(n >= 2, at(b))
+    return rows.select(*by, "technique", at(a)["record_id"].alias("record_id"), other["record_id"].alias("second_id"), "draw", at(a)["text"].alias("text"), other["text"].alias("second"))
 
 
 def shots(samples: DataFrame, by: Sequence[str], seed: int, task_type: Column | None = None, most: int = SHOTS) -> DataFrame:
@@ -172,20 +173,20 @@ def _filled(template: Column, fields: Column) -> Column:
     return F.when(~lacks, parts)
 
 
-def planned(picks: DataFrame, records: DataFrame, pools: DataFrame, outcomes: DataFrame, samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def planned(picks: DataFrame, records: DataFrame | None, pools: DataFrame, outcomes: DataFrame, samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``picks`` (``by, technique, record_id, second_id, draw``) with their first request: ``before`` and ``request`` as texts
     (``request`` is null while ``before`` is unanswered), ``made`` where no call is needed, ``skipped`` where something that the technique shows is lacking.
 
-    ``records``: ``record_id, text``. ``pools``: of ``members``. ``outcomes``: ``record_id, seq, input, target, reply, correct``. ``samples``: of ``shots``. A pick of
+    ``records``: ``record_id, text``; none where picks bring ``text`` and ``second`` along, as ``drawn`` does, so that no population moves. ``pools``: of ``members``. ``outcomes``: ``record_id, seq, input, target, reply, correct``. ``samples``: of ``shots``. A pick of
     an unknown technique or record is skipped.
     """
     of = picks.select("record_id").where("record_id is not null").distinct()
     judged = outcomes.join(of, "record_id", "left_semi")
     failed = failures_shown(judged.where("correct = 0"), ["record_id"], "seq")
     solved = failures_shown(judged.where("correct = 1"), ["record_id"], "seq", most=2).withColumnRenamed("failures", "solved")
-    texts = records.select("record_id", "text")
-    seconds = records.select(F.col("record_id").alias("second_id"), F.col("text").alias("second"))
-    met = picks.join(F.broadcast(dimension(picks.sparkSession)), "technique", "left").join(texts, "record_id", "left").join(seconds, "second_id", "left")
+    met = picks.join(F.broadcast(dimension(picks.sparkSession)), "technique", "left")
+    if records is not None:
+        met = met.join(records.select("record_id", "text"), "record_id", "left").join(records.select(F.col("record_id").alias("second_id"), F.col("text").alias("second")), "second_id", "left")
     met = met.join(failed, "record_id", "left").join(solved, "record_id", "left")
     met = met.join(pools, list(by), "left").join(samples, list(by), "left") if by else met.join(F.broadcast(pools)).join(F.broadcast(samples), how="left")
     text, draw = F.col("text"), F.col("draw")
@@ -205,7 +206,7 @@ def planned(picks: DataFrame, records: DataFrame, pools: DataFrame, outcomes: Da
     met = met.withColumn("request", F.when(~F.col("two"), F.array_join("parts", "")))
     met = met.withColumn("skipped", F.when(F.col("two"), F.col("before").isNull() | F.col("parts").isNull()).otherwise(F.coalesce("request", "made").isNull()))
     met = met.withColumn("before", F.when(~F.col("skipped"), F.col("before")))
-    return met.select(*picks.columns, "skipped", "text", "sentence", "take", "two", "before", "parts", "request", "made")
+    return met.select(*(c for c in picks.columns if c not in ("text", "second")), "skipped", "text", "sentence", "take", "two", "before", "parts", "request", "made")
 
 
 def _made() -> Column:
