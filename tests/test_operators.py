@@ -13,6 +13,7 @@ from promptloom.operators import evaluate as E
 from promptloom.operators import lineage as L
 from promptloom.operators import select as S
 from promptloom.operators.rank import front, rank_order, top_k
+from promptloom.plans import catalogue
 from promptloom.plans.budget import Budget, BudgetExceeded, load_config, merged
 from promptloom.search import techniques
 from promptloom.search.client import StubClient, generate, retry_delay
@@ -401,3 +402,20 @@ def test_budget_and_running_totals_have_one_order(spark):
     assert got == {i: i + 1 for i in range(1000)}
     refused = {r["id"]: r["refused"] for r in admitted(df, [F.col("id")], {"calls": 500, "input_tokens": 300}).collect()}
     assert refused[299] is None and refused[301] == "input_tokens" and refused[499] == "input_tokens" and refused[500] == "calls"
+
+
+def test_first_parents_of_more_rows_than_recursion_allows(spark):
+    parents = {i: [i // 2] if i else [] for i in range(600)} | {1000: [1001], 1001: [1000], 2000: [2000], 3000: [9999], 4000: []} | {5000 + i: [4999 + i] for i in range(1, 40)}
+    df = spark.createDataFrame(list(parents.items()), "record_id long, parent_ids array<long>")
+
+    def walk(i, hops, limit):
+        return walk(parents[i][0], hops + 1, limit) if hops < limit and parents.get(i) else (hops, i)
+
+    for limit in (1, 6, 13):
+        got = {r["start_id"]: (r["hops"], r["root_id"]) for r in L.first_parent_roots(df, limit).collect()}
+        assert got == {i: walk(i, 0, limit) for i in parents}
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        assert catalogue.QUERIES["first_parent_chain"](spark, "/root/testdata/sf0.001").agg({"hops": "max"}).head()[0] > 5
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
