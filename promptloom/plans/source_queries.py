@@ -14,7 +14,7 @@ from ..sources import datasets as D
 from ..sources import legacy as L
 from ..sources import results as R
 from ..sources.fixtures import PROMPTS_SQL, named, prompts, runs, table, with_runs
-from ..sources.storage import cut, remove_folder, shared_folder
+from ..sources.storage import cut, remove_folder, shared_folder, spread
 from ..sources.tree_source import FORMAT, register
 
 QUERIES: dict = {}
@@ -130,8 +130,8 @@ def _(s, d):
     i = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     right = F.col("l_partkey") % 2 == 0
     cases = {"math": ("#### 7", "7", "8"), "mcq": ("(B)", "B", "C"), "boolean": ("The answer is yes", "yes", "no"), "auto": ("The answer is 12", "12", "13")}
-    scored = [F.struct(F.lit(t).alias("task_type"), C.score(t, F.lit(said), F.when(right, yes).otherwise(no)).alias("score")) for t, (said, yes, no) in cases.items()]
-    return i.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.explode(F.array(*scored)).alias("x")).select("id", "line", "x.task_type", "x.score")
+    scored = [C.score(t, F.lit(said), F.when(right, yes).otherwise(no)).alias(t) for t, (said, yes, no) in cases.items()]
+    return spread(i).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), *scored).unpivot(["id", "line"], list(cases), "task_type", "score")
 
 
 @query("operator_scores", named("prompts", PROMPTS_SQL, "select operator || chr(8211) || 'é' as operator, count(*) as n, round(avg(dev), 6) as mean, round(coalesce(stddev_samp(dev), 0), 6) as std from prompts where dev is not null and record_id % 3 <> 2 group by operator"))

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from promptloom.functions import algebra, contract
 from promptloom.functions import scoring as C
 from promptloom.functions import text as X
+from promptloom.plans import source_queries
+
+FOLDER = "/root/testdata/sf0.001"
 
 PAIRS = [
     ("math", "42", "42", 1), ("math", "3.14", "3.14", 1), ("math", "-5", "-5", 1), ("math", "The answer is 42", "42", 1), ("math", "result: 3.14", "3.14", 1), ("math", "#### 7", "7", 1), ("math", "43", "42", 0),
@@ -94,3 +97,25 @@ def test_digits_at_the_end_take_linear_time(spark):
     assert [r["s"] for r in df.select(C.score_math(F.col("p"), F.col("t")).alias("s")).collect()] == [0, 1, 1, 1, 0, 0, 0, 1, 0]
     assert time.time() - begun < 5
     assert [r["s"] for r in df.select(C.score_math(F.col("p"), F.col("t"), strict=False).alias("s")).collect()][6] == 1
+
+
+def test_boxes_found_at_once_equal_those_of_the_fold(spark):
+    texts = ["\\boxed{}", "\\boxed{ a } b", "x} \\boxed{a{b}c}{", "\\boxed{a \\boxed{ b } c}", "\\boxed{a \\boxed{ b c}", "\\boxed{{{d}}}", "\\boxed{" + "{a}b" * 60 + "}", "\\boxed{1} \\boxed{2", "\\boxed{\n\\}", "boxed{1}", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", C.boxed(F.col("t")).alias("x"), X.let(F.col("t"), C._boxed).alias("y")).sort("i").collect()
+    assert [r["x"] for r in rows] == [r["y"] for r in rows] == ["", "a", "a{b}c", "b", "b c", "{{d}}", "{a}b" * 60, "1", "\\", None, None]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_by_type_are_compiled_and_not_exploded(spark):
+    plan = _plan(source_queries.QUERIES["score_by_type"](spark, FOLDER))
+    assert "Generate" not in plan and " IN (" not in plan and "transform(array(" not in plan
+
+
+def test_few_digits_need_no_lambda(spark):
+    df = spark.createDataFrame([("so 025", "25"), ("so 25", "025"), ("25 ", "0025"), ("x", "00"), ("x0", "00"), ("125", "025"), (None, "25")], "p string, t string")
+    at_end = df.select(C._score_digits(F.col("p"), F.col("t"), True).alias("s"))
+    assert "lambda" not in _plan(at_end) and [r["s"] for r in at_end.collect()] == [1, 1, 1, 0, 1, 0, 0]
