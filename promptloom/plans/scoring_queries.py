@@ -35,6 +35,11 @@ def _base(s, d):
     )
 
 
+def _replies(s, d, reply, target):
+    """Replies and targets as columns, so that they are made once however often a scorer reads them."""
+    return _base(s, d).select("id", "line", reply.alias("p"), target.alias("t"))
+
+
 def _choose(*options):
     k = F.col("k")
     out = F.when(k == 0, options[0])
@@ -54,7 +59,7 @@ _DIGITS = "cast(right(n, length(m)) = m or cast(n as integer) = cast(m as intege
 def _(s, d):
     p = _choose(_text("#### ", "n"), _text("The answer is ", "n"), _text("\\boxed{", "n", "}"), _text("The answer is ", "n", "."), _text("result: ", "n", ".5"), _text("so \\boxed{\\frac{", "n", "}{7}}"))
     t = _choose(F.col("m"), F.col("m"), F.col("m"), F.col("m"), _text("m", ".5"), _text("\\frac{", "m", "}{7}"))
-    return _base(s, d).select("id", "line", C.score_math(p, t).alias("score"))
+    return _replies(s, d, p, t).select("id", "line", C.score_math(F.col("p"), F.col("t")).alias("score"))
 
 
 @query("score_mcq", "select id, line, cast(c = e as integer) as score from b")

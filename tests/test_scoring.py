@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from promptloom.functions import algebra, contract
 from promptloom.functions import scoring as C
 from promptloom.functions import text as X
-from promptloom.plans import source_queries
+from promptloom.plans import scoring_queries, source_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -115,6 +115,12 @@ def test_scores_by_type_are_compiled_and_not_exploded(spark):
     assert "Generate" not in plan and " IN (" not in plan and "transform(array(" not in plan
 
 
+@pytest.mark.parametrize("name", ["score_math"])
+def test_replies_are_made_once_and_values_kept_by_folds(spark, name):
+    plan = _plan(scoring_queries.QUERIES[name](spark, FOLDER))
+    assert plan.count("AS p#") == 1 and " IN (" not in plan and "transform(array(" not in plan
+
+
 def test_few_digits_need_no_lambda(spark):
     df = spark.createDataFrame([("so 025", "25"), ("so 25", "025"), ("25 ", "0025"), ("x", "00"), ("x0", "00"), ("125", "025"), (None, "25")], "p string, t string")
     at_end = df.select(C._score_digits(F.col("p"), F.col("t"), True).alias("s"))
