@@ -87,7 +87,7 @@ def _(s, d):
     y, z = F.col("y"), F.col("z")
     p = _choose(_text("I think so.\nThe answer is ", "n", "."), _text("thus \\boxed{", "n", "}"), _text("<solution> (", "c", ") </solution>"), F.when(y, "So the answer is Yes.").otherwise("So the answer is No."), _text("work\n#### ", "n"), _text('{"answer": "kind ', "c", '"}'))
     t = _choose(F.col("m"), F.col("m"), F.col("e"), F.when(z, "Yes").otherwise("No"), F.col("m"), _text("kind ", "e"))
-    return _base(s, d).select("id", "line", C.score_auto(p, t).alias("score"))
+    return _replies(s, d, p, t).select("id", "line", C.score_auto(F.col("p"), F.col("t")).alias("score"))
 
 
 @query("extract_number", "select id, line, case k when 0 then cast(n as double) when 1 then -cast(n as double) when 2 then cast(n as double) + 0.5 when 3 then cast(n as double) when 4 then cast(n as double) else null end as number from b")

@@ -115,7 +115,7 @@ def test_scores_by_type_are_compiled_and_not_exploded(spark):
     assert "Generate" not in plan and " IN (" not in plan and "transform(array(" not in plan
 
 
-@pytest.mark.parametrize("name", ["score_math"])
+@pytest.mark.parametrize("name", ["score_math", "score_auto"])
 def test_replies_are_made_once_and_values_kept_by_folds(spark, name):
     plan = _plan(scoring_queries.QUERIES[name](spark, FOLDER))
     assert plan.count("AS p#") == 1 and " IN (" not in plan and "transform(array(" not in plan
